@@ -28,11 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
-    The lineage is cut there: a lost executor costs a re-read, never a recomputation of what came before.
+    The lineage is cut there: a lost executor costs a re-read, never a recomputation of what came before. The shuffle
+    files that led to it are of no more use, so Spark is told to drop them when the write is over.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/molgrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before) if before is not None else spark.conf.unset(clean)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import decontaminate, simhash
+from molgrid.llm import decontaminate, simhash, suffixes
 from molgrid.llm.common import table
 
 
@@ -18,10 +18,15 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op9_suffix_dedup": op9_suffix_dedup,
     }
 
 
