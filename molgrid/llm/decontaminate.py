@@ -160,7 +160,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode must be documents or spans, not {mode!r}")
     found = contamination(docs, items, n).where("n_hit > 0").select(
-        F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key"), F.col("spans").alias("__spans")
+        F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key"), merged(F.col("spans")).alias("__spans")
     ).dropDuplicates(["__hit_id", "__hit_key"])
     on = docs["doc_id"].eqNullSafe(found["__hit_id"]) & (text_key(docs["text"]) == found["__hit_key"])
     if mode == "documents":
@@ -169,7 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     between = F.split("text", WORD_ANY_CASE)
     kept = F.transform(
         own,
-        lambda w, i: F.when(F.exists(merged(F.col("__spans")), lambda s: (i >= s["start"]) & (i < s["end"])), F.lit("")).otherwise(
+        lambda w, i: F.when(F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["end"])), F.lit("")).otherwise(
             F.concat(w, F.get(between, i + 1))
         ),
     )

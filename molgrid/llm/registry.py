@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import decontaminate, packing, simhash, suffixes, toxicity
+from molgrid.llm import decontaminate, packing, quality, simhash, suffixes, toxicity
 from molgrid.llm.common import table
 
 #: A parameter of the operators that need a vocabulary; the file stays outside the repository.
@@ -22,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_quality_rules": op5_quality_rules,
         "op7_toxicity": op7_toxicity,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
@@ -45,4 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op1_decontamination": decontaminate.ORACLE_SQL,
+        "op5_quality_rules": quality.ORACLE_SQL,
+    }
