@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import decontaminate, packing, quality, simhash, suffixes, toxicity
+from molgrid.llm import decontaminate, html, packing, quality, simhash, suffixes, toxicity
 from molgrid.llm.common import table
 
 #: A parameter of the operators that need a vocabulary; the file stays outside the repository.
@@ -26,6 +26,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_html_extraction": op6_html_extraction,
         "op7_toxicity": op7_toxicity,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
