@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import decontaminate, html, packing, quality, simhash, suffixes, toxicity
+from molgrid.llm import decontaminate, html, packing, pii, quality, simhash, suffixes, toxicity
 from molgrid.llm.common import table
 
 #: A parameter of the operators that need a vocabulary; the file stays outside the repository.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Stands for the secret that a user passes to the operator.
+PSEUDONYM_KEY = b"molgrid pseudonyms: replace this key"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_quality_rules": op5_quality_rules,
         "op6_html_extraction": op6_html_extraction,
         "op7_toxicity": op7_toxicity,
@@ -57,5 +64,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.ORACLE_SQL,
+        "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_quality_rules": quality.ORACLE_SQL,
     }
