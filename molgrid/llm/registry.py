@@ -64,6 +64,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.ORACLE_SQL,
-        "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_quality_rules": quality.ORACLE_SQL,
     }
