@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import decontaminate, html, packing, pii, quality, simhash, suffixes, toxicity
+from molgrid.llm import chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, toxicity
 from molgrid.llm.common import table
 
 #: A parameter of the operators that need a vocabulary; the file stays outside the repository.
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -51,6 +55,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_quality_rules": op5_quality_rules,
