@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, toxicity
+from molgrid.llm import chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, token_counts, toxicity
 from molgrid.llm.common import table
 
-#: A parameter of the operators that need a vocabulary; the file stays outside the repository.
+#: A parameter of the operators that need a vocabulary; the files stay outside the repository.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+UNIGRAM_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Stands for the secret that a user passes to the operator.
 PSEUDONYM_KEY = b"molgrid pseudonyms: replace this key"
 
@@ -52,6 +53,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), UNIGRAM_VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
