@@ -84,3 +84,37 @@ def gene_efficiency(cnt: DataFrame, cells: DataFrame, ref_cnt: DataFrame, ref_ce
     eff = gene_efficiencies(cnt, cells, ref_cnt, ref_cells, layer)
     joined = cnt.join(eff, "gene", "left")
     return joined.withColumn("corrected", F.when(F.col("efficiency") > 0, F.try_divide(F.col(layer), F.col("efficiency"))).otherwise(F.col(layer))).drop("efficiency")
+
+
+def normalize_spatial(cnt: DataFrame, cells: DataFrame, sample_p: float = 0.25, seed: int = 777) -> DataFrame:
+    """Spatially aware: log counts regressed on log library size and a quadratic of the position, for each gene.
+
+    The design's products are summed once over a sample of cells (by hash), those with the genes over their non-zero
+    counts; the 12 x 12 inverse is all that is solved, on the driver. The fitted effect of library size is taken out.
+    cells: cell_id, x, y.
+    """
+    import numpy as np
+
+    from molgrid.functions.scalars import uniform
+
+    lib = cnt.groupBy("cell_id").agg(F.ln(F.sum("count").cast("double")).alias("lib"))
+    placed = cells.select("cell_id", "x", "y").join(lib, "cell_id")
+    s = placed.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y", "lib") for f in (F.avg, F.stddev_pop)]).first()
+    z = {c: (F.col(c) - s[f"avg_{c}"]) / (s[f"stddev_pop_{c}"] or 1.0) for c in ("x", "y")}
+    terms = [F.lit(1.0), z["x"], z["y"], z["x"] ** 2, z["x"] * z["y"], z["y"] ** 2]
+    basis = placed.select("cell_id", "lib", F.array(*terms, *[t * F.col("lib") for t in terms]).alias("b"))
+    chosen = basis.where(uniform(seed, F.col("cell_id")) < sample_p)
+    n = 12
+    products = chosen.select(*[F.sum(F.col("b")[i] * F.col("b")[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    gram = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            gram[i, j] = gram[j, i] = products[f"p{i}_{j}"] or 0.0
+    inverse = np.linalg.pinv(gram)
+    right = cnt.join(chosen, "cell_id").groupBy("gene").agg(F.array(*[F.sum(F.log1p(F.col("count").cast("double")) * F.col("b")[i]) for i in range(n)]).alias("r"))
+    coef = F.array(*[sum((F.col("r")[j] * float(inverse[i, j]) for j in range(n)), F.lit(0.0)) for i in range(6, n)])
+    beta = right.select("gene", coef.alias("beta"))
+    rows = cnt.join(basis, "cell_id").join(beta, "gene")
+    effect = sum((F.col("beta")[i] * F.col("b")[i] for i in range(6)), F.lit(0.0))
+    fitted = F.log1p(F.col("count").cast("double")) - (F.col("lib") - s["avg_lib"]) * effect
+    return rows.select(*cnt.columns, F.greatest(F.lit(0.0), fitted).alias("normalized"))

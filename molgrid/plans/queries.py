@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from molgrid.functions import scalars as fn
 from molgrid.operators import aggregate as agg
-from molgrid.operators import annotate, controls, geometry, metrics, normalize, sample, spatial, tables
+from molgrid.operators import annotate, assignment, controls, density, embedding, geometry, mapping, metrics, normalize, sample, shapes, spatial, tables
+from molgrid.sources import readers, writers
 from molgrid.plans.bindings import HEIGHT, WIDTH, points, ref_cells, ref_counts, spatial_cells, sql, squares, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -715,3 +716,143 @@ def x3(spark, d):
     out = controls.process_dataset(points(spark, d), squares(spark, d), ref_counts(spark, d), ref_cells(spark, d), 200, (100, 100, 700, 800), 1)
     one = [out[k].agg(F.count("*").alias(n)) for k, n in (("transcripts", "n_points"), ("polygons", "n_polygons"), ("ref_cells", "n_cells"))]
     return one[0].crossJoin(one[1]).crossJoin(one[2])
+
+
+# kernels: no SQL equivalent, held against numpy in the tests --------------------------------------------
+
+
+def _profile(spark, d):
+    return annotate.type_profiles(ref_counts(spark, d), ref_cells(spark, d))
+
+
+@query("d10_cell_hulls")
+def d10(spark, d):
+    return shapes.cell_hulls(points(spark, d)).select("cell_id", F.size("ring").alias("corners"), F.round(geometry.ring_area(F.col("ring")), 4).alias("area"))
+
+
+@query("d11_cell_volumes")
+def d11(spark, d):
+    return _rounded(shapes.cell_volumes(points(spark, d)), "volume", digits=4)
+
+
+@query("d13_labels_to_polygons", sql("squares", "SELECT cell_id, CAST(4 AS INTEGER) AS corners, 3600.0 AS area FROM squares WHERE cell_id % 2 = 1 AND (cell_id // 20) % 2 = 0 AND cell_id % 20 < 19"))
+def d13(spark, d):
+    some = squares(spark, d).where("cell_id % 2 = 1 and floor(cell_id / 20) % 2 = 0 and cell_id % 20 < 19")
+    rings = shapes.labels_to_polygons(spatial.rasterize(some, WIDTH, HEIGHT))
+    return rings.select("cell_id", F.size("ring").alias("corners"), F.round(geometry.ring_area(F.col("ring")), 4).alias("area"))
+
+
+@query("k2_pca")
+def k2(spark, d):
+    placed, _ = embedding.pca(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    return placed.select("vec_id", F.transform("X_pca", lambda v: F.round(v, 5)).alias("X_pca"))
+
+
+@query("k3_knn", "SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 7), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id != b.vec_id QUALIFY rank <= 5")
+def k3(spark, d):
+    return embedding.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("src", "dst", "rank")
+
+
+@query("k5_annotate_spearman")
+def k5(spark, d):
+    return _rounded(mapping.annotate_spearman(agg.count_matrix(points(spark, d)), normalize.log_cp(ref_counts(spark, d)), ref_cells(spark, d)), "score")
+
+
+@query("k6_annotate_ot")
+def k6(spark, d):
+    return _rounded(mapping.annotate_ot(agg.count_matrix(points(spark, d)), _profile(spark, d), ref_cells(spark, d)), "score")
+
+
+@query("k6_annotate_nnls")
+def k6_nnls(spark, d):
+    return _rounded(mapping.annotate_weights(agg.count_matrix(points(spark, d)), _profile(spark, d)), "score")
+
+
+@query("k6_annotate_projection")
+def k6_projection(spark, d):
+    return _rounded(mapping.annotate_weights(agg.count_matrix(points(spark, d)), _profile(spark, d), "projection"), "score")
+
+
+def _decomposed(spark, d):
+    cnt, profile = agg.count_matrix(points(spark, d)), _profile(spark, d)
+    return cnt, profile, mapping.decompose(cnt, profile, annotate.de_genes(profile, 0.0, 0.02))
+
+
+@query("k7_decompose")
+def k7(spark, d):
+    return _rounded(_decomposed(spark, d)[2], "first_weight", "second_weight")
+
+
+@query("k8_annotate_density")
+def k8(spark, d):
+    return _rounded(density.annotate_density(points(spark, d), _profile(spark, d), min_cor=-1.0, step=8.0, bandwidth=8.0), "share")
+
+
+@query("n4_normalize_spatial")
+def n4(spark, d):
+    pts = points(spark, d)
+    cells = agg.cell_centroids(pts).select("cell_id", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
+    return _rounded(normalize.normalize_spatial(agg.count_matrix(pts), cells), "normalized")
+
+
+@query("n8_purify_counts")
+def n8(spark, d):
+    cnt, profile, pairs = _decomposed(spark, d)
+    return _rounded(normalize.purify_counts(cnt, pairs, profile), "purified")
+
+
+@query("h1_probabilistic_assign")
+def h1(spark, d):
+    pts = points(spark, d)
+    cells = squares(spark, d).select((F.col("cell_id") + 1).alias("cell_id"), (F.col("ring")[0]["x"] + 30).alias("x"), (F.col("ring")[0]["y"] + 30).alias("y"))
+    return _rounded(assignment.probabilistic_assign(pts, cells, _profile(spark, d), max_iter=2), "prob", digits=4)
+
+
+@query("h2_spatial_knn", sql("pts squares", """, c AS (SELECT cell_id AS id, x0 + 30 AS x, y0 + 30 AS y FROM squares WHERE cell_id % 7 = 0)
+SELECT transcript_id AS id, id AS neighbour, row_number() OVER (PARTITION BY transcript_id ORDER BY sqrt((pts.x - c.x) ** 2 + (pts.y - c.y) ** 2), id) AS rank
+FROM pts JOIN c ON (pts.x - c.x) ** 2 + (pts.y - c.y) ** 2 <= 10000 QUALIFY rank <= 2"""))
+def h2(spark, d):
+    cells = squares(spark, d).where("cell_id % 7 = 0").select(F.col("cell_id").alias("id"), (F.col("ring")[0]["x"] + 30).alias("x"), (F.col("ring")[0]["y"] + 30).alias("y"))
+    return spatial.spatial_knn(points(spark, d).select(F.col("transcript_id").alias("id"), "x", "y"), cells, 2, 100.0).select("id", "neighbour", "rank")
+
+
+def _scored(spark, d):
+    pts = points(spark, d)
+    return assignment.score_transcripts(pts, spatial_cells(agg.count_matrix(pts)).where("cell_type != 'None_sp'"), _profile(spark, d), -0.2)
+
+
+@query("h3_score_transcripts", sql(_BOTH, _BY_COUNT + """, lp AS (SELECT t.cell_type, g.gene, ln(coalesce(mean, 0) / s + 1e-5) AS l FROM (SELECT cell_type, sum(mean) AS s FROM ref_p GROUP BY 1) t, (SELECT DISTINCT gene FROM ref_p) g LEFT JOIN ref_p r ON r.cell_type = t.cell_type AND r.gene = g.gene),
+sc AS (SELECT cell_type, gene, l - max(l) OVER (PARTITION BY gene) AS s FROM lp)
+SELECT transcript_id, round(s, 5) AS score FROM pts JOIN cells USING (cell_id) JOIN sc ON sc.cell_type = cells.cell_type AND sc.gene = feature_name"""))
+def h3(spark, d):
+    return _rounded(_scored(spark, d).select("transcript_id", "score"), "score")
+
+
+@query("h4_trim_assignment")
+def h4(spark, d):
+    return assignment.trim_assignment(_scored(spark, d), 5).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+@query("m10_knn_mixing")
+def m10(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("cell_type"))
+    return _rounded(embedding.knn_mixing(e.where("id % 2 = 0"), e.where("id % 2 = 1"), 15, 10), "metric_value", digits=4)
+
+
+@query("a11_export_xenium", sql("pts", "SELECT transcript_id, CASE WHEN cell_id = 0 THEN 'UNASSIGNED' ELSE CAST(cell_id AS VARCHAR) END AS cell_id, CAST(cell_id > 0 AS INTEGER) AS overlaps_nucleus FROM pts"))
+def a11(spark, d):
+    return writers.xenium_transcripts(points(spark, d)).select("transcript_id", "cell_id", F.col("overlaps_nucleus").cast("int").alias("overlaps_nucleus"))
+
+
+@query("a4_global_cell_id", "SELECT o_orderkey, CASE WHEN o_custkey % 50 > 0 THEN (o_orderkey % 9) * ((SELECT max(o_custkey % 50) FROM orders) + 1) + o_custkey % 50 ELSE 0 END AS cell_id FROM orders")
+def a4(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).alias("fov"), (F.col("o_custkey") % 50).alias("cell_ID"))
+    return readers.global_cell_id(rows).select("o_orderkey", "cell_id")
+
+
+@query("a6_pick_boundary", """SELECT o_custkey AS cell_id, o_orderkey AS seq FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 5 != 3, o_orderkey % 5, o_orderkey) AS n FROM orders WHERE o_orderkey % 4 != 0) WHERE n = 1""")
+def a6(spark, d):
+    k = F.col("o_orderkey")
+    corner = F.array(F.struct(k.cast("double").alias("x"), k.cast("double").alias("y")))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"), (k % 5).alias("z"), k.alias("seq"), F.when(k % 4 != 0, corner).alias("ring"))
+    return readers.pick_boundary(rows).select("cell_id", "seq")
