@@ -48,7 +48,7 @@ def knn(df: DataFrame, id_col: str, vector: str, k: int, blocks: int = 8) -> Dat
     at = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     left = at.select("id", "v", F.col("b").alias("lb"), others.alias("rb"))
-    right = at.select("id", "v", F.col("b").alias("rb"), others.alias("lb"))
+    right = at.select((F.col("id") + 0).alias("id"), F.slice("v", 1, F.size("v")).alias("v"), (F.col("b") + 0).alias("b"), others.alias("a"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -66,7 +66,7 @@ def knn(df: DataFrame, id_col: str, vector: str, k: int, blocks: int = 8) -> Dat
         found = pd.concat(out)
         return found[np.isfinite(found["distance"])]
 
-    pairs = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(meet, "src long, dst long, distance double")
+    pairs = left.groupBy("lb", "rb").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "src long, dst long, distance double")
     w = Window.partitionBy("src").orderBy("distance", "dst")
     best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     width = F.max("distance").over(Window.partitionBy("src"))
