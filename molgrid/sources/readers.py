@@ -73,7 +73,7 @@ def read_merscope(spark: SparkSession, transcripts: str, cell_by_gene: str, meta
     )
     wide = spark.read.option("header", True).csv(cell_by_gene)
     first, *genes = wide.columns
-    long = wide.select(F.col(f"`{first}`").alias("cell_id"), *[F.col(f"`{g}`").cast("long").alias(g) for g in genes]).unpivot("cell_id", genes, "gene", "count").where("count > 0")
+    long = wide.select(F.col(f"`{first}`").alias("cell_id"), *[F.col(f"`{g}`").cast("long").alias(g) for g in genes]).unpivot("cell_id", [f"`{g}`" for g in genes], "gene", "count").where("count > 0")
     cells = spark.read.option("header", True).csv(metadata)
     return pts, long.join(cells.select(F.col(f"`{cells.columns[0]}`").alias("cell_id")), "cell_id", "left_semi")
 
