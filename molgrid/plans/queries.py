@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from molgrid.functions import scalars as fn
 from molgrid.operators import aggregate as agg
 from molgrid.operators import annotate, assignment, controls, density, embedding, geometry, mapping, metrics, normalize, sample, shapes, spatial, tables
-from molgrid.sources import readers, writers
+from molgrid.plans import assembly
 from molgrid.plans.bindings import HEIGHT, WIDTH, points, ref_cells, ref_counts, spatial_cells, sql, squares, table
+from molgrid.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -856,3 +857,11 @@ def a6(spark, d):
     corner = F.array(F.struct(k.cast("double").alias("x"), k.cast("double").alias("y")))
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"), (k % 5).alias("z"), k.alias("seq"), F.when(k % 4 != 0, corner).alias("ring"))
     return readers.pick_boundary(rows).select("cell_id", "seq")
+
+
+@query("m0_assemble", sql("pts cnt stats", "SELECT cell_id, n_counts, n_genes, n_counts >= (SELECT least(310.0, quantile_cont(n_counts, 0.2)) FROM stats) AS passed_QC FROM stats"))
+def m0(spark, d):
+    pts = points(spark, d)
+    cnt = agg.count_matrix(pts)
+    cells = agg.cell_stats(cnt)
+    return assembly.assemble(pts, cells, cnt, agg.qc_filter(cells, 310))["cells"]
