@@ -1,10 +1,12 @@
 """Token counts under a unigram model, with one forward pass for each shared prefix.
 
 The pieces of a public vocabulary get Zipf scores, -ln(rank), from their order in the file; nothing is trained. The
-distinct pre-tokens of a batch go into a trie. A trie node holds the best score of any segmentation of its prefix and
-that segmentation's number of tokens, computed from its ancestors when the node is made: words that share a prefix
-share the work, and the node at a word's end holds its count. Texts then only add up their words' counts. Each worker
-keeps its trie and the counts up to a bound, and starts afresh beyond it; there is no shuffle.
+distinct pre-tokens of a batch are walked as a trie: in sorted order, which is the trie's own, with the nodes of the
+present path kept. A node holds the best score of any segmentation of its prefix and that segmentation's number of
+tokens, computed once from its ancestors when the walk first comes to it; words that share a prefix share the work,
+and what a word's last node holds is stored. The pieces that end in a node come from an automaton over the
+vocabulary. Texts then only add up their words' counts. Each worker keeps the counts of words up to a bound, and
+starts afresh beyond it; there is no shuffle.
 
 A pre-token is a maximal run without white space, led by the word mark. Characters that the vocabulary lacks are
 spelled as their UTF-8 bytes. Of equal scores the fewer tokens count. Defined cases: a null or empty text has no
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 from functools import cache
 from math import log
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,6 +34,11 @@ class Unigram:
         self.pieces = {k: (v, 1) for k, v in scores.items()}
         self.byte_scores = byte_scores
         self.longest = max(map(len, scores), default=1)
+        self.ends = ahocorasick.Automaton()
+        for piece, score in scores.items():
+            if len(piece) > 1:
+                self.ends.add_word(piece, (len(piece), score))
+        self.ends.make_automaton()
 
     def spelled(self, ch: str) -> tuple[float, int]:
         """A single character as bytes."""
@@ -53,48 +61,59 @@ def vocabulary(path: str) -> Unigram:
 
 
 class Trie:
-    """Nodes are [children, score, tokens]; `counts` keeps the words that ended in one."""
+    """The walk over sorted words, and what their last nodes held: `tokens` and `scores` by word.
 
-    def __init__(self, model: Unigram, most_nodes: int = 250_000, most_words: int = 300_000):
-        self.model, self.most_nodes, self.most_words = model, most_nodes, most_words
-        self.counts: dict[str, tuple[int, float]] = {}
-        self._clear()
+    nodes: how many were computed, the root with them. A path longer than most_nodes is not kept for the next word.
+    """
 
-    def _clear(self) -> None:
-        self.root: list = [{}, 0.0, 0]
+    def __init__(self, model: Unigram, most_nodes: int = 250_000, most_words: int = 600_000):
+        self.model, self.most_nodes, self.most_words = model, most_nodes, most_words
+        self.tokens: dict[str, int] = {}
+        self.scores: dict[str, float] = {}
         self.nodes = 1
-
-    def _insert(self, word: str) -> list:
-        """The node of a word; makes those of its prefixes that are missing."""
-        node, path = self.root, [self.root]
-        pieces, longest = self.model.pieces, self.model.longest
-        for end, ch in enumerate(word, 1):
-            child = node[0].get(ch)
-            if child is None:
-                score, tokens = self.model.spelled(ch) if ch not in pieces else pieces[ch]
-                score, tokens = node[1] + score, node[2] + tokens
-                for start in range(max(0, end - longest), end - 1):
-                    found = pieces.get(word[start:end])
-                    if found:
-                        before = path[start]
-                        own = before[1] + found[0]
-                        if own > score or (own == score and before[2] + 1 < tokens):
-                            score, tokens = own, before[2] + 1
-                child = node[0][ch] = [{}, score, tokens]
-                self.nodes += 1
-            node = child
-            path.append(node)
-        return node
+        self._word, self._score, self._count = "", [0.0], [0]
+
+    @property
+    def counts(self) -> dict[str, tuple[int, float]]:
+        return {w: (n, self.scores[w]) for w, n in self.tokens.items()}
+
+    def _walk(self, word: str) -> tuple[int, float]:
+        """Go to the word's node; only nodes behind the prefix shared with the word before are computed."""
+        before, score, count = self._word, self._score, self._count
+        shared, most = 0, min(len(word), len(before))
+        while shared < most and word[shared] == before[shared]:
+            shared += 1
+        del score[shared + 1 :], count[shared + 1 :]
+        pieces, size = self.model.pieces, len(word)
+        found: list[list] = [[] for _ in range(size - shared)]
+        if self.model.longest > 1 and size > 1:
+            for end, piece in self.model.ends.iter(word, max(0, shared - self.model.longest + 1)):
+                if end >= shared:
+                    found[end - shared].append(piece)
+        for at in range(shared, size):
+            ch = word[at]
+            own, n = pieces[ch] if ch in pieces else self.model.spelled(ch)
+            best, tokens = score[at] + own, count[at] + n
+            for length, piece in found[at - shared]:
+                start = at + 1 - length
+                own = score[start] + piece
+                if own > best or (own == best and count[start] + 1 < tokens):
+                    best, tokens = own, count[start] + 1
+            score.append(best)
+            count.append(tokens)
+        self.nodes += size - shared
+        self._word = word
+        out = count[-1], score[-1]
+        if size > self.most_nodes:
+            self._word, self._score, self._count = "", [0.0], [0]
+        return out
 
     def add(self, words: set[str]) -> None:
-        """Count new words, in order, so that those with a common prefix follow each other."""
-        if len(self.counts) + len(words) > self.most_words:
-            self.counts = {}
-        for word in sorted(w for w in words if w not in self.counts):
-            if self.nodes > self.most_nodes:
-                self._clear()
-            node = self._insert(MARK + word)
-            self.counts[word] = (node[2], node[1])
+        """Count the new words, so that those with a common prefix follow each other."""
+        if len(self.tokens) + len(words) > self.most_words:
+            self.tokens, self.scores = {}, {}
+        for word in sorted(w for w in words if w not in self.tokens):
+            self.tokens[word], self.scores[word] = self._walk(MARK + word)
 
 
 _TRIES: dict[str, Trie] = {}
@@ -109,13 +128,20 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
         trie = _TRIES[model]
         for b in batches:
             n_words, n_tokens, log_prob = [], [], []
-            for text in b.column(1).to_pylist():
-                words = text.split() if text else []
-                trie.add(set(words))
-                own = [trie.counts[w] for w in words]
-                n_words.append(len(words))
-                n_tokens.append(sum(x[0] for x in own))
-                log_prob.append(round(sum(x[1] for x in own), 4))
+            texts = b.column(1).to_pylist()
+            for first in range(0, len(texts), 2000):
+                part = texts[first : first + 2000]
+                distinct: set[str] = set()
+                for text in part:
+                    if text:
+                        distinct.update(text.split())
+                trie.add(distinct)
+                tokens, scores = trie.tokens.__getitem__, trie.scores.__getitem__
+                for text in part:
+                    words = text.split() if text else []
+                    n_words.append(len(words))
+                    n_tokens.append(sum(map(tokens, words)))
+                    log_prob.append(round(sum(map(scores, words)), 4))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(log_prob, pa.float64())],
                 names=["doc_id", "n_words", "n_tokens", "log_prob"],
