@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molgrid.operators.spatial import spatial_knn
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the cluster's shared folder, so that rounds do not pile up their lineage."""
-    sc = df.sparkSession.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/molgrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from molgrid.sources.writers import written
 
 
 def _log_rates(profile: DataFrame, pseudo: float = 1e-5) -> DataFrame:
@@ -62,7 +48,7 @@ def probabilistic_assign(
     prior = pts.select(F.col("transcript_id").alias("id"), F.col("feature_name").alias("gene"), F.col("cell_id").alias("prior"))
     base = near.join(prior, "id").crossJoin(F.broadcast(spread))
     gauss = -F.col("distance") ** 2 / (2 * F.col("s2")) - F.ln(2 * 3.141592653589793 * F.col("s2"))
-    candidates = _written(base.select("id", "gene", F.col("neighbour").alias("cell_id"), (gauss + F.when(F.col("prior") == F.col("neighbour"), inside_bonus).otherwise(0.0)).alias("w")), "candidates")
+    candidates = written(base.select("id", "gene", F.col("neighbour").alias("cell_id"), (gauss + F.when(F.col("prior") == F.col("neighbour"), inside_bonus).otherwise(0.0)).alias("w")), "candidates")
     types = profile.select("cell_type").distinct()
     n_types = types.count()
     rates = profile.select("cell_type", "gene", (F.col("mean") + 1e-3).alias("mu"))
@@ -74,7 +60,7 @@ def probabilistic_assign(
         weighed = candidates.join(expected, ["cell_id", "gene"]).join(F.broadcast(eta), "gene").withColumn("l", F.col("w") + F.col("ln_mu") + F.ln("eta"))
         top = F.greatest(F.max("l").over(softmax), F.ln(F.lit(misread_density)))
         low = F.sum(F.exp(F.col("l") - top)).over(softmax) + F.exp(F.ln(F.lit(misread_density)) - top)
-        shared = _written(weighed.select("id", "gene", "cell_id", (F.exp(F.col("l") - top) / low).alias("share")), "shares")
+        shared = written(weighed.select("id", "gene", "cell_id", (F.exp(F.col("l") - top) / low).alias("share")), "shares")
         counts = shared.groupBy("cell_id", "gene").agg(F.sum("share").alias("n"))
         sizes = counts.groupBy("cell_id").agg(F.sum("n").alias("size"))
         whole = rates.groupBy("cell_type").agg(F.sum("mu").alias("mu_all"))
@@ -85,10 +71,10 @@ def probabilistic_assign(
         of_cell = Window.partitionBy("cell_id")
         scaled = by_type.withColumn("e", F.exp(F.col("ll") - F.max("ll").over(of_cell)))
         typed = scaled.select("cell_id", "cell_type", (F.col("e") / F.sum("e").over(of_cell)).alias("p"))
-        new = _written(typed, "belief")
+        new = written(typed, "belief")
         by_gene = counts.groupBy("gene").agg(F.sum("n").alias("n_g"))
         due = new.join(F.broadcast(rates), "cell_type").join(sizes, "cell_id").groupBy("gene").agg(F.sum(F.col("p") * F.col("mu")).alias("due"))
-        eta = _written(due.join(by_gene, "gene").select("gene", ((r_gene + F.col("n_g")) / (r_gene / inefficiency + F.col("due"))).alias("eta")), "efficiency")
+        eta = written(due.join(by_gene, "gene").select("gene", ((r_gene + F.col("n_g")) / (r_gene / inefficiency + F.col("due"))).alias("eta")), "efficiency")
         moved = new.join(belief.withColumnRenamed("p", "q"), ["cell_id", "cell_type"]).agg(F.max(F.abs(F.col("p") - F.col("q"))).alias("d")).first()["d"]
         belief = new
         if moved is not None and moved < tolerance:

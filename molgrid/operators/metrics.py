@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import UNANNOTATED
 from molgrid.operators.annotate import type_profiles
+from molgrid.sources.writers import written
 
 
 def _score(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -163,15 +164,26 @@ def relative_gene_similarity(sp: Side, sc: Side) -> DataFrame:
 
 
 def all_metrics(sp: Side, sc: Side, max_rate: float = 0.005) -> DataFrame:
-    """Every similarity score for all cells, and for those that passed quality control (`_qc_filtered`)."""
-    metrics = [
-        lambda a, b: neg_marker_purity_reads(a, b, max_rate), lambda a, b: neg_marker_purity_cells(a, b, max_rate),
-        coexpression_similarity, lambda a, b: coexpression_similarity(a, b, True), relative_celltype_similarity, relative_gene_similarity,
-    ]
+    """Every similarity score for all cells, and for those that passed quality control (`_qc_filtered`).
+
+    Each score reads both sides several times, so the sides are cut to their shared genes and types and written once;
+    a score is one row, written by a job of its own, so no plan holds twelve scores.
+    """
+    metrics = {
+        "reads": lambda a, b: neg_marker_purity_reads(a, b, max_rate), "cells": lambda a, b: neg_marker_purity_cells(a, b, max_rate),
+        "coexpression": coexpression_similarity, "coexpression_by_type": lambda a, b: coexpression_similarity(a, b, True),
+        "types": relative_celltype_similarity, "genes": relative_gene_similarity,
+    }
+    columns = ("cell_id", "gene", "count", "normalized"), ("cell_id", "cell_type")
+    sp = written(sp[0].select(*columns[0]), "sp-counts"), written(sp[1].select(*columns[1], "passed_QC"), "sp-cells")
+    sc = written(sc[0].select(*columns[0]), "sc-counts"), written(sc[1].select(*columns[1]), "sc-cells")
     passed = sp[1].where("passed_QC")
     kept = (sp[0].join(passed.select("cell_id"), "cell_id", "left_semi"), passed)
-    rows = [m(sp, sc) for m in metrics]
-    rows += [m(kept, sc).withColumn("metric_id", F.concat("metric_id", F.lit("_qc_filtered"))) for m in metrics]
+    rows = []
+    for cells, suffix in ((sp, ""), (kept, "_qc_filtered")):
+        sides = [tuple(written(df, "shared") for df in side) for side in shared(cells, sc)]
+        for name, metric in metrics.items():
+            rows.append(written(metric(*sides).withColumn("metric_id", F.concat("metric_id", F.lit(suffix))), f"score-{name}"))
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,15 @@ def xenium_boundaries(poly: DataFrame) -> DataFrame:
 def export_xenium(pts: DataFrame, poly: DataFrame, path: str) -> None:
     write_table(xenium_transcripts(pts), f"{path}/transcripts.parquet")
     write_table(xenium_boundaries(poly), f"{path}/cell_boundaries.parquet")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the cluster's shared folder (spark.checkpoint.dir), read again: its lineage ends there."""
+    sc = df.sparkSession.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(found)
+    path = f"{found.rstrip('/')}/molgrid-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
