@@ -171,13 +171,38 @@ def annotate_ot(cnt: DataFrame, profile: DataFrame, ref_cells: DataFrame, eps: f
     return rows.mapInPandas(plan, "cell_id long, label string, score double")
 
 
-def decompose(cnt: DataFrame, profile: DataFrame, genes: DataFrame, umi_min: int = 20, second_min: float = 0.2) -> DataFrame:
+def best_pairs(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second type (rows of p) and their weights for each row of x: of all pairs the one with the smallest
+    squared error under weights of at least 0, by the closed form of two unknowns."""
+    i, j = np.triu_indices(len(p), 1) if len(p) > 1 else (np.array([0]), np.array([0]))
+    gram, c = p @ p.T, x @ p.T
+    gi, gj, gij, ci, cj = gram[i, i], gram[j, j], gram[i, j], c[:, i], c[:, j]
+    det = gi * gj - gij**2
+    free = np.broadcast_to(det > 1e-12 * gi * gj, ci.shape)
+    wi = np.divide(ci * gj - cj * gij, det, out=np.full(ci.shape, -1.0), where=free)
+    wj = np.divide(cj * gi - ci * gij, det, out=np.full(ci.shape, -1.0), where=free)
+    one, other = (np.divide(u, g, out=np.zeros(u.shape), where=np.broadcast_to(g > 0, u.shape)) for u, g in ((ci, gi), (cj, gj)))
+    edge, left = (wi < 0) | (wj < 0), ci * one >= cj * other
+    wi = np.where(edge, np.where(left, one, 0.0), wi)
+    wj = np.where(edge, np.where(left, 0.0, other), wj)
+    error = wi**2 * gi + wj**2 * gj + 2 * wi * wj * gij - 2 * (wi * ci + wj * cj)
+    best, at = error.round(12).argmin(axis=1), np.arange(len(x))
+    return i[best], j[best], np.stack([wi[at, best], wj[at, best]], axis=1)
+
+
+def decompose(
+    cnt: DataFrame, profile: DataFrame, genes: DataFrame, umi_min: int = 20, second_min: float = 0.2, ref_cells: DataFrame | None = None, type_min: int = 25
+) -> DataFrame:
     """cell_id, first_type, second_type, first_weight, second_weight: the best one or two types on the given genes.
 
-    Cells with too few counts, or without any weight, are `None_sp`.
+    With `ref_cells` (cell_id, cell_type), types of fewer than `type_min` cells are left out. Cells with too few counts,
+    or without any weight, are `None_sp`.
     """
     panel = _panel(cnt, genes)
     place = {g: i for i, g in enumerate(panel)}
+    if ref_cells is not None:
+        large = ref_cells.groupBy("cell_type").agg(F.count("*").alias("n")).where(F.col("n") >= type_min)
+        profile = profile.join(large.select("cell_type"), "cell_type", "left_semi")
     names, means = _profile_matrix(profile, panel)
     p = _shares(means)
     total = cnt.groupBy("cell_id").agg(F.sum("count").cast("double").alias("total"))
@@ -185,23 +210,12 @@ def decompose(cnt: DataFrame, profile: DataFrame, genes: DataFrame, umi_min: int
     def run(batches):
         for b in batches:
             out = []
-            for cell, whole, row in zip(b["cell_id"], b["total"], _shares(_dense(b, place))):
-                best = (np.inf, None)
-                if whole >= umi_min and row.any():
-                    single = nnls(p.T, row)
-                    for i in np.argsort(-single)[:4]:
-                        for j in np.argsort(-single)[:4]:
-                            if i < j:
-                                w = nnls(p[[i, j]].T, row)
-                                error = float(((p[[i, j]].T @ w - row) ** 2).sum())
-                                if w.sum() > 0 and error < best[0] - 1e-12:
-                                    best = (error, (i, j, w / w.sum()))
-                    if best[1] is None and single.any():
-                        best = (0.0, (int(single.argmax()), int(single.argmax()), np.array([1.0, 0.0])))
-                if best[1] is None:
+            pairs = zip(*best_pairs(_shares(_dense(b, place)), p)) if names else [(0, 0, np.zeros(2))] * len(b)
+            for cell, whole, (i, j, w) in zip(b["cell_id"], b["total"], pairs):
+                if whole < umi_min or not w.sum() > 0:
                     out.append((cell, UNANNOTATED, None, 0.0, 0.0))
                     continue
-                i, j, w = best[1]
+                w = w / w.sum()
                 if w[1] > w[0]:
                     i, j, w = j, i, w[::-1]
                 two = w[1] >= second_min

@@ -776,7 +776,7 @@ def k6_projection(spark, d):
 
 def _decomposed(spark, d):
     cnt, profile = agg.count_matrix(points(spark, d)), _profile(spark, d)
-    return cnt, profile, mapping.decompose(cnt, profile, annotate.de_genes(profile, 0.0, 0.02))
+    return cnt, profile, mapping.decompose(cnt, profile, annotate.de_genes(profile, 0.0, 0.02), ref_cells=ref_cells(spark, d))
 
 
 @query("k7_decompose")

@@ -198,3 +198,34 @@ def test_crop_window_stays_in_the_image(spark):
     assert geometry.crop_window(c, 50, 50, 10_000).first().w == 50
     r = geometry.crop_window(c, 2000, 50, 10_000).first()
     assert r.h == 50 and r.w == 200
+
+
+def test_best_pair_of_all_types():
+    rng = np.random.default_rng(11)
+    base = rng.random(30)
+    p = np.abs(base + 0.15 * rng.normal(size=(12, 30)))
+    p /= p.sum(axis=1, keepdims=True)
+    x = rng.dirichlet(np.ones(12), 150) @ p + 0.004 * rng.random((150, 30))
+    x /= x.sum(axis=1, keepdims=True)
+    first, second, w = mapping.best_pairs(x, p)
+    outside = 0
+    for k, row in enumerate(x):
+        error = {}
+        for i in range(12):
+            for j in range(i + 1, 12):
+                v = mapping.nnls(p[[i, j]].T, row)
+                error[i, j] = ((p[[i, j]].T @ v - row) ** 2).sum()
+        own = ((w[k] @ p[[first[k], second[k]]] - row) ** 2).sum()
+        assert (w[k] >= 0).all() and own <= min(error.values()) + 1e-10
+        four = set(np.argsort(-mapping.nnls(p.T, row))[:4].tolist())
+        outside += not {int(first[k]), int(second[k])} <= four
+    assert outside
+
+
+def test_types_of_few_cells_are_left_out(spark, reference):
+    cnt, cells = reference
+    profile = annotate.type_profiles(cnt, cells)
+    genes = profile.select("gene").distinct()
+    few = cells.where("cell_type != 'c' or cell_id < 30")
+    got = mapping.decompose(cnt, profile, genes, ref_cells=few, type_min=20).collect()
+    assert {x for r in got for x in (r.first_type, r.second_type)} <= {"a", "b", None, "None_sp"}
