@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the running text that stands right in them; the page's score is shared out as
 votes on generalised tag-class paths (digits are taken out of class names), the votes of a host are summed in Spark,
-and every page is then read again along its host's winning path. A page without that path is read along its own best
+and every page is then read again along its host's winning path; where that lies in an article, the article is read. A page without that path is read along its own best
 one. The winners are one short row for each host: they are broadcast while they are few, beyond that both sides are
 salted, so that a host with a third of all pages is spread over many tasks.
 
@@ -167,16 +167,30 @@ def votes(page: Page) -> dict[str, int]:
     return {k: round(1000 * v / total) for k, v in score.items() if 1000 * v >= total} if total else {}
 
 
+def _around(parts: list[tuple[int, str, bool]], k: int) -> int:
+    """The nearest article or main that holds container k, or is it; k itself where there is none."""
+    at = k
+    while at >= 0:
+        if re.split(r"[.#]", parts[at][1].rpartition(">")[2], maxsplit=1)[0] in ("article", "main"):
+            return at
+        at = parts[at][0]
+    return k
+
+
 def text_of(page: Page, path: str | None) -> str:
-    """The blocks inside the containers of the path, or of the page's best path where it has none."""
+    """The blocks inside the containers of the path, or of the page's best path where it has none.
+
+    A container inside an article, or else inside main, stands for all of it: its title, lead and other sections too.
+    """
     parts = page.containers
     inside = [False] * len(parts)
     paths = {p[1] for p in parts}
     if path not in paths:
         own = votes(page)
         path = min(own, key=lambda k: (-own[k], k)) if own else ""
-    for k, (parent, own_path, _) in enumerate(parts):
-        inside[k] = own_path == path or (parent >= 0 and inside[parent])
+    roots = {_around(parts, k) for k, p in enumerate(parts) if p[1] == path}
+    for k, (parent, _, _) in enumerate(parts):
+        inside[k] = k in roots or (parent >= 0 and inside[parent])
     return "\n\n".join(text for k, text, _ in page.blocks if inside[k])
 
 

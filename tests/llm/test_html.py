@@ -41,3 +41,13 @@ def test_host_decides(spark):
 def test_broken_markup_does_not_crash():
     for page in ("<", "<p", "<!--", "<div class='a", "</p></p>", "<script>", "a<b>c</i>d &#0; &#xZZ; &amp", "<p>" * 3000, "<div>" * 3000 + "x"):
         html.text_of(html.parse(page), None)
+
+
+def test_the_whole_article_around_the_winner(spark):
+    story = "long text of the story. " * 20
+    nested = "<body><div class=teaser><p>other</p></div><article id=a{}><h1>title</h1><p>lead</p><div class=body><p>{}</p></div></article></body>"
+    parts = "<body><main><section class=intro><p>intro</p></section><section class=text><p>{}</p></section><section class=end><p>end</p></section></main><div class=box><p>box</p></div></body>"
+    rows = [(k, f"http://n.example/{k}", nested.format(k, story)) for k in range(3)] + [(k, f"http://s.example/{k}", parts.format(story)) for k in range(3, 6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"title\n\nlead\n\n{story.strip()}" for k in range(3))
+    assert all(got[k] == f"intro\n\n{story.strip()}\n\nend" for k in range(3, 6))
