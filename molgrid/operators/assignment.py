@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +36,16 @@ def trim_assignment(scored: DataFrame, min_molecules: int) -> DataFrame:
 
 
 def probabilistic_assign(
-    pts: DataFrame, cells: DataFrame, profile: DataFrame, *, neighbours: int = 3, radius: float = 60.0, max_iter: int = 4, tolerance: float = 0.02,
-    inside_bonus: float = 2.0, misread_density: float = 1e-5, r_gene: float = 20.0, inefficiency: float = 0.2, r_spot: float = 2.0,
+    pts: DataFrame, cells: DataFrame, profile: DataFrame, *, neighbours: int = 3, radius: float = 60.0, max_iter: int = 1000, tolerance: float = 0.02,
+    inside_bonus: float = 2.0, misread_density: float = 1e-5, r_gene: float = 20.0, inefficiency: float = 0.2, r_spot: float = 2.0, spot_reg: float = 0.1,
 ) -> DataFrame:
-    """transcript_id, cell_id (0: background), prob: molecules to one of their nearest cells, jointly with cell types.
+    """transcript_id, cell_id (0: background), prob, cell_type, cell_type_prob: molecules to one of their nearest cells,
+    jointly with cell types; a molecule has its cell's most probable type, none in the background.
 
     cells: cell_id, x, y. Rounds: molecules are shared out among candidates by distance, prior label and expected
     expression (softmax with the background); cells then get type probabilities from their expected counts (negative
-    binomial), genes an efficiency. Rounds end when no type probability moves by more than the tolerance.
+    binomial), genes an efficiency. Rounds end when no type probability moves by more than the tolerance; a warning tells
+    where max_iter rounds were not enough. spot_reg is added to the counts that a type leads to expect.
     """
     near = spatial_knn(pts.select(F.col("transcript_id").alias("id"), "x", "y"), cells.select(F.col("cell_id").alias("id"), "x", "y"), neighbours, radius)
     spread = near.agg((F.avg(F.col("distance") ** 2) / 2).alias("s2"))
@@ -65,7 +69,7 @@ def probabilistic_assign(
         sizes = counts.groupBy("cell_id").agg(F.sum("n").alias("size"))
         whole = rates.groupBy("cell_type").agg(F.sum("mu").alias("mu_all"))
         mean = counts.join(F.broadcast(rates), "gene").join(sizes, "cell_id").join(F.broadcast(whole), "cell_type")
-        m = F.col("mu") * F.col("size") / F.col("mu_all")
+        m = F.col("mu") * F.col("size") / F.col("mu_all") + spot_reg
         ll = F.col("n") * F.ln(m / (m + r_spot)) - r_spot * F.ln(1 + m / r_spot)
         by_type = mean.groupBy("cell_id", "cell_type").agg(F.sum(ll).alias("ll"))
         of_cell = Window.partitionBy("cell_id")
@@ -79,6 +83,10 @@ def probabilistic_assign(
         belief = new
         if moved is not None and moved < tolerance:
             break
+    else:
+        warnings.warn(f"probabilistic_assign: type probabilities still moved by {moved} after {max_iter} rounds (tolerance {tolerance})", stacklevel=2)
+    of_cell = belief.groupBy("cell_id").agg(F.max(F.struct("p", "cell_type")).alias("t")).select("cell_id", F.col("t.cell_type").alias("cell_type"), F.col("t.p").alias("cell_type_prob"))
     best = shared.groupBy("id").agg(F.max_by("cell_id", F.struct("share", -F.col("cell_id"))).alias("c"), F.max("share").alias("s"), F.sum("share").alias("all"))
     kept = best.select(F.col("id").alias("transcript_id"), F.when(F.col("s") >= 1 - F.col("all"), F.col("c")).otherwise(F.lit(0)).cast("long").alias("cell_id"), F.greatest(F.col("s"), 1 - F.col("all")).alias("prob"))
-    return pts.select("transcript_id").join(kept, "transcript_id", "left").select("transcript_id", F.coalesce("cell_id", F.lit(0).cast("long")).alias("cell_id"), F.coalesce("prob", F.lit(1.0)).alias("prob"))
+    kept = kept.join(of_cell, "cell_id", "left")
+    return pts.select("transcript_id").join(kept, "transcript_id", "left").select("transcript_id", F.coalesce("cell_id", F.lit(0).cast("long")).alias("cell_id"), F.coalesce("prob", F.lit(1.0)).alias("prob"), "cell_type", "cell_type_prob")

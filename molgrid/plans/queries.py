@@ -806,7 +806,7 @@ def n8(spark, d):
 def h1(spark, d):
     pts = points(spark, d)
     cells = squares(spark, d).select((F.col("cell_id") + 1).alias("cell_id"), (F.col("ring")[0]["x"] + 30).alias("x"), (F.col("ring")[0]["y"] + 30).alias("y"))
-    return _rounded(assignment.probabilistic_assign(pts, cells, _profile(spark, d), max_iter=2), "prob", digits=4)
+    return _rounded(assignment.probabilistic_assign(pts, cells, _profile(spark, d)), "prob", "cell_type_prob", digits=4)
 
 
 @query("h2_spatial_knn", sql("pts squares", """, c AS (SELECT cell_id AS id, x0 + 30 AS x, y0 + 30 AS y FROM squares WHERE cell_id % 7 = 0)

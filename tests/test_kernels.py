@@ -229,3 +229,21 @@ def test_types_of_few_cells_are_left_out(spark, reference):
     few = cells.where("cell_type != 'c' or cell_id < 30")
     got = mapping.decompose(cnt, profile, genes, ref_cells=few, type_min=20).collect()
     assert {x for r in got for x in (r.first_type, r.second_type)} <= {"a", "b", None, "None_sp"}
+
+
+def test_probabilistic_assignment_runs_to_its_tolerance(spark, reference):
+    import warnings
+
+    cnt, cells = reference
+    profile = annotate.type_profiles(cnt, cells)
+    rows = [(f"{k}-{i}", 100.0 * k + i, float(i), f"g{3 * k + i % 3}", 0) for k in range(3) for i in range(6)] + [("far", 5000.0, 5000.0, "g0", 0)]
+    pts = spark.createDataFrame(rows, "transcript_id string, x double, y double, feature_name string, cell_id long")
+    at = spark.createDataFrame([(k + 1, 100.0 * k, 0.0) for k in range(3)], "cell_id long, x double, y double")
+    with pytest.warns(UserWarning, match="after 1 rounds"):
+        assignment.probabilistic_assign(pts, at, profile, max_iter=1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = {r.transcript_id: r for r in assignment.probabilistic_assign(pts, at, profile).collect()}
+    far = got.pop("far")
+    assert (far.cell_id, far.cell_type, far.cell_type_prob) == (0, None, None)
+    assert all(r.cell_type == "abc"[int(k[0])] and 0.9 < r.cell_type_prob <= 1 for k, r in got.items())
