@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import hash_order, uniform
 from molgrid.operators.tables import filter_cells, filter_genes
+from molgrid.sources.writers import written
 
 
 def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
     """Contiguous numbers from 0 in the given order: a range-partitioned sort, numbered within and then across
-    partitions, so no task holds all rows."""
+    partitions, so no task holds all rows.
+
+    The sorted rows are written once with their place: a sort that ran a second time, over other columns or after
+    a lost executor, could draw other bounds between its partitions.
+    """
     at = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    at = at.withColumns({"__p": F.shiftright("__id", 33), "__k": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    at = written(at.select("*", F.shiftright("__id", 33).alias("__p"), F.col("__id").bitwiseAND((1 << 33) - 1).alias("__k")).drop("__id"), "row-id")
     sizes = at.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("__p", before.alias("__b"))  # a row for each partition
-    return at.join(F.broadcast(base), "__p").withColumn(name, F.col("__b") + F.col("__k")).drop("__id", "__p", "__k", "__b")
+    return at.join(F.broadcast(base), "__p").withColumn(name, F.col("__b") + F.col("__k")).drop("__p", "__k", "__b")
 
 
 def factorize(df: DataFrame, col: str, name: str = "code") -> DataFrame:

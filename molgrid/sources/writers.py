@@ -36,10 +36,16 @@ def export_xenium(pts: DataFrame, poly: DataFrame, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the cluster's shared folder (spark.checkpoint.dir), read again: its lineage ends there."""
+    """`df` as a table in the cluster's shared folder (spark.checkpoint.dir), read again: its lineage ends there.
+
+    Where that setting is missing, a local session gets a temporary folder; on a cluster it is an error, since no
+    executor would see the driver's own disk.
+    """
     sc = df.sparkSession.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     path = f"{found.rstrip('/')}/molgrid-{name}-{uuid.uuid4().hex}"

@@ -247,3 +247,22 @@ def test_probabilistic_assignment_runs_to_its_tolerance(spark, reference):
     far = got.pop("far")
     assert (far.cell_id, far.cell_type, far.cell_type_prob) == (0, None, None)
     assert all(r.cell_type == "abc"[int(k[0])] and 0.9 < r.cell_type_prob <= 1 for k, r in got.items())
+
+
+def test_row_ids_written_out_are_contiguous(spark, tmp_path):
+    # more rows and columns than the sort's own sample of bounds sees alike
+    df = spark.range(600_000, numPartitions=7).selectExpr("id", "hash(id) % 5000 as k", "concat('value ', id) as v", "id * 0.5 as w")
+    sample.with_row_id(df, "k", "id").write.parquet(f"{tmp_path}/rows")
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    n = got.selectExpr("count(*)", "count(distinct row_id)", "min(row_id)", "max(row_id)").first()
+    assert tuple(n) == (600_000, 600_000, 0, 599_999)
+    steps = got.alias("a").join(got.alias("b"), F.expr("b.row_id = a.row_id + 1"))
+    assert steps.where("struct(b.k, b.id) <= struct(a.k, a.id)").count() == 0
+
+
+def test_permuted_column_keeps_every_row(spark, tmp_path):
+    df = spark.range(300_000, numPartitions=5).selectExpr("id as cell_id", "concat('t', id % 7) as cell_type", "concat('value ', id) as v")
+    sample.permute_column(df, "cell_type", "cell_id", 9).write.parquet(f"{tmp_path}/rows")
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    assert got.count() == 300_000 == got.select("cell_id").distinct().count()
+    assert sorted(map(tuple, got.groupBy("cell_type").count().collect())) == sorted(map(tuple, df.groupBy("cell_type").count().collect()))
