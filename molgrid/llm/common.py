@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Where that is not set, a local session gets a temporary folder; on a cluster it is an error, since no executor
+    would see the driver's own disk.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,6 +61,18 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `at_once` bytes of the string or binary column; a larger row is one slice."""
+    for b in batches:
+        size = np.cumsum(np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), dtype=np.int64))
+        first = 0
+        while first < b.num_rows:
+            before = size[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(size, before + at_once, side="right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

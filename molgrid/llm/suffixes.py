@@ -5,17 +5,19 @@ is the position, among those of its 16-byte tokens, whose token has the least fi
 string alone. Neighbouring strings share an anchor and form one run, so a text has about one suffix for 17 bytes
 instead of one for each.
 
-1. Runs are range-partitioned by (leading token, rest of the run, doc_id) with sampled splitters, so that a token
-   that many documents share is split by doc_id over several buckets. Each bucket is sorted key by key: only ties of
-   the leading token are sorted by the rest and then by doc_id. A run equal to one of a smaller doc_id is removed
-   whole. A key that equals a splitter can lie on both sides of a boundary: the buckets' first and last keys are
-   compared afterwards.
+1. Suffixes are range-partitioned by their leading tokens (two of eight bytes, in byte order, then a fingerprint of
+   the run, then doc_id) with sampled splitters, so that a token that many documents share is split by doc_id over
+   several buckets. Neighbouring buckets lie in one partition. Each bucket is sorted by multikey quicksort: by the
+   first token, ties alone by the next, and so on. A run equal to one of a smaller doc_id is removed whole. A key
+   that equals a splitter can lie on both sides of a boundary: the buckets' first and last keys are compared
+   afterwards. A bucket that is fuller than a task may hold is split again, by splitters from its own rows, over
+   files of the task.
 2. Runs that share the token but not the rest may still share some of their strings: these few are cut into their
    50-byte strings, which are sorted and compared the same way.
 3. The removed runs meet their texts again, one document at a time.
 
-Before each shuffle a task removes what repeats a smaller doc_id within its own batch, so one key sends one document
-from each batch at most. Equality is judged by two independent 64-bit fingerprints.
+Before each shuffle a task removes what repeats a smaller doc_id within its own part of the input, so one key sends
+one document from each part at most. Sixteen bytes are compared as such, the rest by a 64-bit fingerprint of the run.
 
 Defined cases: a null or empty text has no bytes and loses none; texts under the length lose none; rows that repeat
 a doc_id are not smaller than each other, whatever their texts; a null doc_id counts as larger than any number, and
@@ -25,21 +27,24 @@ null rows are not smaller than each other; an empty table gives an empty result;
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molgrid.llm.common import materialize, n_partitions, text_key, utf8
+from molgrid.llm.common import materialize, n_partitions, sliced, text_key, utf8
 
 TOKEN = 16
 LAST_ID = (1 << 63) - 1
 #: Texts are handled in pieces of this many bytes, which bounds the memory of a task; positions fit the low bits.
-PIECE = 1 << 20
-_POS = np.uint64((1 << 22) - 1)
+PIECE = 1 << 18
+_POS = np.uint64((1 << 20) - 1)
 #: Odd multipliers.
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA24BAED4963EE407)]
 
@@ -71,8 +76,8 @@ def _between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -
 
 
 def _runs(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run: first string, number of strings, token, rest, what stands left and right of the token (0: less
-    than a side), place of the token. valid: positions at which a string starts."""
+    """Of each run: first string, number of strings, the token's halves as numbers in byte order, rest, what stands
+    left and right of the token (0: less than a side), place of the token. valid: positions at which a string starts."""
     words = np.ascontiguousarray(np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,)))
     h = words[:-8] * _K[0]
     h = _mix((h ^ (h >> np.uint64(31))) + words[8:] * _K[1])
@@ -95,7 +100,8 @@ def _runs(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray,
     left = np.where(anchor - start >= side, _between(sums, np.maximum(anchor - side, 0), anchor, 4) | np.uint64(1), 0)
     after = anchor + TOKEN
     right = np.where(end - after >= side, _between(sums, after, np.minimum(after + side, len(buf)), 4) | np.uint64(1), 0)
-    return start, count, h[anchor], rest, left, right, anchor - start
+    in_order = np.ndarray((len(buf) - 7,), ">u8", buf, 0, (1,))
+    return start, count, in_order[anchor], in_order[anchor + 8], rest, left, right, anchor - start
 
 
 def _side(length: int) -> int:
@@ -132,18 +138,23 @@ def _joined(parts: list[tuple], length: int) -> tuple:
 
 
 #: A run's columns. left and right are cut to 16 bits: they only save comparisons.
-KINDS = {"token": "<u8", "rest": "<u8", "doc": "<i8", "start": "<i8", "nth": "<u4", "left": "<u2", "right": "<u2", "count": "u1", "place": "u1"}
+KINDS = {"lead": "<u8", "next": "<u8", "rest": "<u8", "doc": "<i8", "start": "<u4", "nth": "<u4", "left": "<u2", "right": "<u2", "count": "u1", "place": "u1"}
 Records = dict[str, np.ndarray]
 
 
+#: The keys in the order of comparison; those that make a token, and those that make a run.
+ORDER = ("lead", "next", "rest", "doc")
+TOKEN_KEYS, RUN_KEYS = ORDER[:2], ORDER[:3]
+
+
 def _records(batch: pa.RecordBatch, length: int) -> Records:
     """All runs of a batch of (doc_id, nth, text) rows."""
     ids = batch.column(0).fill_null(LAST_ID).to_numpy()
     out: dict[str, list] = {k: [] for k in KINDS}
     for buf, valid, at, doc, nth, offset in pieces(ids, batch.column(1).to_numpy(), utf8(batch.column(2)), length):
-        start, count, token, rest, left, right, place = _runs(buf, valid, length)
+        start, count, lead, after, rest, left, right, place = _runs(buf, valid, length)
         part = np.searchsorted(at, start, side="right") - 1
-        of = {"token": token, "rest": rest, "doc": doc[part], "nth": nth[part], "start": start - at[part] + offset[part]}
+        of = {"lead": lead, "next": after, "rest": rest, "doc": doc[part], "nth": nth[part], "start": start - at[part] + offset[part]}
         for k, v in (of | {"count": count, "left": left, "right": right, "place": place}).items():
             out[k].append(v.astype(KINDS[k]))
     return {k: np.concatenate(v) if v else np.zeros(0, KINDS[k]) for k, v in out.items()}
@@ -157,16 +168,26 @@ def _concat(parts: list[Records]) -> Records:
     return {k: np.concatenate([p[k] for p in parts]) for k in KINDS}
 
 
-def _ties(rec: Records) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows whose token occurs more than once, sorted by token, rest, doc; where tokens and where keys begin there."""
-    order = np.argsort(rec["token"])
-    t = rec["token"][order]
-    same = t[1:] == t[:-1]
-    order = order[np.r_[same, False] | np.r_[False, same]] if len(t) else order
-    order = order[np.lexsort((rec["doc"][order], rec["rest"][order], rec["token"][order]))]
-    t, x = rec["token"][order], rec["rest"][order]
-    new_token = np.r_[True, t[1:] != t[:-1]][: len(t)]
-    return order, new_token, new_token | np.r_[True, x[1:] != x[:-1]][: len(t)]
+def multikey_ties(rec: Records) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose token occurs more than once in order of all keys; where tokens and where runs begin there.
+
+    Multikey quicksort over whole columns: each key sorts only what the keys before it left equal, and rows that no
+    other equals in a token are left out as soon as that shows.
+    """
+    order = np.argsort(rec["lead"])  # quicksort
+    begin = np.arange(len(order)) == 0
+    begins = {}
+    for k, name in enumerate(ORDER):
+        if k:
+            group = np.cumsum(begin)
+            order = order[np.lexsort((rec[name][order], group))]
+        value = rec[name][order]
+        begin[1:] |= value[1:] != value[:-1]
+        if name in TOKEN_KEYS:
+            alone = begin & np.r_[begin[1:], True][: len(begin)]
+            order, begin = order[~alone], begin[~alone]
+        begins[name] = begin.copy()
+    return order, begins[TOKEN_KEYS[-1]], begins[RUN_KEYS[-1]]
 
 
 def _later(rec: Records, order: np.ndarray, new_key: np.ndarray) -> np.ndarray:
@@ -177,21 +198,23 @@ def _later(rec: Records, order: np.ndarray, new_key: np.ndarray) -> np.ndarray:
 
 def _local(rec: Records) -> tuple[Records, Records]:
     """What a smaller doc_id of the same batch repeats, and the others."""
-    order, _, new_key = _ties(rec)
+    order, _, new_key = multikey_ties(rec)
     gone = np.zeros(len(rec["doc"]), dtype=bool)
     gone[order[_later(rec, order, new_key)]] = True
     return _take(rec, np.flatnonzero(gone)), _take(rec, np.flatnonzero(~gone))
 
 
 def _bucket(rec: Records, splitters: np.ndarray) -> np.ndarray:
-    """The number of splitters (sorted rows of token, rest, doc) that are not larger than each row."""
-    tokens = splitters["token"]
-    at, high = np.searchsorted(tokens, rec["token"], "left"), np.searchsorted(tokens, rec["token"], "right")
+    """The number of splitters (sorted rows of the keys) that are not larger than each row."""
+    at, high = (np.searchsorted(splitters["lead"], rec["lead"], side) for side in ("left", "right"))
     open_ = np.flatnonzero(at < high)
     while len(open_):
         s = splitters[at[open_]]
-        x, d = rec["rest"][open_], rec["doc"][open_]
-        open_ = open_[(s["rest"] < x) | ((s["rest"] == x) & (s["doc"] <= d))]
+        reached = np.ones(len(open_), dtype=bool)
+        for name in ORDER[:0:-1]:
+            own = rec[name][open_]
+            reached = (s[name] < own) | ((s[name] == own) & reached)
+        open_ = open_[reached]
         at[open_] += 1
         open_ = open_[at[open_] < high[open_]]
     return at
@@ -213,48 +236,57 @@ def _unpack(blob: bytes) -> Records:
     return out | {"doc": np.cumsum(out["doc"])}
 
 
-def _dealt(rec: Records, bucket: np.ndarray, gone: Records, buckets: int, turn: int) -> pa.RecordBatch:
-    """A row for each bucket; buckets from `buckets` on carry what is removed already."""
+def _dealt(rec: Records, bucket: np.ndarray, gone: Records, buckets: int, partitions: int, turn: int, most: int = 1 << 14) -> pa.RecordBatch:
+    """Rows of up to `most` runs for each bucket, with the partition that its range of buckets has; buckets from
+    `buckets` on carry what is removed already."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
-    pids, blobs = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if b > a:
-            pids.append(int(bucket[order[a]]))
-            blobs.append(_pack(_take(rec, order[a:b])))
-    if len(gone["doc"]):
-        pids.append(buckets + turn % buckets)
-        blobs.append(_pack(gone))
-    return pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(blobs, pa.large_binary()).cast(pa.binary())], names=["bucket", "runs"])
-
-
+    places, ids, blobs = [], [], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for i in range(a, b, most):
+            own = int(bucket[order[i]])
+            places.append(own * partitions // buckets)
+            ids.append(own)
+            blobs.append(_pack(_take(rec, order[i : min(i + most, b)])))
+    for i in range(0, len(gone["doc"]), most):
+        places.append(turn % partitions)
+        ids.append(buckets)
+        blobs.append(_pack({k: v[i : i + most] for k, v in gone.items()}))
+    return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["place", "bucket", "runs"])
+
+
+DEALT = "place int, bucket int, runs binary"
 GONE, UNSURE, FIRST, PENDING = range(4)
-OUT = "kind byte, token long, rest long, doc long, nth long, run long"
+OUT = "kind byte, lead long, next long, rest long, doc long, nth long, run long"
 
 
 def _rows(kind: int, rec: Records, keyed: bool = False) -> pa.RecordBatch:
     """run: the first string and, in the low byte, the number of strings."""
     n = len(rec["doc"])
-    run = rec["start"] * 256 + rec["count"].astype(np.int64)
-    key = [pa.array(rec[k].view(np.int64)) if keyed else pa.nulls(n, pa.int64()) for k in ("token", "rest")]
+    run = rec["start"].astype(np.int64) * 256 + rec["count"].astype(np.int64)
+    key = [pa.array(rec[k].view(np.int64)) if keyed else pa.nulls(n, pa.int64()) for k in RUN_KEYS]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, kind, np.int8)), *key, pa.array(rec["doc"]), pa.array(rec["nth"].astype(np.int64)), pa.array(run)],
-        names=["kind", "token", "rest", "doc", "nth", "run"],
+        names=["kind", *RUN_KEYS, "doc", "nth", "run"],
     )
 
 
+def _equals(rec: Records, splitter: np.void, names: tuple[str, ...]) -> np.ndarray:
+    return np.logical_and.reduce([rec[k] == splitter[k] for k in names])
+
+
 def _sorted_bucket(rec: Records, low: np.void | None, high: np.void | None, length: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """low, high: the splitters below and above the bucket. whole: runs that share the token only are wanted too."""
     edge = np.zeros(len(rec["doc"]), dtype=bool)
     for s in (low, high):
         if s is not None:
-            edge |= rec["token"] == s["token"]
-    order, new_token, new_key = _ties(rec)
+            edge |= _equals(rec, s, TOKEN_KEYS)
+    order, new_token, new_key = multikey_ties(rec)
     later = _later(rec, order, new_key)
     yield _rows(GONE, _take(rec, order[later]))
     for s, kind in ((high, FIRST), (low, PENDING)):
         if s is not None and edge.any():
-            at = np.flatnonzero((rec["token"] == s["token"]) & (rec["rest"] == s["rest"]))
+            at = np.flatnonzero(_equals(rec, s, RUN_KEYS))
             if len(at):
                 at = at[rec["doc"][at] == rec["doc"][at].min()]
                 yield _rows(kind, _take(rec, at), keyed=True)
@@ -293,75 +325,100 @@ def _sorted_bucket(rec: Records, low: np.void | None, high: np.void | None, leng
     last = np.where(match["right"][at], n - 1, np.minimum(middle, n - 1))
     ok = last >= first
     r = _take(r, np.flatnonzero(ok))
-    r["start"], r["count"] = r["start"] + first[ok], (last - first + 1)[ok].astype(np.uint8)
+    r["start"], r["count"] = (r["start"] + first[ok]).astype("<u4"), (last - first + 1)[ok].astype(np.uint8)
     yield _rows(UNSURE, r)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    now, held = None, []
-    for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if bucket != now and held:
-                yield now, held
-                held = []
-            now = bucket
-            held.append(blob)
-    if held:
-        yield now, held
-
-
-def _sorted(dealt: DataFrame, splitters: np.ndarray, length: int, whole: bool) -> DataFrame:
-    """`dealt` (bucket, runs) sorted and compared bucket by bucket, written to the shared folder."""
-    buckets = len(splitters) + 1
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
+    """Each bucket with its blobs, one after the other; `batches` (bucket, runs) are sorted by bucket."""
+    rows = ((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for b in batches for i in range(b.num_rows))
+    return ((k, (blob for _, blob in own)) for k, own in groupby(rows, key=lambda r: r[0]))
+
+
+def _cuts(rec: Records, parts: int) -> np.ndarray:
+    """Splitters between parts of about equal size, from the rows themselves."""
+    keys = np.zeros(len(rec["doc"]), dtype=_KEY)
+    for k in ORDER:
+        keys[k] = rec[k]
+    keys = keys[np.lexsort([keys[k] for k in reversed(ORDER)])]
+    found = keys[np.linspace(0, len(keys) - 1, parts + 1)[1:-1].astype(int)] if len(keys) else keys
+    # the first key would leave the lowest part empty
+    return np.unique(found[found != keys[0]]) if len(found) else found
+
+
+def _held(blobs: Iterator[bytes], low: np.void | None, high: np.void | None, room: int, parts: int = 16) -> Iterator[tuple]:
+    """A bucket's rows with the splitters around them; in parts, over files of the task, if they take over `room` bytes."""
+    held, size = [], 0
+    for blob in blobs:
+        held.append(_unpack(blob))
+        size += len(blob)
+        if size > room:
+            break
+    rec = _concat(held)
+    cuts = _cuts(rec, parts) if size > room else []
+    if not len(cuts):  # small, or a single key of one document
+        rest = [_unpack(x) for x in blobs]
+        yield _concat([rec, *rest]) if rest else rec, low, high
+        return
+    del held
+    with ExitStack() as stack:
+        files = [stack.enter_context(tempfile.TemporaryFile()) for _ in range(len(cuts) + 1)]
+        for part in chain([rec], map(_unpack, blobs)):
+            of = _bucket(part, cuts)
+            for k in np.unique(of).tolist():
+                packed = _pack(_take(part, np.flatnonzero(of == k)))
+                files[k].write(len(packed).to_bytes(8, "little") + packed)
+            part = rec = None
+        for k, file in enumerate(files):
+            file.seek(0)
+            own = (file.read(int.from_bytes(n, "little")) for n in iter(lambda f=file: f.read(8), b""))
+            yield from _held(own, cuts[k - 1] if k else low, cuts[k] if k < len(cuts) else high, room, parts)
+
+
+def _compared(dealt: DataFrame, partitions: int, length: int, splitters: np.ndarray | None, room: int, name: str) -> DataFrame:
+    """`dealt` sorted and compared bucket by bucket, written to the shared folder. Without splitters each key lies in
+    one bucket, and runs are single strings, with nothing to cut further."""
+    buckets = len(splitters) + 1 if splitters is not None else partitions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in _by_bucket(batches):
-            rec = _concat([_unpack(x) for x in blobs])
             if bucket >= buckets:
-                yield _rows(GONE, rec)
+                for blob in blobs:
+                    yield _rows(GONE, _unpack(blob))
                 continue
-            low = splitters[bucket - 1] if bucket else None
-            high = splitters[bucket] if bucket < len(splitters) else None
-            yield from _sorted_bucket(rec, low, high, length, whole)
+            low = splitters[bucket - 1] if splitters is not None and bucket else None
+            high = splitters[bucket] if splitters is not None and bucket < len(splitters) else None
+            for rec, above, below in _held(blobs, low, high, room):
+                yield from _sorted_bucket(rec, above, below, length, splitters is not None)
 
-    placed = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return materialize(placed.mapInArrow(run, OUT), "suffix-runs")
+    placed = dealt.repartitionById(partitions, "place").select("bucket", "runs").sortWithinPartitions("bucket")
+    return materialize(placed.mapInArrow(run, OUT), name)
 
 
-_KEY = [("token", "<u8"), ("rest", "<u8"), ("doc", "<i8")]
+_KEY = [("lead", "<u8"), ("next", "<u8"), ("rest", "<u8"), ("doc", "<i8")]
 
 
-def _sampled_splitters(docs: DataFrame, length: int, bucket_bytes: int, sample_docs: int) -> np.ndarray:
-    """Splitters between buckets of about `bucket_bytes` bytes of text, from about `sample_docs` documents."""
-    n = docs.count()
+def _sampled_splitters(docs: DataFrame, length: int, partitions: int, bucket_bytes: int, most_buckets: int) -> np.ndarray:
+    """Splitters between buckets of about `bucket_bytes` bytes of text, at most `most_buckets` of them, from a sample of
+    about 16 keys for each."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = min(max(partitions, int(size / bucket_bytes)), max(most_buckets, partitions))
+    fine = np.uint64(8)
+    # a text of `size / n` bytes has a run for 17 bytes, of which one in `fine` is taken
+    want = 16 * buckets * 17 * int(fine) / max(size / max(n, 1), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rec = _records(b, length)
-            at = np.flatnonzero(_mix(rec["token"] ^ rec["doc"].view(np.uint64) * _K[0]) % np.uint64(8) == 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rec["token"][at].view(np.int64)), pa.array(rec["rest"][at].view(np.int64)), pa.array(rec["doc"][at]), pa.array(np.full(len(at), 0))],
-                names=["token", "rest", "doc", "bytes"],
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0]), pa.array([0]), pa.array([-1]), pa.array([sum(len(x or b"") for x in utf8(b.column(2)))])],
-                names=["token", "rest", "doc", "bytes"],
-            )
-
-    part = min(1.0, sample_docs / max(n, 1))
-    found = docs.sample(False, part, 7).mapInArrow(run, "token long, rest long, doc long, bytes long").toPandas()
-    buckets = max(2 * n_partitions(docs.sparkSession), int(found["bytes"].sum() / part / bucket_bytes))
-    found = found[found["bytes"] == 0]
-    keys = np.zeros(len(found), dtype=_KEY)
-    for k, t in _KEY:
-        keys[k] = found[k].to_numpy().view(t)
-    keys = np.unique(keys)
-    if len(keys) < 2:
-        return keys[:0]
-    return keys[np.unique(np.linspace(0, len(keys) - 1, buckets + 1)[1:-1].astype(int))]
-
-
-def _strings(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(_mix(rec["lead"] ^ rec["next"] * _K[1] ^ rec["doc"].view(np.uint64) * _K[0]) % fine == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(rec[k][at].view(np.int64)) for k in ORDER], names=list(ORDER))
+
+    part = min(1.0, max(want, 2000) / max(n, 1))
+    found = docs.sample(False, part, 7).mapInArrow(run, ", ".join(f"{k} long" for k in ORDER)).toPandas()
+    return _cuts({k: found[k].to_numpy().view(t) for k, t in _KEY}, buckets)
+
+
+def _strings(batches: Iterator[pa.RecordBatch], partitions: int, length: int) -> Iterator[pa.RecordBatch]:
     """(doc, nth, text, runs) rows: every string of the runs as a record of its own, dealt by its fingerprint."""
     for turn, b in enumerate(batches):
         parts = []
@@ -376,17 +433,17 @@ def _strings(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> It
                     continue
                 buf = np.frombuffer(text[s : s + PIECE + length - 1], np.uint8)
                 keys = [_between(_sums(buf, k), own, own + length, k) for k in (4, 1)]
-                fill = {"token": keys[0], "rest": keys[1], "doc": doc, "nth": nth, "start": own + s, "count": 1}
+                fill = {"lead": keys[0], "rest": keys[1], "doc": doc, "nth": nth, "start": own + s, "count": 1}
                 parts.append({k: np.broadcast_to(fill.get(k, 0), own.shape).astype(t) for k, t in KINDS.items()})
         if parts:
             gone, rec = _local(_concat(parts))
-            yield _dealt(rec, (rec["token"] >> np.uint64(32)).astype(np.int64) * buckets >> 32, gone, buckets, turn)
+            yield _dealt(rec, (rec["lead"] >> np.uint64(32)).astype(np.int64) * partitions >> 32, gone, partitions, partitions, turn)
 
 
 def _resolved(found: DataFrame) -> DataFrame:
     """doc, nth, run of what is removed: at once, or since an earlier bucket has the key with a smaller doc_id."""
-    first = found.where(F.col("kind") == FIRST).groupBy("token", "rest").agg(F.min("doc").alias("low"))
-    pending = found.where(F.col("kind") == PENDING).join(first, ["token", "rest"]).where("low < doc")
+    first = found.where(F.col("kind") == FIRST).groupBy(*RUN_KEYS).agg(F.min("doc").alias("low"))
+    pending = found.where(F.col("kind") == PENDING).join(first, list(RUN_KEYS)).where("low < doc")
     return found.where(F.col("kind") == GONE).select("doc", "nth", "run").unionByName(pending.select("doc", "nth", "run"))
 
 
@@ -406,34 +463,30 @@ def numbered(docs: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.coalesce("nth", F.lit(0).cast("long")).alias("nth"), "text", "doc_id")
 
 
-def repeated_runs(rows: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20, sample_docs: int = 2000) -> DataFrame:
-    """doc, nth, run: the strings of `rows` (as `numbered` gives them) that a smaller doc has too."""
+def repeated_runs(rows: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, most_buckets: int = 1 << 15, room: int = 32 << 20, at_once: int = 8 << 20) -> DataFrame:
+    """doc, nth, run: the strings of `rows` (as `numbered` gives them) that a smaller doc has too.
+
+    A task holds the runs of `at_once` bytes of text before the shuffle, and `room` bytes of runs behind it, whatever
+    the size of the table: buckets are of about `bucket_bytes` of text, and fuller ones, as tables beyond
+    `most_buckets` of them have, are split in the task.
+    """
     texts = rows.select("doc", "nth", "text")
-    splitters = _sampled_splitters(texts, length, bucket_bytes, sample_docs)
+    partitions = 2 * n_partitions(rows.sparkSession)
+    splitters = _sampled_splitters(texts, length, partitions, bucket_bytes, most_buckets)
     buckets = len(splitters) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(batches):
+        for turn, b in enumerate(sliced(batches, 2, at_once)):
             gone, rec = _local(_records(b, length))
-            yield _dealt(rec, _bucket(rec, splitters), gone, buckets, turn)
+            yield _dealt(rec, _bucket(rec, splitters), gone, buckets, partitions, turn)
 
-    found = _sorted(texts.mapInArrow(deal, "bucket int, runs binary"), splitters, length, whole=True)
+    found = _compared(texts.mapInArrow(deal, DEALT), partitions, length, splitters, room, "suffix-runs")
     unsure = found.where(F.col("kind") == UNSURE).groupBy("doc", "nth").agg(F.collect_list("run").alias("runs"))
     cut = texts.join(unsure, ["doc", "nth"]).select("doc", "nth", "text", "runs")
-    # strings are dealt by the leading bits of a fingerprint: each batch sends a key once, so none is heavy
-    dealt = cut.mapInArrow(lambda it: _strings(it, buckets, length), "bucket int, runs binary")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in _by_bucket(batches):
-            rec = _concat([_unpack(x) for x in blobs])
-            if bucket >= buckets:
-                yield _rows(GONE, rec)
-            else:
-                yield from _sorted_bucket(rec, None, None, length, whole=False)
-
-    placed = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    strings = materialize(placed.mapInArrow(compare, OUT), "suffix-strings")
-    return _resolved(found).unionByName(strings.where(F.col("kind") == GONE).select("doc", "nth", "run"))
+    # strings are dealt by the leading bits of a fingerprint: each part of the input sends a key once, so none is heavy
+    dealt = cut.mapInArrow(lambda it: _strings(sliced(it, 2, at_once), partitions, length), DEALT)
+    strings = _compared(dealt, partitions, length, None, room, "suffix-strings")
+    return _resolved(found).unionByName(_resolved(strings))
 
 
 def _spans(runs: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:

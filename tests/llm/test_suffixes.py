@@ -48,3 +48,39 @@ def test_spans_and_kept_bytes(spark, no_docs):
     assert [(s.start, s.end) for s in got[2].spans] == [(3, 63)] and bytes(got[2].kept) == b"abcdef"
     assert got[1].n_removed == 0
     assert suffixes.deduplicated(no_docs).count() == 0
+
+
+def test_multikey_order_is_the_order_of_the_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 5000
+    rec = {k: np.zeros(n, t) for k, t in suffixes.KINDS.items()}
+    for k, size in zip(suffixes.ORDER, (40, 4, 3, 5)):
+        rec[k] = rng.integers(0, size, n).astype(suffixes.KINDS[k])
+    rec["lead"][:50] = np.arange(1000, 1050)
+    order, new_token, new_run = suffixes.multikey_ties(rec)
+    keys = list(zip(*(rec[k].tolist() for k in suffixes.ORDER)))
+    from collections import Counter
+
+    often = Counter(k[:2] for k in keys)
+    want = sorted(k for k in keys if often[k[:2]] > 1)
+    got = [keys[i] for i in order]
+    assert got == want
+    assert [bool(x) for x in new_token] == [i == 0 or got[i][:2] != got[i - 1][:2] for i in range(len(got))]
+    assert [bool(x) for x in new_run] == [i == 0 or got[i][:3] != got[i - 1][:3] for i in range(len(got))]
+
+
+def test_over_full_buckets_are_split_again(spark):
+    rng = random.Random(6)
+    shared = "one passage that very many of these documents share, word for word, again and again. "
+    rows = [(k % 300, "".join(rng.choice("abcdef gh") for _ in range(rng.randint(0, 300))) + shared * rng.randint(0, 3)) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    numbered = suffixes.numbered(docs)
+    plain = sorted(tuple(r) for r in suffixes.repeated_runs(numbered).distinct().collect())
+
+    def bytes_of(runs):
+        return {(d, nth, i) for d, nth, run in runs for i in range(run >> 8, (run >> 8) + (run & 255))}
+
+    tiny = suffixes.repeated_runs(numbered, bucket_bytes=2000, most_buckets=3, room=3000, at_once=4000).collect()
+    assert bytes_of(tiny) == bytes_of(plain) and len(plain) > 300
