@@ -1,9 +1,9 @@
 """Benchmark decontamination, DataFrame functions only.
 
-The benchmark's normalised 10-word windows form a small table that is broadcast as a hash relation (behind a check
-of its size; a shuffled join serves beyond it). Training texts are cut into words once, every word position looks up
-the hash of its first words, and what is found is verified word by word. Spans of hit words are then merged per
-document.
+The benchmark's normalised 10-word windows form a small table that is broadcast as a hash relation while its size
+allows (an equi-join on the same keys serves beyond it). Training texts are cut into words once. A bitmap of the
+windows' first words, a bounded literal in the plan, tells which positions of a text can begin a window; only these
+leave the row, are looked up in the windows and verified word by word. Spans of hit words are then merged per document.
 
 Defined cases: a null or empty text has no words and is never hit; a null `item_id` still marks words as hit but is
 not listed; rows that repeat a (doc_id, text) pair each get the same answer; rows with a null doc_id are judged by
@@ -21,9 +21,13 @@ from molgrid.llm.common import text_key
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What stands between the words of a text in lower case.
+BETWEEN = "[^0-9a-z\\x{80}-\\x{10FFFF}]+"
 
 #: A position first looks up this many words, or the whole window where that is shorter.
 PREFIX = 3
+#: Bits of the bitmap, as powers of two.
+LEAST_BITS, MOST_BITS = 12, 22
 
 
 def ascii_lower(text: Column) -> Column:
@@ -37,8 +41,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
 
-def _prefix_key(word_at, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *[word_at(k) for k in range(n)])
+def _prefix_key(hashes: Column, at: Column, n: int) -> Column:
+    """Key of the n words from `at` on, of which `hashes` has the hashes."""
+    return F.xxhash64(F.lit(n), *[F.get(hashes, at + k) for k in range(n)])
 
 
 def benchmark_windows(items: DataFrame, n: int = 10) -> DataFrame:
@@ -46,48 +51,70 @@ def benchmark_windows(items: DataFrame, n: int = 10) -> DataFrame:
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     grams = w.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("g"))
-    key = F.when(F.size("g") == 1, _prefix_key(lambda k: F.get("g", F.lit(k)), 1))
+    led = grams.select("item", "g", F.transform(F.slice("g", 1, PREFIX), lambda x: F.xxhash64(x)).alias("h"))
+    key = F.when(F.size("h") == 1, _prefix_key(F.col("h"), F.lit(0), 1))
     for p in range(2, PREFIX):
-        key = key.when(F.size("g") == p, _prefix_key(lambda k: F.get("g", F.lit(k)), p))
-    key = key.otherwise(_prefix_key(lambda k: F.get("g", F.lit(k)), PREFIX))
+        key = key.when(F.size("h") == p, _prefix_key(F.col("h"), F.lit(0), p))
+    key = key.otherwise(_prefix_key(F.col("h"), F.lit(0), PREFIX))
     return (
-        grams.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("length"), key.alias("key"))
+        led.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("length"), key.alias("key"))
         .groupBy("gram", "length", "key")
         .agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
         .withColumn("prefix", F.least("length", F.lit(PREFIX)))
     )
 
 
-def window_hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """One row for each window found in a text: doc_id, text_key, start (word index from 0), length, item_ids."""
+def _bitmap(windows: DataFrame, n: int) -> tuple[Column, int]:
+    """The keys' low bits as an array of longs, and how many bits count: 16 for each of n windows, within bounds."""
+    bits = min(max(LEAST_BITS, (16 * n).bit_length()), MOST_BITS)
+    own = windows.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("bit"))
+    rows = own.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    found = [0] * (1 << (bits - 6))
+    for r in rows.collect():  # at most 65,536
+        found[r["at"]] = r["word"]
+    return F.expr(f"cast(split('{','.join(map(str, found))}', ',') as array<bigint>)"), bits
+
+
+def _looked_up(docs: DataFrame, items: DataFrame, n: int, broadcast_bytes: int) -> DataFrame:
+    """doc_id, text_key, n_words, start, length, item_ids: a row with start -1 for each row of `docs`, and one for each
+    window found (start: word index from 0)."""
     windows = benchmark_windows(items, n)
     size = windows.agg(
         F.coalesce(F.sum(F.octet_length("gram") + 64 + 16 * F.size("item_ids")), F.lit(0)).alias("bytes"),
+        F.count("*").alias("n"),
         F.sort_array(F.collect_set("prefix")).alias("prefixes"),
-        F.sort_array(F.collect_set("length")).alias("lengths"),
     ).first()
-    base = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
-    at = base.select("doc_id", "text_key", "w", F.posexplode("w").alias("start", "word"))
-    gram = F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ")
-    if size["bytes"] <= broadcast_bytes:
-        keys = [_prefix_key(lambda k: F.get("w", F.col("start") + k), p) for p in size["prefixes"] or [PREFIX]]
-        if len(keys) == 1:
-            looked = at.select("doc_id", "text_key", "w", "start", keys[0].alias("key"))
-        else:
-            looked = at.select("doc_id", "text_key", "w", "start", F.explode(F.array(*keys)).alias("key"))
-        found = looked.join(F.broadcast(windows.withColumnRenamed("gram", "item_gram")), "key").where(
-            gram == F.col("item_gram")
-        )
-        return found.select("doc_id", "text_key", "start", "length", "item_ids")
-    lengths = F.explode(F.array(*[F.lit(x) for x in size["lengths"]]))
-    looked = (
-        at.select("doc_id", "text_key", "w", "start", lengths.alias("length"))
-        .where(F.col("start") + F.col("length") <= F.size("w"))
-        .select("doc_id", "text_key", "start", "length", gram.alias("gram"))
-    )
-    return looked.join(windows.select("gram", "length", "item_ids"), ["gram", "length"]).select(
-        "doc_id", "text_key", "start", "length", "item_ids"
+    bitmap, bits = _bitmap(windows, size["n"])
+    cut = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN).alias("w"))
+    # what stands before the first and behind the last separator may be empty
+    lead = (F.get("w", F.lit(0)) == "").cast("int")
+    tail = ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
+    base = cut.select(
+        "*", lead.alias("lead"), (F.size("w") - lead - tail).cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")
     )
+    prefixes = size["prefixes"] or [PREFIX]
+
+    def may_begin(at: Column) -> Column:
+        found = F.lit(False)
+        for p in prefixes:
+            low = _prefix_key(F.col("h"), at, p).bitwiseAND((1 << bits) - 1)
+            word = F.get(bitmap, F.shiftright(low, 6).cast("int"))
+            found = found | (F.getbit(word, low.bitwiseAND(63).cast("int")) == 1)
+        return found
+
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), may_begin)
+    sown = base.select("doc_id", "text_key", "lead", "n_words", "w", "h", F.explode(F.concat(F.array(F.lit(-1)), places)).alias("at"))
+    ahead = F.concat(F.array_join(F.slice("w", F.col("at") + 1, n), " "), F.lit(" "))
+    own_keys = [_prefix_key(F.col("h"), F.col("at"), p) for p in prefixes]
+    # the rows that stand for their documents find no key, and are spread by their own
+    keys = F.explode(F.when(F.col("at") < 0, F.array(F.xxhash64("doc_id", "text_key"))).otherwise(F.array(*own_keys)))
+    looked = sown.select("doc_id", "text_key", "lead", "n_words", "at", F.when(F.col("at") >= 0, ahead).alias("ahead"), keys.alias("own_key"))
+    if size["bytes"] <= broadcast_bytes:
+        windows = F.broadcast(windows)
+    same = (F.col("own_key") == F.col("key")) & (F.col("at") >= 0) & F.col("ahead").startswith(F.concat("gram", F.lit(" ")))
+    found = looked.join(windows, same, "left").where("at < 0 or gram is not null")
+    start = F.when(F.col("at") < 0, F.col("at")).otherwise(F.col("at") - F.col("lead"))
+    return found.select("doc_id", "text_key", "n_words", start.alias("start"), "length", "item_ids")
 
 
 def merged(spans: Column) -> Column:
@@ -125,30 +152,20 @@ def covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """One row for each row of `docs`: doc_id, text_key, n_words, n_hit, spans, items (sorted ids of the items found)."""
-    hits = (
-        window_hits(docs, items, n, broadcast_bytes)
+    hit = F.when(F.col("start") >= 0, F.struct("start", (F.col("start") + F.col("length")).alias("end")))
+    of = (
+        _looked_up(docs, items, n, broadcast_bytes)
         .groupBy("doc_id", "text_key")
         .agg(
-            F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
+            F.max("n_words").alias("n_words"),
+            F.count_if(F.col("start") < 0).cast("int").alias("times"),
+            F.sort_array(F.collect_set(hit)).alias("spans"),
             # windows of one item share one id array, so this set holds few arrays however many windows were hit
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),
         )
-        .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans", "items")
-    )
-    every = docs.select(
-        "doc_id",
-        text_key(F.col("text")).alias("text_key"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
-    )
-    joined = every.join(hits, every["doc_id"].eqNullSafe(hits["hit_id"]) & (every["text_key"] == hits["hit_key"]), "left")
-    return joined.select(
-        "doc_id",
-        "text_key",
-        "n_words",
-        F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+    each = of.select("doc_id", "text_key", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("nth"))
+    return each.select("doc_id", "text_key", "n_words", covered(F.col("spans")).alias("n_hit"), "spans", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = 10) -> DataFrame:
