@@ -46,8 +46,16 @@ def _prefix_key(hashes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.get(hashes, at + k) for k in range(n)])
 
 
+def _low_bits(hashes: Column, at: Column, n: int, bits: int) -> Column:
+    """Place in the bitmap of the n words from `at` on; null where the text ends before."""
+    mixed = F.get(hashes, at)
+    for k in range(1, n):
+        mixed = mixed.bitwiseXOR(F.shiftrightunsigned(F.get(hashes, at + k), 20 * k))
+    return mixed.bitwiseAND((1 << bits) - 1).cast("int")
+
+
 def benchmark_windows(items: DataFrame, n: int = 10) -> DataFrame:
-    """Distinct windows: gram (words joined by a space), length, prefix, key, item_ids (sorted strings)."""
+    """Distinct windows: gram (words joined by a space), length, prefix, key, hashes (of the prefix), item_ids (sorted strings)."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     grams = w.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("g"))
@@ -57,18 +65,20 @@ def benchmark_windows(items: DataFrame, n: int = 10) -> DataFrame:
         key = key.when(F.size("h") == p, _prefix_key(F.col("h"), F.lit(0), p))
     key = key.otherwise(_prefix_key(F.col("h"), F.lit(0), PREFIX))
     return (
-        led.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("length"), key.alias("key"))
-        .groupBy("gram", "length", "key")
+        led.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("length"), key.alias("key"), F.col("h").alias("hashes"))
+        .groupBy("gram", "length", "key", "hashes")
         .agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
         .withColumn("prefix", F.least("length", F.lit(PREFIX)))
     )
 
 
-def _bitmap(windows: DataFrame, n: int) -> tuple[Column, int]:
-    """The keys' low bits as an array of longs, and how many bits count: 16 for each of n windows, within bounds."""
+def _bitmap(windows: DataFrame, n: int, prefixes: list[int]) -> tuple[Column, int]:
+    """The windows' places in a bitmap, as an array of longs, and how many bits a place has: 16 places for each of n
+    windows, within bounds."""
     bits = min(max(LEAST_BITS, (16 * n).bit_length()), MOST_BITS)
-    own = windows.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("bit"))
-    rows = own.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    place = F.coalesce(*[F.when(F.col("prefix") == p, _low_bits(F.col("hashes"), F.lit(0), p, bits)) for p in prefixes])
+    own = windows.select(place.alias("bit"))
+    rows = own.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("word"))
     found = [0] * (1 << (bits - 6))
     for r in rows.collect():  # at most 65,536
         found[r["at"]] = r["word"]
@@ -84,7 +94,8 @@ def _looked_up(docs: DataFrame, items: DataFrame, n: int, broadcast_bytes: int)
         F.count("*").alias("n"),
         F.sort_array(F.collect_set("prefix")).alias("prefixes"),
     ).first()
-    bitmap, bits = _bitmap(windows, size["n"])
+    prefixes = size["prefixes"] or [PREFIX]
+    bitmap, bits = _bitmap(windows, size["n"], prefixes)
     cut = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN).alias("w"))
     # what stands before the first and behind the last separator may be empty
     lead = (F.get("w", F.lit(0)) == "").cast("int")
@@ -92,17 +103,22 @@ def _looked_up(docs: DataFrame, items: DataFrame, n: int, broadcast_bytes: int)
     base = cut.select(
         "*", lead.alias("lead"), (F.size("w") - lead - tail).cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")
     )
-    prefixes = size["prefixes"] or [PREFIX]
+    every = F.sequence(F.lit(0), F.size("w") - 1)
+
+    def low_bits(p: int) -> Column:
+        return F.transform(every, lambda i: _low_bits(F.col("h"), i, p, bits)).alias(f"low_{p}")
+
+    base = base.select("*", *map(low_bits, prefixes))
 
     def may_begin(at: Column) -> Column:
         found = F.lit(False)
         for p in prefixes:
-            low = _prefix_key(F.col("h"), at, p).bitwiseAND((1 << bits) - 1)
-            word = F.get(bitmap, F.shiftright(low, 6).cast("int"))
-            found = found | (F.getbit(word, low.bitwiseAND(63).cast("int")) == 1)
+            low = F.get(f"low_{p}", at)
+            word = F.get(bitmap, F.shiftright(low, 6))
+            found = found | (F.call_function("shiftright", word, low.bitwiseAND(63)).bitwiseAND(1) == 1)
         return found
 
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), may_begin)
+    places = F.filter(every, may_begin)
     sown = base.select("doc_id", "text_key", "lead", "n_words", "w", "h", F.explode(F.concat(F.array(F.lit(-1)), places)).alias("at"))
     ahead = F.concat(F.array_join(F.slice("w", F.col("at") + 1, n), " "), F.lit(" "))
     own_keys = [_prefix_key(F.col("h"), F.col("at"), p) for p in prefixes]
