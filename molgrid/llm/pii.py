@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -107,6 +108,12 @@ def _date(text: str) -> tuple[dt.date, str] | None:
     return None
 
 
+@cache
+def _days(late: bool) -> list[int]:
+    """All days whose number in the month is 13 or more, or the others."""
+    return [x for x in range(FIRST_DAY, LAST_DAY + 1) if (dt.date.fromordinal(x).day >= 13) == late]
+
+
 def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
     """What stands for the value; None where it is not valid."""
     if kind == "ip":
@@ -115,19 +122,14 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
             return None
         return ".".join(map(str, permute(int.from_bytes(octets, "big"), 1 << 32, key, b"ip", back).to_bytes(4, "big")))
     if kind == "date":
-        # day first is tried before month first; only days of 13 and more tell them apart, so these stay 13 and more
         if not (found := _date(text)):
             return None
+        # days of 13 and more stay such days, since they alone tell month first from day first; the permutation is
+        # that of the day, however it is written
         day, style = found
-        if style.startswith("%m"):
-            late = [(m, d) for m in range(1, 13) for d in range(13, 32 if m in (1, 3, 5, 7, 8, 10, 12) else 31 if m != 2 else 29)]
-            if (day.month, day.day) not in late:
-                return text if back else text
-            at = (day.year - 1900) * len(late) + late.index((day.month, day.day))
-            year, at = divmod(permute(at, 200 * len(late), key, b"late-date", back), len(late))
-            return dt.date(1900 + year, *late[at]).strftime(style)
-        at = permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date", back)
-        return dt.date.fromordinal(FIRST_DAY + at).strftime(style)
+        days = _days(day.day >= 13)
+        at = permute(bisect_left(days, day.toordinal()), len(days), key, b"late-date" if day.day >= 13 else b"date", back)
+        return dt.date.fromordinal(days[at]).strftime(style)
     if kind == "email":
         low = text.lower()
         keep = low.rindex(".")

@@ -52,3 +52,19 @@ def test_edge_rows(edge_docs, edge_rows, no_docs):
     assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(edge_rows, key=repr)
     assert all(r.n_values == 0 for r in rows)
     assert pii.report(no_docs, KEY).count() == 0
+
+
+def test_dates_in_every_format_and_leap_days():
+    import datetime as dt
+
+    key = b"k"
+    for day in (dt.date(2000, 2, 29), dt.date(2004, 2, 29), dt.date(1996, 2, 29), dt.date(1987, 7, 31), dt.date(2021, 5, 4)):
+        new = {}
+        for style in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%m-%d-%Y"):
+            if day.day < 13 and style.startswith("%m"):
+                continue  # read as day first
+            text, found = pii.rewrite(f"on {day.strftime(style)} it was", key)
+            assert found == {"date": 1} and day.strftime(style) not in text
+            assert pii.rewrite(text, key, back=True)[0] == f"on {day.strftime(style)} it was"
+            new[style] = dt.datetime.strptime(text[3:13], style).date()
+        assert len(set(new.values())) == 1  # equal days stay linked, however they are written
