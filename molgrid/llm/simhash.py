@@ -1,11 +1,12 @@
 """SimHash near-duplicates: fingerprints of 3-word shingles, compared exactly in tiles.
 
-Any two fingerprints within the radius agree on at least one of radius + 1 blocks of bits, so equal blocks (buckets)
-bring together all pairs that can link. A bucket with many distinct fingerprints is tiled by population count (and
-a hash, where one count alone is too many); tile pairs whose population counts differ beyond the radius are never
-formed. In each tile pair numpy compares all fingerprints by exclusive-or and bit count; a forest of the links found
-leaves the task, so a group of any size costs no more rows than it has members. Equal fingerprints are one row
-throughout.
+The bits are cut into radius + 2 blocks. Two fingerprints within the radius agree on two of them at least, so equal
+pairs of blocks (buckets) bring together all pairs that can link, and a bucket holds a small part of the fingerprints
+even of a very large table. In each bucket a tile is one population count: rows are sorted by it, and tiles whose
+counts differ beyond the radius are never compared. A bucket with many distinct fingerprints is dealt out tile pair by
+tile pair (by a hash too, where one count alone is too many). numpy compares by exclusive-or and bit count; a forest
+of the links found leaves the task, so a group of any size costs no more rows than it has members. Equal
+fingerprints are one row throughout.
 
 Defined cases: a null, empty or blank text has the zero fingerprint, which links like any other; rows that repeat a
 doc_id share its component; a null doc_id takes part but is never the smallest unless it is the only one, and then
@@ -15,6 +16,7 @@ component_id is null; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -82,20 +84,21 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(radius: int):
-    """Links of sorted tile pairs: within a pair, rows d apart are compared for d = 1, 2, ... all at once."""
+    """Links of tile pairs sorted by population count: rows d apart are compared for d = 1, 2, ... all at once, as long
+    as their counts are within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["bucket", "pair"]):
             fp = t.column("fp").to_numpy().view(np.uint64)
             bucket, pair = t.column("bucket").to_numpy(), t.column("pair").to_numpy()
             new = np.r_[True, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])]
-            group = np.cumsum(new)
+            group, pop = np.cumsum(new), np.bitwise_count(fp).astype(np.int64)
             at = np.arange(len(fp) - 1)
             root, d = np.arange(len(fp)), 1
             linked_a, linked_b, held = [], [], 0
             while True:
                 at = at[at + d < len(fp)]
-                at = at[group[at] == group[at + d]]
+                at = at[(group[at] == group[at + d]) & (pop[at + d] - pop[at] <= radius)]
                 if not len(at):
                     break
                 near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
@@ -118,12 +121,11 @@ def _compare(radius: int):
 
 def links(distinct: DataFrame, radius: int = 2, tile: int = 512) -> DataFrame:
     """a, b: a forest over the distinct fingerprints `fp`, with a path wherever fingerprints within `radius` lead."""
-    blocks = radius + 1
+    blocks = radius + 2
     width = -(-BITS // blocks)
-    values = [
-        F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, BITS - k * width)) - 1)) * blocks + k
-        for k in range(blocks)
-    ]
+    cut = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, BITS - k * width)) - 1)) for k in range(blocks)]
+    pairs = list(combinations(range(blocks), 2))
+    values = [(F.shiftleft(cut[i], width).bitwiseOR(cut[j])) * len(pairs) + k for k, (i, j) in enumerate(pairs)]
     rows = distinct.select("fp", F.explode(F.array(*values)).alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(crowded, "bucket").withColumn("pop", F.bit_count("fp"))
@@ -140,7 +142,7 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 512) -> DataFrame:
     pair = F.transform(other, lambda o: F.least(mine, o) * base + F.greatest(mine, o))
     parts = tiled.select("bucket", "fp", F.explode(F.when(F.col("cuts") == 0, F.array(F.lit(0).cast("long"))).otherwise(pair)).alias("pair"))
     n = n_partitions(distinct.sparkSession)
-    dealt = parts.repartition(n, "bucket", "pair").sortWithinPartitions("bucket", "pair")
+    dealt = parts.repartition(n, "bucket", "pair").sortWithinPartitions("bucket", "pair", F.bit_count("fp"))
     return dealt.select("bucket", "pair", "fp").mapInArrow(_compare(radius), "a long, b long")
 
 
