@@ -51,6 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote, once nothing will read them again."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table_.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_key(text: Column) -> Column:
     """Stands beside doc_id, so that rows that repeat an id with another text stay apart."""
     return F.xxhash64(text)
