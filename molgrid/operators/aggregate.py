@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from molgrid.operators.sample import with_row_id
+
 
 def count_matrix(pts: DataFrame) -> DataFrame:
     """cell_id, gene, count of the assigned molecules."""
@@ -33,9 +35,10 @@ def to_wide(cnt: DataFrame, genes: list[str]) -> DataFrame:
 
 
 def explode_counts(cnt: DataFrame) -> DataFrame:
-    """One row for each counted molecule, with placeholder coordinates."""
+    """One row for each counted molecule, with a running transcript_id from 0 and placeholder coordinates."""
     one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("nth")
     rows = cnt.where("count > 0").select("cell_id", F.col("gene").alias("feature_name"), one)
+    rows = with_row_id(rows, "cell_id", "feature_name", "nth", name="transcript_id")
     return rows.withColumns({"x": F.col("cell_id").cast("double"), "y": F.col("cell_id").cast("double"), "z": F.lit(0.0), "qv": F.lit(0.0)})
 
 

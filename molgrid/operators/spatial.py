@@ -16,39 +16,37 @@ from molgrid.operators.geometry import inside_ring, ring_centroid
 def assign_by_labels(pts: DataFrame, spans: DataFrame, width: int, height: int, bucket: int = 64) -> DataFrame:
     """cell_id from a label raster in spans (y, x_start, x_end, label); 0 is background, larger labels win.
 
-    Coordinates are truncated and clamped. Spans are cut at bucket bounds, so the join is on (row, bucket).
+    Coordinates are truncated and clamped. Spans are cut at bucket bounds and stand together for each (row, bucket), so
+    each point meets one row at most: one join, no grouping of points.
     """
     at = pts.withColumns({"__x": clamp(F.col("x").cast("long"), 0, width - 1), "__y": clamp(F.col("y").cast("long"), 0, height - 1)})
     at = at.withColumn("__b", F.floor(F.col("__x") / bucket))
     parts = spans.where("label > 0").select(
         F.col("y").cast("long").alias("__y"),
         F.explode(F.sequence(F.floor(F.col("x_start") / bucket), F.floor(F.col("x_end") / bucket))).alias("__b"),
-        "x_start", "x_end", "label",
-    )
-    hit = at.join(parts, ["__y", "__b"]).where(F.col("__x").between(F.col("x_start"), F.col("x_end")))
-    best = hit.groupBy("transcript_id").agg(F.max("label").alias("__label"))
-    return pts.drop("cell_id").join(best, "transcript_id", "left").withColumn("cell_id", F.coalesce("__label", F.lit(0)).cast("long")).drop("__label")
+        F.struct("x_start", "x_end", "label").alias("span"),
+    ).groupBy("__y", "__b").agg(F.collect_list("span").alias("__spans"))
+    over = F.filter("__spans", lambda s: F.col("__x").between(s["x_start"], s["x_end"]))
+    label = F.coalesce(F.array_max(F.transform(over, lambda s: s["label"])), F.lit(0)).cast("long")
+    return at.drop("cell_id").join(parts, ["__y", "__b"], "left").withColumn("cell_id", label).drop("__x", "__y", "__b", "__spans")
 
 
 def assign_by_polygons(pts: DataFrame, poly: DataFrame, cell_size: float, unassigned: int | None = None) -> DataFrame:
     """cell_id of the polygon that a point lies strictly inside; of several the one with the smallest id.
 
     Every point stays, once; without a polygon cell_id is null, or `unassigned`. Polygons are copied to the grid cells
-    that their boxes touch, and points meet those of their own grid cell only.
+    that their boxes touch, and each point meets the one row of its own grid cell: one join, no grouping of points.
     """
     def axis(c: str, of) -> F.Column:
         return F.floor(of(F.transform("ring", lambda p: p[c])) / cell_size)
 
-    tiles = poly.select(
-        "cell_id", "ring",
-        F.explode(F.sequence(axis("x", F.array_min), axis("x", F.array_max))).alias("__gx"),
-        axis("y", F.array_min).alias("__lo"), axis("y", F.array_max).alias("__hi"),
-    ).select("cell_id", "ring", "__gx", F.explode(F.sequence("__lo", "__hi")).alias("__gy"))
-    own = pts.drop("cell_id")
-    at = own.select("transcript_id", "x", "y", F.floor(F.col("x") / cell_size).alias("__gx"), F.floor(F.col("y") / cell_size).alias("__gy"))
-    hit = at.join(tiles, ["__gx", "__gy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
-    best = hit.groupBy("transcript_id").agg(F.min("cell_id").alias("cell_id"))
-    out = own.join(best, "transcript_id", "left")
+    box = poly.select("cell_id", "ring", *(axis(c, of).alias(n) for n, c, of in (("lx", "x", F.array_min), ("hx", "x", F.array_max), ("ly", "y", F.array_min), ("hy", "y", F.array_max))))
+    tiles = box.select("cell_id", "ring", F.explode(F.sequence("lx", "hx")).alias("__gx"), "ly", "hy")
+    tiles = tiles.select("__gx", F.explode(F.sequence("ly", "hy")).alias("__gy"), F.struct("cell_id", "ring").alias("p"))
+    near = tiles.groupBy("__gx", "__gy").agg(F.collect_list("p").alias("__near"))
+    at = pts.drop("cell_id").withColumns({"__gx": F.floor(F.col("x") / cell_size), "__gy": F.floor(F.col("y") / cell_size)})
+    inside = F.filter("__near", lambda p: inside_ring(F.col("x"), F.col("y"), p["ring"]))
+    out = at.join(near, ["__gx", "__gy"], "left").withColumn("cell_id", F.array_min(F.transform(inside, lambda p: p["cell_id"]))).drop("__gx", "__gy", "__near")
     return out if unassigned is None else out.withColumn("cell_id", F.coalesce("cell_id", F.lit(unassigned)))
 
 

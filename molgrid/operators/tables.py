@@ -54,9 +54,14 @@ def filter_paired_cells(a: DataFrame, b: DataFrame, least: int = 1) -> DataFrame
 
 
 def make_unique(df: DataFrame, col: str, order: str) -> DataFrame:
-    """Repeats of a name get -1, -2, ... in the given order."""
-    nth = F.row_number().over(Window.partitionBy(col).orderBy(order)) - 1
-    return df.withColumn(col, F.when(nth == 0, F.col(col)).otherwise(F.concat_ws("-", F.col(col), nth)))
+    """Repeats of a name get -1, -2, ... in the given order, without the numbers that other rows have already."""
+    suffix = r"^(.*)-([1-9][0-9]{0,17})$"
+    named = df.where(F.col(col).rlike(suffix)).select(F.regexp_extract(col, suffix, 1).alias("__base"), F.regexp_extract(col, suffix, 2).cast("long").alias("__k"))
+    taken = named.groupBy("__base").agg(F.array_sort(F.collect_set("__k")).alias("__taken"))
+    nth = df.withColumn("__n", (F.row_number().over(Window.partitionBy(col).orderBy(order)) - 1).cast("long"))
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("__n"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    own = nth.join(taken, F.col(col) == F.col("__base"), "left")
+    return own.withColumn(col, F.when(F.col("__n") == 0, F.col(col)).otherwise(F.concat_ws("-", F.col(col), free))).drop("__n", "__base", "__taken")
 
 
 def normalize_ids(df: DataFrame, id_col: str = "cell_id", label_col: str | None = None) -> DataFrame:

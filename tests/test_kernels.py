@@ -266,3 +266,13 @@ def test_permuted_column_keeps_every_row(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/rows")
     assert got.count() == 300_000 == got.select("cell_id").distinct().count()
     assert sorted(map(tuple, got.groupBy("cell_type").count().collect())) == sorted(map(tuple, df.groupBy("cell_type").count().collect()))
+
+
+def test_unique_names_leave_out_those_taken(spark):
+    from molgrid.operators import tables as t
+
+    names = ["A", "A", "A-1", "A", "A-3", "B", "B", "A-1", "A-02", "C"]
+    df = spark.createDataFrame(list(enumerate(names)), "k long, name string")
+    got = [r.name for r in t.make_unique(df, "name", "k").orderBy("k").collect()]
+    assert got == ["A", "A-2", "A-1", "A-4", "A-3", "B", "B-1", "A-1-1", "A-02", "C"]
+    assert len(set(got)) == len(got)
