@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molgrid.operators.aggregate import cell_stats, explode_counts
-from molgrid.operators.geometry import Box, crop_points, crop_shapes
+from molgrid.operators.geometry import Box, crop_points, crop_shapes, crop_window, tissue_center
 from molgrid.operators.sample import balanced_subsample, permute_column
+from molgrid.operators.spatial import rasterize
 
 
 def control_identity(cnt: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
@@ -37,11 +38,28 @@ def stamp_meta(meta: DataFrame, params: dict[str, str]) -> DataFrame:
     return meta.withColumns(cols)
 
 
-def process_dataset(pts: DataFrame, poly: DataFrame, ref_cnt: DataFrame, ref_cells: DataFrame, n_cells: int, box: Box, seed: int) -> dict[str, DataFrame]:
-    """A comparable pair: reference cells in balance, genes of both sides, molecules and outlines of the crop."""
+def process_dataset(
+    pts: DataFrame, poly: DataFrame, ref_cnt: DataFrame, ref_cells: DataFrame, n_cells: int, box: Box | None, seed: int,
+    image: tuple[int, int] | None = None, max_pixels: int | None = None, meta: DataFrame | None = None, params: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """A comparable pair: reference cells in balance, genes of both sides, molecules and outlines of the crop.
+
+    Without a box, the crop is a window of at most `max_pixels` of the image (width, height) around the tissue's middle.
+    With an image, the kept outlines are also drawn as label spans; with metadata, they are stamped with `params`.
+    """
     unit = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
+    if box is None:
+        if image is None or max_pixels is None:
+            raise ValueError("a crop needs a box, or an image and its largest number of pixels")
+        w = crop_window(tissue_center(pts, unit, *image), *image, max_pixels).first()
+        box = (w.x, w.y, w.x + w.w, w.y + w.h)
     chosen = balanced_subsample(ref_cells, "cell_type", "cell_id", n_cells, seed)
     genes = pts.select(F.col("feature_name").alias("gene")).intersect(ref_cnt.select("gene"))
     cnt = ref_cnt.join(chosen.select("cell_id"), "cell_id", "left_semi").join(genes, "gene", "left_semi")
     cropped = crop_points(pts, unit, box).join(genes.withColumnRenamed("gene", "feature_name"), "feature_name", "left_semi")
-    return {"transcripts": cropped, "polygons": crop_shapes(poly, unit, box), "ref_counts": cnt, "ref_cells": chosen}
+    out = {"transcripts": cropped, "polygons": crop_shapes(poly, unit, box), "ref_counts": cnt, "ref_cells": chosen}
+    if image is not None:
+        out["labels"] = rasterize(out["polygons"], *image)
+    if meta is not None:
+        out["metadata"] = stamp_meta(meta, params or {})
+    return out

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molgrid.functions.scalars import UNANNOTATED, cell_id_or_zero, clamp, label_or_unannotated
+from molgrid.functions.scalars import UNANNOTATED, cell_id_or_zero, clamp, file_label, label_or_unannotated
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -64,6 +64,18 @@ def make_unique(df: DataFrame, col: str, order: str) -> DataFrame:
     return own.withColumn(col, F.when(F.col("__n") == 0, F.col(col)).otherwise(F.concat_ws("-", F.col(col), free))).drop("__n", "__base", "__taken")
 
 
+def label_names(df: DataFrame, col: str) -> DataFrame:
+    """Each label and a name for it that can stand in a file name; labels that would share a name get -1, -2, ..."""
+    named = df.select(F.col(col).alias("label")).where("label is not null").distinct().withColumn("name", file_label(F.col("label")))
+    return make_unique(named, "name", "label")
+
+
+def restore_labels(df: DataFrame, col: str, names: DataFrame) -> DataFrame:
+    """The labels again that `label_names` gave names for; other values stay."""
+    back = names.select(F.col("name").alias("__name"), F.col("label").alias("__label"))
+    return df.join(back, F.col(col) == F.col("__name"), "left").withColumn(col, F.coalesce("__label", F.col(col))).drop("__name", "__label")
+
+
 def normalize_ids(df: DataFrame, id_col: str = "cell_id", label_col: str | None = None) -> DataFrame:
     out = df.withColumn(id_col, cell_id_or_zero(F.col(id_col)))
     return out.withColumn(label_col, label_or_unannotated(F.col(label_col))) if label_col else out

@@ -714,6 +714,18 @@ def x3(spark, d):
     return rows[0].unionByName(rows[1])
 
 
+@query("x3_process_dataset_labels", sql("pts squares", """
+, m AS (SELECT quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM pts),
+w AS (SELECT CAST(trunc(least(greatest(mx - 300, 0), 500)) AS BIGINT) AS wx, CAST(trunc(least(greatest(my - 300, 0), 401)) AS BIGINT) AS wy FROM m),
+s AS (SELECT squares.* FROM squares, w WHERE x0 + 30 BETWEEN wx AND wx + 600 AND y0 + 30 BETWEEN wy AND wy + 600)
+SELECT label, count(*) AS pixels FROM (SELECT px, py, max(cell_id) AS label FROM range(1100) a(px), range(1001) b(py), s WHERE cell_id > 0 AND px >= x0 AND px < x0 + 60 AND py >= y0 AND py < y0 + 60 GROUP BY 1, 2) GROUP BY 1"""))
+def x3_labels(spark, d):
+    """The crop is a window around the tissue's middle; its outlines are drawn as labels."""
+    pts, poly = points(spark, d), squares(spark, d).where("cell_id > 0")
+    out = controls.process_dataset(pts, poly, ref_counts(spark, d), ref_cells(spark, d), 200, None, 1, (WIDTH, HEIGHT), 600 * 600)
+    return out["labels"].groupBy("label").agg(F.sum(F.col("x_end") - F.col("x_start") + 1).alias("pixels"))
+
+
 # kernels: no SQL equivalent, held against numpy in the tests --------------------------------------------
 
 
@@ -840,6 +852,88 @@ def a11(spark, d):
     return writers.xenium_transcripts(points(spark, d)).select("transcript_id", "cell_id", F.col("overlaps_nucleus").cast("int").alias("overlaps_nucleus"))
 
 
+def _file(df: DataFrame, name: str, fmt: str = "csv") -> str:
+    """The path of `df` written in a vendor's format in the shared folder."""
+    path = writers.shared_path(df.sparkSession, name)
+    writers.write_table(df, path, fmt)
+    return path
+
+
+@query("a1_read_xenium", sql("pts", "SELECT CAST('0x' || md5(transcript_id)[1:12] AS BIGINT) AS transcript_id, x, feature_name, CASE WHEN cell_id > 0 THEN CAST(cell_id AS VARCHAR) END AS cell_id, cell_id > 0 AS overlaps_nucleus FROM pts"))
+def a1(spark, d):
+    """The molecules in the vendor's layout, written and read back; ids are numbers there."""
+    number = F.conv(F.substring(F.md5("transcript_id"), 1, 12), 16, 10).cast("long")
+    path = _file(writers.xenium_transcripts(points(spark, d).withColumn("transcript_id", number)), "xenium", "parquet")
+    return readers.read_xenium_points(spark, path).select("transcript_id", "x", "feature_name", "cell_id", "overlaps_nucleus")
+
+
+@query("a2_read_cosmx", """SELECT l_orderkey % 9 AS fov, CASE WHEN l_orderkey % 200 > 0 THEN (l_orderkey % 9) * ((SELECT max(l_orderkey % 200) FROM lineitem) + 1) + l_orderkey % 200 ELSE 0 END AS cell_id, 'gene_' || (l_partkey % 300) AS feature_name, l_extendedprice AS x, l_quantity AS y FROM lineitem""")
+def a2(spark, d):
+    k = F.col("l_orderkey")
+    rows = table(spark, d, "lineitem").select(
+        (k % 9).alias("fov"), (k % 200).alias("cell_ID"), F.concat(F.lit("gene_"), F.col("l_partkey") % GENES).alias("target"),
+        F.col("l_extendedprice").alias("x_global_px"), F.col("l_quantity").alias("y_global_px"), F.lit(0.0).alias("z"),
+    )
+    return readers.read_cosmx_points(spark, _file(rows, "cosmx")).select("fov", "cell_id", "feature_name", "x", "y")
+
+
+@query("a5_read_merscope", sql("pts cnt", "SELECT CAST(cell_id AS VARCHAR) AS cell_id, gene, count FROM cnt WHERE cell_id IN (SELECT o_orderkey FROM orders)"))
+def a5(spark, d):
+    """Counts in one column for each gene; the metadata have the cells that are order keys too."""
+    pts = points(spark, d)
+    molecules = pts.select(F.col("feature_name").alias("gene"), F.lit(0).alias("global_z"), "transcript_id", "x", "y")
+    wide = agg.to_wide(agg.count_matrix(pts), [f"gene_{k}" for k in range(GENES)])
+    cells = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).distinct()
+    return readers.read_merscope(spark, _file(molecules, "merscope-points"), _file(wide, "merscope-counts"), _file(cells, "merscope-cells"))[1]
+
+
+@query("a7_read_abca_spots", sql("pts", "SELECT CAST(CAST(trunc(1100 - x / 0.5) AS BIGINT) AS DOUBLE) AS x, CAST(CAST(trunc(y / 0.5) AS BIGINT) AS DOUBLE) AS y, feature_name FROM pts"))
+def a7(spark, d):
+    spots = points(spark, d).select(F.col("x").alias("global_x"), F.col("y").alias("global_y"), F.lit(0.0).alias("global_z"), F.col("feature_name").alias("target_gene"))
+    return readers.read_abca_spots(spark, _file(spots, "abca"), 1100.0, 0.5).select("x", "y", "feature_name")
+
+
+@query("a8_read_mtx_obs", "SELECT CAST(c_custkey AS VARCHAR) AS cell, c_mktsegment AS cell_type FROM customer")
+def a8_obs(spark, d):
+    """Cells and their metadata in two files of the same order, without a key in common."""
+    cells = ref_cells(spark, d).orderBy("cell_id")
+    obs, names = _file(cells.select("cell_type"), "obs"), _file(cells.select(F.col("cell_id").cast("string")), "barcodes", "text")
+    return readers.read_mtx_obs(spark, obs, names)
+
+
+@query("a10_write_table", sql("ref_cells", "SELECT cell_id, cell_type FROM ref_cells"))
+def a10(spark, d):
+    path = writers.shared_path(spark, "table")
+    writers.write_table(ref_cells(spark, d), path, partition_by=("cell_type",))
+    return spark.read.parquet(path).select("cell_id", "cell_type")
+
+
+_LABEL = "p_brand || CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '_' END || p_size AS label"
+
+
+@query("f9_label_names", f"""WITH p AS (SELECT p_partkey, {_LABEL} FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY replace(label, '/', '_') ORDER BY label) - 1 AS n FROM (SELECT DISTINCT label FROM p))
+SELECT p_partkey, replace(label, '/', '_') || CASE WHEN n = 0 THEN '' ELSE '-' || n END AS name, label AS back FROM p JOIN n USING (label)""")
+def f9(spark, d):
+    """Labels as names of files, no two alike, and back."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", _LABEL)
+    names = tables.label_names(rows, "label")
+    named = rows.join(names, "label").select("p_partkey", "name", F.col("name").alias("back"))
+    return tables.restore_labels(named, "back", names)
+
+
+@query("b18_assert_labels", ORACLE["d12_rasterize"])
+def b18(spark, d):
+    spans = tables.assert_labels(spatial.rasterize(squares(spark, d).where("cell_id > 0"), WIDTH, HEIGHT))
+    return spans.agg(F.sum(F.col("x_end") - F.col("x_start") + 1).alias("pixels"), F.count_distinct("label").alias("labels"))
+
+
+@query("g2_use_labels", ORACLE["c1_assign_by_labels"])
+def g2(spark, d):
+    spans = spatial.use_labels({"cells": spatial.rasterize(squares(spark, d).where("cell_id > 0"), WIDTH, HEIGHT)}, "cells")
+    return spatial.assign_by_labels(points(spark, d), spans, WIDTH, HEIGHT).select("transcript_id", "cell_id")
+
+
 @query("a4_global_cell_id", "SELECT o_orderkey, CASE WHEN o_custkey % 50 > 0 THEN (o_orderkey % 9) * ((SELECT max(o_custkey % 50) FROM orders) + 1) + o_custkey % 50 ELSE 0 END AS cell_id FROM orders")
 def a4(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).alias("fov"), (F.col("o_custkey") % 50).alias("cell_ID"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +89,12 @@ def pick_boundary(poly: DataFrame, prefer_z: int = 3) -> DataFrame:
     return some.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def read_experiments(spark: SparkSession, path: str, exclude: tuple[str, ...] = (), rename: dict[str, str] | None = None) -> DataFrame:
+    """Metadata of experiments without the excluded ones, and with ids corrected by `rename`."""
+    t = spark.read.option("header", True).csv(path).where(~F.col("experiment_id").isin(*exclude, ""))
+    return t.replace(rename, subset=["experiment_id"]) if rename else t
+
+
 def read_abca_spots(spark: SparkSession, path: str, width: float, um_per_px: float) -> DataFrame:
     """Spots in pixels, the x axis flipped, coordinates truncated."""
     t = spark.read.option("header", True).csv(path)
@@ -115,6 +125,17 @@ def read_mtx(spark: SparkSession, matrix: str, barcodes: str, genes: str) -> Dat
     return body.join(names[0], "c").join(names[1], "g").select("cell", "gene", "count")
 
 
+def read_mtx_obs(spark: SparkSession, obs: str, barcodes: str) -> DataFrame:
+    """The metadata of a MatrixMarket set's cells: row n of the CSV belongs to barcode n. Another number of rows is an
+    error."""
+    names = _lines(spark, barcodes).select("line", F.split("value", "\t")[0].alias("cell"))
+    t = spark.read.option("header", True).csv(obs).withColumn("__at", F.monotonically_increasing_id())
+    rows = with_row_id(t, "__at", name="line").drop("__at")
+    if rows.count() != names.count():
+        raise ValueError("the metadata and the barcodes have different numbers of cells")
+    return names.join(rows, "line").drop("line")
+
+
 def read_dense_matrix(spark: SparkSession, path: str, annotation: DataFrame | None = None) -> DataFrame:
     """Long counts from a tab-separated matrix of genes x cells: split line by line, zeros dropped.
 
@@ -134,8 +155,24 @@ def read_dense_matrix(spark: SparkSession, path: str, annotation: DataFrame | No
     return counts.where("count != 0")
 
 
+def unreadable(spark: SparkSession, directory: str, pattern: str) -> list[str]:
+    """Paths of the files with the pattern whose footer cannot be read. They are a file or two for each region, and
+    tried one by one."""
+    bad = []
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("path").collect():
+        try:
+            spark.read.option("ignoreCorruptFiles", False).parquet(row.path)
+        except (Py4JJavaError, PySparkException) as e:
+            if "FAILED_READ_FILE" not in str(e):  # another failure than that of the file
+                raise
+            bad.append(row.path)
+    return sorted(bad)
+
+
 def read_regions(spark: SparkSession, directory: str, pattern: str, cells: DataFrame) -> DataFrame:
     """Count files whose name has the pattern, one after the other, restricted to the given cells; files that cannot
-    be read are skipped."""
+    be read are reported by a warning and skipped."""
+    for path in unreadable(spark, directory, pattern):
+        warnings.warn(f"{path} cannot be read and is left out", stacklevel=2)
     t = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", pattern).parquet(directory)
     return t.join(cells.select("cell"), "cell", "left_semi")

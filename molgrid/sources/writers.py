@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,19 +35,24 @@ def export_xenium(pts: DataFrame, poly: DataFrame, path: str) -> None:
     write_table(xenium_boundaries(poly), f"{path}/cell_boundaries.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the cluster's shared folder (spark.checkpoint.dir), read again: its lineage ends there.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir).
 
     Where that setting is missing, a local session gets a temporary folder; on a cluster it is an error, since no
     executor would see the driver's own disk.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/molgrid-{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/molgrid-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read again: its lineage ends there."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -276,3 +276,28 @@ def test_unique_names_leave_out_those_taken(spark):
     got = [r.name for r in t.make_unique(df, "name", "k").orderBy("k").collect()]
     assert got == ["A", "A-2", "A-1", "A-4", "A-3", "B", "B-1", "A-1-1", "A-02", "C"]
     assert len(set(got)) == len(got)
+
+
+def test_names_of_labels_and_back(spark):
+    rows = spark.createDataFrame([("a/b",), ("a_b",), ("a/b",), (None,), ("c",)], "t string")
+    names = tables.label_names(rows, "t")
+    assert {r.label: r.name for r in names.collect()} == {"a/b": "a_b", "a_b": "a_b-1", "c": "c"}
+    back = tables.restore_labels(spark.createDataFrame([("a_b",), ("a_b-1",), ("other",), (None,)], "t string"), "t", names)
+    assert sorted(str(r.t) for r in back.collect()) == ["None", "a/b", "a_b", "other"]
+
+
+def test_processed_dataset_has_window_labels_and_metadata(spark):
+    from molgrid.operators import controls
+
+    pts = spark.createDataFrame([(k, 10.0 + k, 10.0 + k, "g1" if k % 2 else "g2") for k in range(11)], "transcript_id long, x double, y double, feature_name string")
+    poly = spark.createDataFrame([(c, [{"x": a, "y": a}, {"x": a + 4, "y": a}, {"x": a + 4, "y": a + 4}, {"x": a, "y": a + 4}]) for c, a in ((1, 12.0), (2, 40.0))], "cell_id long, ring array<struct<x:double,y:double>>")
+    cnt = spark.createDataFrame([(1, "g1", 2), (1, "g9", 1), (2, "g1", 1)], "cell_id long, gene string, count long")
+    cells = spark.createDataFrame([(1, "T"), (2, "B")], "cell_id long, cell_type string")
+    meta = spark.createDataFrame([("old",)], "dataset_id string")
+    out = controls.process_dataset(pts, poly, cnt, cells, 10, None, 0, (50, 50), 100, meta, {"dataset_id": "new"})
+    assert sorted(r.transcript_id for r in out["transcripts"].collect()) == [1, 3, 5, 7, 9]
+    assert [r.cell_id for r in out["polygons"].collect()] == [1] and {r.label for r in out["labels"].collect()} == {1}
+    assert sum(r.x_end - r.x_start + 1 for r in out["labels"].collect()) == 16
+    assert out["metadata"].first().dataset_id == "new" and {r.gene for r in out["ref_counts"].collect()} == {"g1"}
+    with pytest.raises(ValueError):
+        controls.process_dataset(pts, poly, cnt, cells, 10, None, 0)

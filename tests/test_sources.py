@@ -100,6 +100,27 @@ def test_regions_tables_and_metadata(spark, tmp_path):
     assert (r.dataset_id, r.dataset_name, r.orig_dataset_id) == ("b", "B", "a") and "orig_dataset_name" not in r.asDict()
 
 
+def test_experiments_and_cells_of_a_matrix(spark, tmp_path):
+    e = put(tmp_path / "e.csv", "animal_id,experiment_id,sample_id\nm1,adaptor,s0\nm1,old,s1\nm2,good,s2\n")
+    rows = readers.read_experiments(spark, e, ("adaptor",), {"old": "new"}).collect()
+    assert sorted((r.experiment_id, r.sample_id) for r in rows) == [("good", "s2"), ("new", "s1")]
+    o = put(tmp_path / "o.csv", "id,kind\n1,T\n1,B\n2,T\n")
+    b = put(tmp_path / "b.tsv", "c9\nc1\nc5\n")
+    assert sorted((r.cell, r.id, r.kind) for r in readers.read_mtx_obs(spark, o, b).collect()) == [("c1", "1", "B"), ("c5", "2", "T"), ("c9", "1", "T")]
+    with pytest.raises(ValueError):
+        readers.read_mtx_obs(spark, o, put(tmp_path / "b2.tsv", "c9\nc1\n"))
+
+
+def test_unreadable_regions_are_reported(spark, tmp_path):
+    spark.createDataFrame([("c1", "g", 1)], "cell string, gene string, count long").coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    (tmp_path / "regions").mkdir()
+    next((tmp_path / "tmp").glob("*.parquet")).rename(tmp_path / "regions" / "TH-1.parquet")
+    (tmp_path / "regions" / "TH-2.parquet").write_bytes(b"PAR1 no file PAR1")
+    with pytest.warns(UserWarning, match="TH-2"):
+        got = readers.read_regions(spark, str(tmp_path / "regions"), "TH-*", spark.createDataFrame([("c1",)], "cell string"))
+    assert got.count() == 1
+
+
 def test_sidecar(spark):
     rows = [(json.dumps({"analysis_sw_version": "xenium-3.1.0"}),), ("{}",), ("no json",)]
     df = spark.createDataFrame(rows, "j string").select(scalars.software_major(F.col("j")).alias("v"))
