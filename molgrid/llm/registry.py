@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, token_counts, toxicity, turns
+from molgrid.llm import addressable, chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, token_counts, toxicity, turns
 from molgrid.llm.common import table
 
 #: A parameter of the operators that need a vocabulary; the files stay outside the repository.
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), UNIGRAM_VOCABULARY)
 
 
+def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addressable.report(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(table(spark, sf_dir, "conversations"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_counts": op10_token_counts,
+        "op12_token_codes": op12_token_codes,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
