@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from molgrid.llm import addressable, chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, token_counts, toxicity, turns
+from molgrid.llm import addressable, alignment, chaining, decontaminate, html, packing, pii, quality, simhash, suffixes, token_counts, toxicity, turns
 from molgrid.llm.common import table
 
 #: A parameter of the operators that need a vocabulary; the files stay outside the repository.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNIGRAM_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Stands for the secret that a user passes to the operator.
 PSEUDONYM_KEY = b"molgrid pseudonyms: replace this key"
@@ -57,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), UNIGRAM_VOCABULARY)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
 def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addressable.report(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_token_alignment": op11_token_alignment,
         "op12_token_codes": op12_token_codes,
         "op13_conversation_repair": op13_conversation_repair,
     }
