@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from molgrid.operators.neighbours import knn
+
 
 def pca(df: DataFrame, id_col: str, vector: str, k: int) -> tuple[DataFrame, np.ndarray]:
     """(id, X_pca) and the loadings. Tasks add up sums and products; only these (columns squared) reach the driver.
@@ -42,38 +44,7 @@ def pca(df: DataFrame, id_col: str, vector: str, k: int) -> tuple[DataFrame, np.
     return df.select(id_col, vector).mapInPandas(project, f"{id_col} {kind}, X_pca array<double>"), load
 
 
-def knn(df: DataFrame, id_col: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """src, dst, distance, connectivity, rank of the exact k nearest others: blocks meet in pairs, each pair gives its
-    best k, and these are merged. Ties go to the smaller id."""
-    at = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = at.select("id", "v", F.col("b").alias("lb"), others.alias("rb"))
-    right = at.select((F.col("id") + 0).alias("id"), F.slice("v", 1, F.size("v")).alias("v"), (F.col("b") + 0).alias("b"), others.alias("a"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        b = b.sort_values("id")
-        x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
-        out = []
-        for s in range(0, len(x), 512):
-            part = x[s : s + 512]
-            d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1) - 2 * part @ y.T, 0)).round(9)
-            d[a["id"].to_numpy()[s : s + 512][:, None] == b["id"].to_numpy()] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), near.shape[1])
-            out.append(pd.DataFrame({"src": a["id"].to_numpy()[s + rows], "dst": b["id"].to_numpy()[near.ravel()], "distance": d[rows, near.ravel()]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
-
-    pairs = left.groupBy("lb", "rb").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "src long, dst long, distance double")
-    w = Window.partitionBy("src").orderBy("distance", "dst")
-    best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    width = F.max("distance").over(Window.partitionBy("src"))
-    return best.withColumn("connectivity", F.when(width > 0, F.exp(-F.try_divide(F.col("distance"), width))).otherwise(F.lit(1.0)))
-
-
-def knn_mixing(a: DataFrame, b: DataFrame, k: int, components: int, blocks: int = 8) -> DataFrame:
+def knn_mixing(a: DataFrame, b: DataFrame, k: int, components: int, blocks: int | None = None) -> DataFrame:
     """Score in [0, 1]: for each shared type (id, vector, cell_type), the share of neighbours of the other modality
     over the expected one, at most 1, averaged over types."""
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))

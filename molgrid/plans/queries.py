@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from molgrid.functions import scalars as fn
 from molgrid.operators import aggregate as agg
-from molgrid.operators import annotate, assignment, controls, density, embedding, geometry, mapping, metrics, normalize, sample, shapes, spatial, tables
+from molgrid.operators import annotate, assignment, controls, density, embedding, geometry, mapping, metrics, neighbours, normalize, sample, shapes, spatial, tables
 from molgrid.plans import assembly
 from molgrid.plans.bindings import GENES, HEIGHT, WIDTH, points, ref_cells, ref_counts, spatial_cells, sql, squares, table
 from molgrid.sources import readers, writers
@@ -758,7 +758,13 @@ def k2(spark, d):
 
 @query("k3_knn", "SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 7), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id != b.vec_id QUALIFY rank <= 5")
 def k3(spark, d):
-    return embedding.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("src", "dst", "rank")
+    return neighbours.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("src", "dst", "rank")
+
+
+@query("k3_knn_approximate")
+def k3_approximate(spark, d):
+    """By the forest whatever the row count; tests hold its recall against the exact way."""
+    return neighbours.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 5, exact_rows=0, leaf_rows=256).select("src", "dst", "rank")
 
 
 @query("k5_annotate_spearman")
