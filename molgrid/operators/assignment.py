@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from molgrid.functions.scalars import UNANNOTATED
 from molgrid.operators.spatial import spatial_knn
-from molgrid.sources.writers import written
+from molgrid.sources.writers import discard, written
 
 
 def _log_rates(profile: DataFrame, pseudo: float = 1e-5) -> DataFrame:
@@ -35,57 +42,178 @@ def trim_assignment(scored: DataFrame, min_molecules: int) -> DataFrame:
     return moved.join(large, "cell_id", "left").withColumn("cell_id", F.when(F.col("__ok"), F.col("cell_id")).otherwise(F.lit(0)).cast("long")).drop("__ok")
 
 
+#: Types times genes that a task may hold as a matrix.
+LARGEST_PROFILE = 20_000_000
+#: Cells times genes times types that are worked out at once.
+AT_ONCE = 2_000_000
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function, for x > 0: six steps up, then its asymptotic series."""
+    up = sum(1 / (x + k) for k in range(6))
+    y = 1 / (x + 6) ** 2
+    return np.log(x + 6) - 0.5 / (x + 6) - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - up
+
+
+@dataclass
+class Rates:
+    """What all cells share in a round: genes times types of mean expression, efficiency by gene, and the fixed parameters."""
+
+    mu: np.ndarray
+    eta: np.ndarray
+    r_spot: float
+    spot_reg: float
+    prior: np.ndarray  # of the types, the empty one last
+
+    def types(self, n: np.ndarray, area: np.ndarray) -> np.ndarray:
+        """cells x (types and the empty one): posterior from the counts of all genes, zeros among them (negative binomial)."""
+        m, r = self._due(area) + self.spot_reg, self.r_spot
+        known = np.einsum("cg,cgt->ct", n, np.log(m / (m + r))) - r * np.log1p(m / r).sum(axis=1)
+        empty = n.sum(axis=1) * np.log(self.spot_reg / (self.spot_reg + r)) - r * len(self.mu) * np.log1p(self.spot_reg / r)
+        l = np.column_stack([known, empty]) + np.log(self.prior)
+        e = np.exp(l - l.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def _due(self, area: np.ndarray) -> np.ndarray:
+        return area[:, None, None] * (self.mu * self.eta[:, None])[None]
+
+    def expected(self, n: np.ndarray, area: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """cells x genes: expected logarithm of the rate of a gene's molecules, over types and their gamma factors."""
+        m0, r = self._due(area), self.r_spot
+        empty = np.log(self.spot_reg) - np.log(r)
+        return np.einsum("ct,cgt->cg", p[:, :-1], np.log(m0 + self.spot_reg) - np.log(r + m0)) + p[:, -1:] * empty + digamma(r + n)
+
+    def sums(self, n: np.ndarray, area: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """For each gene: molecules that the types lead to expect (gamma factors at their means), and those of cells that are not empty."""
+        gamma = (self.r_spot + n)[:, :, None] / (self.r_spot + self._due(area))
+        due = np.einsum("ct,gt,c,cgt->g", p[:, :-1], self.mu, area, gamma)
+        return np.concatenate([due, (n * (1 - p[:, -1:])).sum(axis=0)])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rates: Rates) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+    """Rows (cell_id, area, p, genes, n) a few at a time: with areas, types, counts as a matrix, and the places of the counts in it."""
+    step = max(1, AT_ONCE // rates.mu.size)
+    for whole in batches:
+        for s in range(0, whole.num_rows, step):
+            b = whole.slice(s, step)
+            place = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("genes")))), b.column("genes").flatten().to_numpy()
+            n = np.zeros((b.num_rows, len(rates.mu)))
+            n[place] = b.column("n").flatten().to_numpy()
+            yield b, b.column("area").to_numpy(), b.column("p").flatten().to_numpy().reshape(b.num_rows, -1), n, place
+
+
+def _types(rates: Rates):
+    """Cells with new type probabilities; and for each task a row without a cell that has its sums by gene."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * len(rates.mu))
+        for b, area, old, n, _ in _parts(batches, rates):
+            p = rates.types(n, area)
+            total += rates.sums(n, area, p)
+            moved = pa.array(np.abs(p - old).max(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("cell_id"), b.column("area"), pa.array(list(p), DOUBLES), b.column("genes"), b.column("n"), moved, pa.nulls(b.num_rows, DOUBLES)], names=STATE)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.float64(), DOUBLES, pa.list_(pa.int32()), DOUBLES, pa.float64())] + [pa.array([total], DOUBLES)], names=STATE)
+
+    return run
+
+
+def _expected(rates: Rates):
+    """cell_id, g, e: the expected logarithms of the genes that a cell may have molecules of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, area, p, n, (row, gene) in _parts(batches, rates):
+            e = rates.expected(n, area, p)[row, gene]
+            yield pa.RecordBatch.from_arrays([b.column("cell_id").take(pa.array(row)), pa.array(gene), pa.array(e)], names=["cell_id", "g", "e"])
+
+    return run
+
+
+DOUBLES = pa.list_(pa.float64())
+STATE = ["cell_id", "area", "p", "genes", "n", "moved", "sums"]
+
+
+def _candidates(pts: DataFrame, cells: DataFrame, panel: DataFrame, neighbours: int, radius: float, inside_bonus: float, shrink: float = 10.0) -> DataFrame:
+    """id, g, cell_id, w: a molecule's nearest cells, with the log density of its place under the cell's own Gaussian.
+
+    A cell's scale is the mean square distance of the molecules labelled with it, drawn to that of all near molecules
+    with the weight of `shrink` molecules.
+    """
+    near = spatial_knn(pts.select(F.col("transcript_id").alias("id"), "x", "y"), cells.select(F.col("cell_id").alias("id"), "x", "y"), neighbours, radius)
+    prior = pts.select(F.col("transcript_id").alias("id"), F.col("feature_name").alias("gene"), F.col("cell_id").alias("prior")).join(F.broadcast(panel), "gene")
+    base = written(near.join(prior, "id").select("id", "g", F.col("neighbour").alias("cell_id"), "distance", (F.col("prior") == F.col("neighbour")).alias("inside")), "near")
+    spread = base.agg(F.greatest(F.avg(F.col("distance") ** 2), F.lit(1e-9)).alias("all"))
+    own = base.where("inside").groupBy("cell_id").agg(F.sum(F.col("distance") ** 2).alias("d2"), F.count("*").alias("n"))
+    every = base.join(own, "cell_id", "left").crossJoin(F.broadcast(spread))
+    s2 = (F.coalesce("d2", F.lit(0.0)) + shrink * F.col("all")) / (2 * (F.coalesce("n", F.lit(0)) + shrink))
+    gauss = -F.col("distance") ** 2 / (2 * s2) - F.ln(2 * math.pi * s2)
+    out = written(every.select("id", "g", "cell_id", (gauss + F.when(F.col("inside"), inside_bonus).otherwise(0.0)).alias("w")), "candidates")
+    discard(base)
+    return out
+
+
 def probabilistic_assign(
     pts: DataFrame, cells: DataFrame, profile: DataFrame, *, neighbours: int = 3, radius: float = 60.0, max_iter: int = 1000, tolerance: float = 0.02,
-    inside_bonus: float = 2.0, misread_density: float = 1e-5, r_gene: float = 20.0, inefficiency: float = 0.2, r_spot: float = 2.0, spot_reg: float = 0.1,
+    inside_bonus: float = 2.0, misread_density: float = 1e-5, r_gene: float = 20.0, inefficiency: float = 0.2, r_spot: float = 2.0, spot_reg: float = 0.1, empty_prior: float = 0.5,
 ) -> DataFrame:
     """transcript_id, cell_id (0: background), prob, cell_type, cell_type_prob: molecules to one of their nearest cells,
     jointly with cell types; a molecule has its cell's most probable type, none in the background.
 
-    cells: cell_id, x, y. Rounds: molecules are shared out among candidates by distance, prior label and expected
-    expression (softmax with the background); cells then get type probabilities from their expected counts (negative
-    binomial), genes an efficiency. Rounds end when no type probability moves by more than the tolerance; a warning tells
-    where max_iter rounds were not enough. spot_reg is added to the counts that a type leads to expect.
+    cells: cell_id, x, y and, if known, area; a cell's expression is scaled by its area over the mean one (1 where it has
+    none). profile: mean counts by type; molecules of other genes are background. Each round shares molecules out among
+    candidates by place, prior label and expected expression (softmax with the background); then every cell, gene and type has
+    a gamma factor (shape r_spot) from the expected counts, cells have type probabilities from all genes (negative
+    binomial; a type without expression, unannotated in the result, has empty_prior), and genes an efficiency: (r_gene +
+    molecules outside of empty cells) / (r_gene / inefficiency + expected ones). spot_reg is added to what a type leads to
+    expect. Rounds end when no type probability moves by more than the tolerance; a warning tells where max_iter rounds
+    were not enough. A cell is one row, and a task works on a few of them as a matrix; candidates are shuffled.
+    Tables of a round go when the next one is written.
     """
-    near = spatial_knn(pts.select(F.col("transcript_id").alias("id"), "x", "y"), cells.select(F.col("cell_id").alias("id"), "x", "y"), neighbours, radius)
-    spread = near.agg((F.avg(F.col("distance") ** 2) / 2).alias("s2"))
-    prior = pts.select(F.col("transcript_id").alias("id"), F.col("feature_name").alias("gene"), F.col("cell_id").alias("prior"))
-    base = near.join(prior, "id").crossJoin(F.broadcast(spread))
-    gauss = -F.col("distance") ** 2 / (2 * F.col("s2")) - F.ln(2 * 3.141592653589793 * F.col("s2"))
-    candidates = written(base.select("id", "gene", F.col("neighbour").alias("cell_id"), (gauss + F.when(F.col("prior") == F.col("neighbour"), inside_bonus).otherwise(0.0)).alias("w")), "candidates")
-    types = profile.select("cell_type").distinct()
-    n_types = types.count()
-    rates = profile.select("cell_type", "gene", (F.col("mean") + 1e-3).alias("mu"))
-    belief = cells.select("cell_id").crossJoin(F.broadcast(types)).withColumn("p", F.lit(1.0 / n_types))
-    eta = profile.select("gene").distinct().withColumn("eta", F.lit(1.0))
-    softmax = Window.partitionBy("id")
+    wide = profile.groupBy("gene").pivot("cell_type").agg(F.first("mean")).orderBy("gene")
+    types = [c for c in wide.columns if c != "gene"]
+    if wide.count() * len(types) > LARGEST_PROFILE:
+        raise ValueError(f"probabilistic_assign: the profile has more than {LARGEST_PROFILE} values")
+    panel = wide.fillna(0.0).toPandas()
+    spark, n_types = pts.sparkSession, len(types)
+    genes = spark.createDataFrame([(g, k) for k, g in enumerate(panel["gene"])], "gene string, g int")
+    rates = Rates(panel[types].to_numpy(float), np.full(len(panel), inefficiency), r_spot, spot_reg, np.append(np.full(n_types, (1 - empty_prior) / n_types), empty_prior))
+    candidates = _candidates(pts, cells, genes, neighbours, radius, inside_bonus)
+    size = F.col("area") if "area" in cells.columns else F.lit(None).cast("double")
+    known = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.when(size > 0, size.cast("double")).alias("size"))
+    mean = F.broadcast(known.agg(F.avg("size").alias("mean")))
+    at = known.crossJoin(mean).select("cell_id", F.coalesce(F.col("size") / F.col("mean"), F.lit(1.0)).alias("area"))
+    schema = "cell_id long, area double, p array<double>, genes array<int>, n array<double>, moved double, sums array<double>"
+
+    def with_counts(before: DataFrame, counts: DataFrame) -> DataFrame:
+        by_cell = counts.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("g", "n"))).alias("c")).select("cell_id", F.col("c.g").alias("genes"), F.col("c.n").alias("n"))
+        kinds = {"genes": "array<int>", "n": "array<double>"}
+        return before.join(by_cell, "cell_id", "left").select("cell_id", "area", "p", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in kinds.items()))
+
+    start = at.withColumn("p", F.array(*[F.lit(float(v)) for v in rates.prior]))
+    state = written(with_counts(start, candidates.select("cell_id", "g", F.lit(0.0).alias("n")).distinct()), "cells")
+    shared, moved, softmax = None, None, Window.partitionBy("id")
     for _ in range(max_iter):
-        expected = belief.join(F.broadcast(rates), "cell_type").groupBy("cell_id", "gene").agg(F.sum(F.col("p") * F.ln("mu")).alias("ln_mu"))
-        weighed = candidates.join(expected, ["cell_id", "gene"]).join(F.broadcast(eta), "gene").withColumn("l", F.col("w") + F.col("ln_mu") + F.ln("eta"))
-        top = F.greatest(F.max("l").over(softmax), F.ln(F.lit(misread_density)))
-        low = F.sum(F.exp(F.col("l") - top)).over(softmax) + F.exp(F.ln(F.lit(misread_density)) - top)
-        shared = written(weighed.select("id", "gene", "cell_id", (F.exp(F.col("l") - top) / low).alias("share")), "shares")
-        counts = shared.groupBy("cell_id", "gene").agg(F.sum("share").alias("n"))
-        sizes = counts.groupBy("cell_id").agg(F.sum("n").alias("size"))
-        whole = rates.groupBy("cell_type").agg(F.sum("mu").alias("mu_all"))
-        mean = counts.join(F.broadcast(rates), "gene").join(sizes, "cell_id").join(F.broadcast(whole), "cell_type")
-        m = F.col("mu") * F.col("size") / F.col("mu_all") + spot_reg
-        ll = F.col("n") * F.ln(m / (m + r_spot)) - r_spot * F.ln(1 + m / r_spot)
-        by_type = mean.groupBy("cell_id", "cell_type").agg(F.sum(ll).alias("ll"))
-        of_cell = Window.partitionBy("cell_id")
-        scaled = by_type.withColumn("e", F.exp(F.col("ll") - F.max("ll").over(of_cell)))
-        typed = scaled.select("cell_id", "cell_type", (F.col("e") / F.sum("e").over(of_cell)).alias("p"))
-        new = written(typed, "belief")
-        by_gene = counts.groupBy("gene").agg(F.sum("n").alias("n_g"))
-        due = new.join(F.broadcast(rates), "cell_type").join(sizes, "cell_id").groupBy("gene").agg(F.sum(F.col("p") * F.col("mu")).alias("due"))
-        eta = written(due.join(by_gene, "gene").select("gene", ((r_gene + F.col("n_g")) / (r_gene / inefficiency + F.col("due"))).alias("eta")), "efficiency")
-        moved = new.join(belief.withColumnRenamed("p", "q"), ["cell_id", "cell_type"]).agg(F.max(F.abs(F.col("p") - F.col("q"))).alias("d")).first()["d"]
-        belief = new
-        if moved is not None and moved < tolerance:
+        real = state.where("cell_id IS NOT NULL")
+        expected = real.select("cell_id", "area", "p", "genes", "n").mapInArrow(_expected(rates), "cell_id long, g int, e double")
+        weighed = candidates.join(expected, ["cell_id", "g"]).withColumn("l", F.col("w") + F.col("e"))
+        top = F.greatest(F.max("l").over(softmax), F.lit(math.log(misread_density)))
+        low = F.sum(F.exp(F.col("l") - top)).over(softmax) + F.exp(F.lit(math.log(misread_density)) - top)
+        new_shared = written(weighed.select("id", "g", "cell_id", (F.exp(F.col("l") - top) / low).alias("share")), "shares")
+        counts = new_shared.groupBy("cell_id", "g").agg(F.sum("share").alias("n"))
+        new = written(with_counts(real.select("cell_id", "area", "p"), counts).mapInArrow(_types(rates), schema), "cells")
+        discard(state, *([shared] if shared is not None else []))
+        state, shared = new, new_shared
+        # twice as many numbers as the panel has genes
+        sums = state.where("cell_id IS NULL").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()["v"].to_numpy()
+        due, molecules = np.split(sums, 2)
+        rates.eta = (r_gene + molecules) / (r_gene / inefficiency + due)
+        moved = state.agg(F.max("moved")).first()[0]
+        if moved is None or moved < tolerance:
             break
     else:
         warnings.warn(f"probabilistic_assign: type probabilities still moved by {moved} after {max_iter} rounds (tolerance {tolerance})", stacklevel=2)
-    of_cell = belief.groupBy("cell_id").agg(F.max(F.struct("p", "cell_type")).alias("t")).select("cell_id", F.col("t.cell_type").alias("cell_type"), F.col("t.p").alias("cell_type_prob"))
+    names = F.array(*[F.lit(t) for t in [*types, UNANNOTATED]])
+    likely = F.array_max("p")
+    of_cell = state.where("cell_id IS NOT NULL").select("cell_id", F.element_at(names, F.array_position("p", likely).cast("int")).alias("cell_type"), likely.alias("cell_type_prob"))
     best = shared.groupBy("id").agg(F.max_by("cell_id", F.struct("share", -F.col("cell_id"))).alias("c"), F.max("share").alias("s"), F.sum("share").alias("all"))
     kept = best.select(F.col("id").alias("transcript_id"), F.when(F.col("s") >= 1 - F.col("all"), F.col("c")).otherwise(F.lit(0)).cast("long").alias("cell_id"), F.greatest(F.col("s"), 1 - F.col("all")).alias("prob"))
     kept = kept.join(of_cell, "cell_id", "left")
