@@ -1,7 +1,7 @@
 """Which tokens of two tokenizers cover the same bytes, and how often their ids are linked in the whole corpus.
 
 One side is a byte-level file of the `tokenizers` library (A), the other a `sentencepiece` model (B). Both give spans:
-characters, and bytes of the text's pieces. Places where both have a token's end at a character's end are coarse cuts.
+characters (of B those that this release of the library gives in place of its immutable proto). Places where both have a token's end at a character's end are coarse cuts.
 Between two of them only tokens that share a character (a character cut into bytes, byte fallback) can end together;
 there the tokens' own bytes decide. Groups lie between neighbouring common ends; the tokens that end together are linked.
 
@@ -22,9 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +41,25 @@ BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 LOW = (1 << 32) - 1
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """Ids of both sides, and the groups as (first A, last A + 1, first B, last B + 1)."""
+class Aligned(NamedTuple):
+    """Ids of both sides, and how many of A and of B lie before each common end."""
 
     a: list[int]
     b: list[int]
-    groups: list[tuple[int, int, int, int]]
+    ends: list[tuple[int, int]]
 
-    def written(self) -> str:
-        return ";".join(f"{','.join(map(str, self.a[i:j]))}|{','.join(map(str, self.b[k:n]))}" for i, j, k, n in self.groups)
+    def groups(self) -> list[tuple[int, int, int, int]]:
+        """First A, last A + 1, first B, last B + 1 of each group."""
+        return [(i, j, k, n) for (i, k), (j, n) in zip([(0, 0), *self.ends], self.ends)]
 
-    def links(self) -> np.ndarray:
+    def written(self) -> list[str]:
+        """Each group as `a1,a2|b1`."""
+        a, b = list(map(str, self.a)), list(map(str, self.b))
+        return [f"{','.join(a[i:j])}|{','.join(b[k:n])}" for i, j, k, n in self.groups()]
+
+    def links(self) -> list[int]:
         """The linked ids of each group, B's in the high half."""
-        return np.array([self.b[n - 1] << 32 | self.a[j - 1] for _, j, _, n in self.groups], np.int64)
+        return [self.b[n - 1] << 32 | self.a[j - 1] for j, n in self.ends]
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,6 +83,7 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
         #: No piece has a space behind another character, so no merge crosses a single space.
         added = json.loads(self.a.to_str())
         plain = added["normalizer"] is None and (added["pre_tokenizer"] or {}).get("type") == "ByteLevel" and added["pre_tokenizer"].get("use_regex")
@@ -84,29 +91,49 @@ class Pair:
 
     def align(self, text: str) -> Aligned | None:
         """The groups of one text, or None where a side does not give back space + text."""
+        return (found := self._spans(text)) and found[0]
+
+    def _spans(self, text: str) -> tuple[Aligned, dict[int, int]] | None:
+        """The groups, and how many tokens of A lie before each of its coarse ends, which are counted in characters of space + text."""
         target = f" {text}"
-        found = self.a.encode(target, add_special_tokens=False)
-        a, offsets = found.ids, found.offsets
-        spans = self.b.encode(text, return_type="proto").pieces
-        b = [s.id for s in spans]
+        found, spans = self.a.encode(target, add_special_tokens=False), self.b.encode(text, return_type="offset_mapping")
+        a, a_spans, b, b_spans = found.ids, found.offsets, spans["ids"], spans["offsets"]
         raw = target.encode()
-        if b"".join(self.a_bytes[i] for i in a) != raw or b"".join(self.b_bytes[i] for i in b) != raw:
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        # A: an end is coarse if the next token starts there; else both share a character
-        at = range(len(target) + 1) if len(raw) == len(target) else [0, *np.cumsum([len(c.encode()) for c in target]).tolist()]
-        a_coarse = {at[end]: k + 1 for k, (_, end) in enumerate(offsets) if k + 1 == len(a) or offsets[k + 1][0] >= end}
-        # B: bytes of a character that was cut have no surface but the last of them
-        coarse = []
-        for k, (i, s) in enumerate(zip(b, spans)):
-            if (s.surface or not self.b.is_byte(i)) and (j := a_coarse.get(s.end + 1)):
-                coarse.append((j, k + 1))
+        if len(raw) == len(target):
+            a_ends = {end: k for k, (_, end) in enumerate(a_spans, 1)}
+            return Aligned(a, b, [(a_ends[end + 1], k) for k, (_, end) in enumerate(b_spans, 1) if end + 1 in a_ends]), a_ends
+        # A: a token's end is coarse if the next token starts there; else both share a character
+        starts = [start for start, _ in a_spans[1:]] + [len(target)]
+        a_ends = {end: k for k, ((_, end), start) in enumerate(zip(a_spans, starts), 1) if start >= end}
+        # B: of the bytes of a character only the last has a span
+        coarse = [(a_ends[end + 1], k) for k, (i, (start, end)) in enumerate(zip(b, b_spans), 1) if (end > start or not self.is_byte[i]) and end + 1 in a_ends]
         ends, i, k = [], 0, 0
         for j, n in coarse:
-            if len(raw) != len(target) and j - i > 1 and n - k > 1:
+            if j - i > 1 and n - k > 1:
                 ends += [(i + x, k + y) for x, y in self._finer(a[i:j], b[k:n])]
             ends.append((j, n))
             i, k = j, n
-        return Aligned(a, b, [(i, j, k, n) for (i, k), (j, n) in zip([(0, 0), *ends], ends)])
+        return Aligned(a, b, ends), a_ends
+
+    def entries(self, parts: list[str]) -> list[tuple | None]:
+        """(n_a, n_b, links as bytes, groups as written) of each part, or None; the parts are aligned as one text, which a space cuts."""
+        whole = self._spans(" ".join(parts))
+        if whole is None:
+            return [None] if len(parts) == 1 else [self.entries([part])[0] for part in parts]
+        found, a_ends = whole
+        group_of = {j: k for k, (j, _) in enumerate(found.ends, 1)}
+        links, groups = struct.pack(f"<{len(found.ends)}q", *found.links()), found.written()
+        out, at, i, k, x = [], 0, 0, 0, 0
+        for part in parts:
+            at += 1 + len(part)
+            j = a_ends[at]
+            y = group_of[j]
+            n = found.ends[y - 1][1]
+            out.append((j - i, n - k, links[8 * x : 8 * y], ";".join(groups[x:y])))
+            i, k, x = j, n, y
+        return out
 
     def _finer(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
         """Common ends inside a coarse group by the bytes of its tokens: how many of A and B lie before each."""
@@ -120,20 +147,25 @@ class Pair:
 
 
 class Parts(dict):
-    """(n_a, n_b, n_groups, links as bytes, groups as written) of a part of a text, kept up to a bound in each worker."""
+    """The entries of parts of texts, kept up to a bound in each worker. Longer parts are not kept."""
 
-    def __init__(self, pair: Pair, most: int = 150_000, longest: int = 40):
+    def __init__(self, pair: Pair, most: int = 400_000, longest: int = 40, at_once: int = 200):
         super().__init__()
-        self.pair, self.most, self.longest = pair, most, longest
+        self.pair, self.most, self.longest, self.at_once = pair, most, longest, at_once
 
     def __missing__(self, part: str) -> tuple | None:
-        found = self.pair.align(part)
-        out = found and (len(found.a), len(found.b), len(found.groups), found.links().tobytes(), found.written())
-        if len(part) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = out
-        return out
+        return self.pair.entries([part])[0]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Align the new parts of these texts together, those that a space cuts on both sides."""
+        parts = {part for own in texts for part in own if len(part) <= self.longest and not part[:1].isspace() and not part[-1:].isspace()}
+        new = [part for part in parts if part not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(parts)
+        for k in range(0, len(new), self.at_once):
+            some = new[k : k + self.at_once]
+            self.update(zip(some, self.pair.entries(some)))
 
 
 @cache
@@ -154,7 +186,7 @@ def spans(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
         for batch in batches:
             for b in sliced(iter([batch]), 1, 1 << 18):
                 rows = [(pair.align(text) if text else None) or Aligned([], [], []) for text in b.column(1).to_pylist()]
-                groups = [[{"a_from": i, "a_to": j, "b_from": k, "b_to": n} for i, j, k, n in r.groups] for r in rows]
+                groups = [[{"a_from": i, "a_to": j, "b_from": k, "b_to": n} for i, j, k, n in r.groups()] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([r.a for r in rows], pa.list_(pa.int32())), pa.array([r.b for r in rows], pa.list_(pa.int32())), pa.array(groups, GROUPS)],
                     names=["doc_id", "a", "b", "groups"],
@@ -173,26 +205,30 @@ def _aligned(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, known = _pair(vocabulary, model), _parts(vocabulary, model)
         row = TaskContext.get().partitionId() << 40
-        for b in sliced(batches, 1, 1 << 22):
+        for b in sliced(batches, 1, 1 << 20):
             numbers, shas, pairs, times = [], [], [], []
-            for text in b.column(1).to_pylist():
-                own = [known[part] for part in pair.parts(text)] if text else [None]
-                if None in own:
-                    numbers.append((0, 0, 0))
+            texts = [pair.parts(text) if text else [] for text in b.column(1).to_pylist()]
+            known.learn(texts)
+            for parts in texts:
+                own = [known[part] for part in parts]
+                if None in own or not own:
+                    numbers.append((0, 0))
                     shas.append("")
-                    own = []
+                    linked_ids = b""
                 else:
-                    numbers.append(tuple(map(sum, zip(*(p[:3] for p in own)))))
-                    shas.append(hashlib.sha256(";".join([p[4] for p in own]).encode()).hexdigest())
-                found, n = np.unique(np.frombuffer(b"".join([p[3] for p in own]), np.int64), return_counts=True)
+                    n_a, n_b, links, written = zip(*own)
+                    numbers.append((sum(n_a), sum(n_b)))
+                    shas.append(hashlib.sha256(";".join(written).encode()).hexdigest())
+                    linked_ids = b"".join(links)
+                found, n = np.unique(np.frombuffer(linked_ids, np.int64), return_counts=True)
                 pairs.append(found)
                 times.append(n)
-            n_a, n_b, n_groups = (pa.array(c, pa.int64()) for c in zip(*numbers))
+            n_a, n_b = (pa.array(c, pa.int64()) for c in zip(*numbers))
+            n_links = pa.array([int(t.sum()) for t in times], pa.int64())  # one for each group
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pairs])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + b.num_rows)), b.column(0), n_a, n_b, n_groups,
-                    pa.array([int(t.sum()) for t in times], pa.int64()), pa.array(shas, pa.string()),
+                    pa.array(np.arange(row, row + b.num_rows)), b.column(0), n_a, n_b, n_links, n_links, pa.array(shas, pa.string()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times), pa.int32())),
                 ],
                 names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],

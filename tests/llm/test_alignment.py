@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -99,7 +100,7 @@ def test_spans_and_bytes_agree(pair, tokens):
         want, found = tokens(text), pair.align(text)
         assert (found is None) == (want is None), repr(text)
         if want:
-            assert [(found.a[i:j], found.b[k:n]) for i, j, k, n in found.groups] == groups_of(want), repr(text)
+            assert [(found.a[i:j], found.b[k:n]) for i, j, k, n in found.groups()] == groups_of(want), repr(text)
             told += any(len(a) > 1 and len(b) > 1 for a, b in groups_of(want))
     assert told > 100
 
@@ -107,13 +108,16 @@ def test_spans_and_bytes_agree(pair, tokens):
 def test_parts_give_the_whole(pair, tokens):
     """Texts aligned part by part are the whole texts aligned at once."""
     assert pair.cut
-    rng, known = random.Random(2), alignment.Parts(pair, most=50, longest=5)
-    for _ in range(2000):
-        text = "".join(rng.choice(ODD) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 12)))
-        own, whole = [known[p] for p in pair.parts(text)], pair.align(text)
-        assert (None in own) == (whole is None), repr(text)
-        if whole:
-            assert ";".join(p[4] for p in own) == whole.written() and [sum(p[k] for p in own) for k in range(3)] == [len(whole.a), len(whole.b), len(whole.groups)]
+    rng, known = random.Random(2), alignment.Parts(pair, most=300, longest=5, at_once=7)
+    for _ in range(200):
+        texts = ["".join(rng.choice(ODD) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 12))) for _ in range(10)]
+        known.learn([pair.parts(text) for text in texts])
+        for text in texts:
+            own, whole = [known[p] for p in pair.parts(text)], pair.align(text)
+            assert (None in own) == (whole is None), repr(text)
+            if whole:
+                assert ";".join(p[3] for p in own) == ";".join(whole.written()) and [sum(p[k] for p in own) for k in range(2)] == [len(whole.a), len(whole.b)]
+                assert b"".join(p[2] for p in own) == np.array(whole.links(), "<i8").tobytes()
 
 
 @pytest.mark.parametrize("hot_pairs", [2_000_000, 40, 0])
