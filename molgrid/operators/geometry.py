@@ -40,7 +40,7 @@ def crop_points(pts: DataFrame, matrix: Matrix, box: Box) -> DataFrame:
     return pts.where(_in_box(affine(matrix, 0, x, y), affine(matrix, 1, x, y), box))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """Consecutive corner pairs, the last with the first; one expression over the array, no join."""
     following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -48,7 +48,7 @@ def _edges(ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Signed area by the shoelace formula."""
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
+    return F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
 
 
 def ring_centroid(ring: Column) -> Column:
@@ -66,7 +66,7 @@ def ring_centroid(ring: Column) -> Column:
     def mean(axis: str) -> Column:
         return F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[axis]) / F.size(ring)
 
-    sums = F.aggregate(_edges(ring), zero, step)
+    sums = F.aggregate(edges(ring), zero, step)
     return F.struct(
         F.when(sums["w"] != 0, F.try_divide(sums["x"], 3 * sums["w"])).otherwise(mean("x")).alias("x"),
         F.when(sums["w"] != 0, F.try_divide(sums["y"], 3 * sums["w"])).otherwise(mean("y")).alias("y"),
@@ -128,6 +128,11 @@ def crop_window(centers: DataFrame, width: int, height: int, max_pixels: int) ->
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     """Strictly inside: even-odd rule, and not on an edge."""
+    return inside_edges(x, y, edges(ring))
+
+
+def inside_edges(x: Column, y: Column, sides: Column) -> Column:
+    """The same for the edges of a ring."""
 
     def crosses(e):
         a, b = e["a"], e["b"]
@@ -143,6 +148,5 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
             & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
         )
 
-    edges = _edges(ring)
-    odd = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+    odd = F.aggregate(sides, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
+    return odd & ~F.exists(sides, touches)

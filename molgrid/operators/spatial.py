@@ -10,17 +10,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import bin_label, bin_pixels, clamp
-from molgrid.operators.geometry import inside_ring, ring_centroid
+from molgrid.operators.geometry import edges, inside_edges
 
 
-def assign_by_labels(pts: DataFrame, spans: DataFrame, width: int, height: int, bucket: int = 64) -> DataFrame:
+def _in_grid(pts: DataFrame, side: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
+    """`pts` left-joined with `side` (one row for each grid cell) on the grid keys; crowded grid cells are shared out.
+
+    A grid cell with more than rows_per_task points gets as many salts as it needs: its points are dealt to them and its
+    row is copied to each. There are no more crowded cells than points over rows_per_task, and only those are broadcast.
+    """
+    crowded = pts.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_task)
+    crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col("n") / rows_per_task).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    # by the whole row, so that a repeated task deals as before
+    row = F.xxhash64(*[c for c, t in pts.dtypes if "map<" not in t])
+    dealt = pts.join(crowded, keys, "left").withColumn("__salt", F.pmod(row, salts).cast("int")).drop("__salts")
+    copied = side.join(crowded, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(copied, [*keys, "__salt"], "left").drop("__salt")
+
+
+def assign_by_labels(pts: DataFrame, spans: DataFrame, width: int, height: int, bucket: int = 64, rows_per_task: int = 1_000_000) -> DataFrame:
     """cell_id from a label raster in spans (y, x_start, x_end, label); 0 is background, larger labels win.
 
     Coordinates are truncated and clamped. Spans are cut at bucket bounds and stand together for each (row, bucket), so
-    each point meets one row at most: one join, no grouping of points.
+    each point meets one row at most: one join, no grouping of points. Clamping may heap points up at the border;
+    crowded buckets are shared out.
     """
     at = pts.withColumns({"__x": clamp(F.col("x").cast("long"), 0, width - 1), "__y": clamp(F.col("y").cast("long"), 0, height - 1)})
-    at = at.withColumn("__b", F.floor(F.col("__x") / bucket))
+    at = at.withColumn("__b", F.floor(F.col("__x") / bucket)).drop("cell_id")
     parts = spans.where("label > 0").select(
         F.col("y").cast("long").alias("__y"),
         F.explode(F.sequence(F.floor(F.col("x_start") / bucket), F.floor(F.col("x_end") / bucket))).alias("__b"),
@@ -28,25 +45,32 @@ def assign_by_labels(pts: DataFrame, spans: DataFrame, width: int, height: int,
     ).groupBy("__y", "__b").agg(F.collect_list("span").alias("__spans"))
     over = F.filter("__spans", lambda s: F.col("__x").between(s["x_start"], s["x_end"]))
     label = F.coalesce(F.array_max(F.transform(over, lambda s: s["label"])), F.lit(0)).cast("long")
-    return at.drop("cell_id").join(parts, ["__y", "__b"], "left").withColumn("cell_id", label).drop("__x", "__y", "__b", "__spans")
+    return _in_grid(at, parts, ["__y", "__b"], rows_per_task).withColumn("cell_id", label).drop("__x", "__y", "__b", "__spans")
 
 
-def assign_by_polygons(pts: DataFrame, poly: DataFrame, cell_size: float, unassigned: int | None = None) -> DataFrame:
+def assign_by_polygons(pts: DataFrame, poly: DataFrame, cell_size: float, unassigned: int | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
     """cell_id of the polygon that a point lies strictly inside; of several the one with the smallest id.
 
     Every point stays, once; without a polygon cell_id is null, or `unassigned`. Polygons are copied to the grid cells
-    that their boxes touch, and each point meets the one row of its own grid cell: one join, no grouping of points.
+    that their boxes touch, with box and edges worked out once, and each point meets the one row of its own grid cell:
+    one join, no grouping of points; crowded grid cells are shared out. A point is tried against the boxes in the order of
+    ids and against the edges of a polygon only inside of its box; later polygons are left out once one holds it.
     """
     def axis(c: str, of) -> F.Column:
-        return F.floor(of(F.transform("ring", lambda p: p[c])) / cell_size)
-
-    box = poly.select("cell_id", "ring", *(axis(c, of).alias(n) for n, c, of in (("lx", "x", F.array_min), ("hx", "x", F.array_max), ("ly", "y", F.array_min), ("hy", "y", F.array_max))))
-    tiles = box.select("cell_id", "ring", F.explode(F.sequence("lx", "hx")).alias("__gx"), "ly", "hy")
-    tiles = tiles.select("__gx", F.explode(F.sequence("ly", "hy")).alias("__gy"), F.struct("cell_id", "ring").alias("p"))
-    near = tiles.groupBy("__gx", "__gy").agg(F.collect_list("p").alias("__near"))
+        return of(F.transform("ring", lambda p: p[c]))
+
+    sides = (("lx", "x", F.array_min), ("hx", "x", F.array_max), ("ly", "y", F.array_min), ("hy", "y", F.array_max))
+    box = poly.select("cell_id", edges(F.col("ring")).alias("edges"), *(axis(c, of).alias(n) for n, c, of in sides))
+    grid = {n: F.floor(F.col(n) / cell_size) for n, _, _ in sides}
+    tiles = box.select("*", F.explode(F.sequence(grid["lx"], grid["hx"])).alias("__gx"))
+    tiles = tiles.select("__gx", F.explode(F.sequence(grid["ly"], grid["hy"])).alias("__gy"), F.struct("cell_id", "lx", "hx", "ly", "hy", "edges").alias("p"))
+    near = tiles.groupBy("__gx", "__gy").agg(F.sort_array(F.collect_list("p")).alias("__near"))
     at = pts.drop("cell_id").withColumns({"__gx": F.floor(F.col("x") / cell_size), "__gy": F.floor(F.col("y") / cell_size)})
-    inside = F.filter("__near", lambda p: inside_ring(F.col("x"), F.col("y"), p["ring"]))
-    out = at.join(near, ["__gx", "__gy"], "left").withColumn("cell_id", F.array_min(F.transform(inside, lambda p: p["cell_id"]))).drop("__gx", "__gy", "__near")
+    x, y = F.col("x"), F.col("y")
+    boxed = F.filter("__near", lambda p: (x > p["lx"]) & (x < p["hx"]) & (y > p["ly"]) & (y < p["hy"]))
+    none = F.lit(None).cast(dict(poly.dtypes)["cell_id"])
+    first = F.aggregate(boxed, none, lambda found, p: F.when(found.isNull(), F.when(inside_edges(x, y, p["edges"]), p["cell_id"])).otherwise(found))
+    out = _in_grid(at, near, ["__gx", "__gy"], rows_per_task).withColumn("cell_id", first).drop("__gx", "__gy", "__near")
     return out if unassigned is None else out.withColumn("cell_id", F.coalesce("cell_id", F.lit(unassigned)))
 
 
@@ -65,14 +89,15 @@ def sweep_bins(pts: DataFrame, sizes: list[int], width: int) -> DataFrame:
     return bins.groupBy("bin_size").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_molecules"), F.max("n").alias("largest"))
 
 
-def tile_points(pts: DataFrame, width: float, overlap: float, min_pts: int) -> DataFrame:
-    """Points copied into every tile whose window with its margin holds them; tiles with few points go."""
+def tile_points(pts: DataFrame, width: float, overlap: float, min_pts: int, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Points copied into every tile whose window with its margin holds them; tiles with few points go. Crowded tiles are
+    shared out where points meet the tiles that stay."""
     def tiles(c: str) -> F.Column:
         return F.sequence(F.floor((F.col(c) - overlap) / width), F.floor((F.col(c) + overlap) / width))
 
     copied = pts.withColumn("tile_x", F.explode(tiles("x"))).withColumn("tile_y", F.explode(tiles("y")))
-    full = copied.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).drop("n")
-    return copied.join(full, ["tile_x", "tile_y"], "left_semi")
+    full = copied.groupBy("tile_x", "tile_y").agg((F.count("*") >= min_pts).alias("__full")).where("__full")
+    return _in_grid(copied, full, ["tile_x", "tile_y"], rows_per_task).where("__full").drop("__full").select(*copied.columns)
 
 
 def use_labels(layers: dict[str, DataFrame], key: str) -> DataFrame:
