@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import UNANNOTATED
 from molgrid.operators.annotate import type_profiles
+from molgrid.operators.arrays import sum_arrays
 from molgrid.sources.writers import written
 
 
@@ -85,54 +86,156 @@ def neg_marker_purity_cells(sp: Side, sc: Side, max_rate: float = 0.005, min_cel
     return _marker_purity(sp, sc, "neg_marker_purity_cells", "cells", max_rate, min_cells)
 
 
-def gene_correlations(side: Side, by_type: bool) -> DataFrame:
-    """kind, g, h (g < h), r: Pearson of the normalized layer over cells, zeros included; constant genes are left out.
+#: Genes of a block: a task holds one matrix of so many squared.
+BLOCK_GENES = 512
 
-    A cell's genes are one row; each task adds up the products of its cells in one matrix (genes of a panel squared)
-    and emits that, so pairs of genes are shuffled once for each task, not for each cell.
-    """
+
+def _panel(genes: DataFrame) -> DataFrame:
+    """gene, i: genes in order. A panel's genes, or a transcriptome's, are few."""
+    return genes.agg(F.sort_array(F.collect_set("gene")).alias("genes")).select(F.posexplode("genes").alias("i", "gene"))
+
+
+def _cell_rows(side: Side, by_type: bool, panel: DataFrame) -> DataFrame:
+    """kind, cell_id, v: the normalized values that are not 0, with their places in the panel, in order."""
     cnt, cells = side
     kind = F.col("cell_type") if by_type else F.lit("all")
-    genes = cnt.select("gene").distinct()
-    codes = genes.agg(F.sort_array(F.collect_set("gene")).alias("genes"))  # the panel
-    rows = (
-        cnt.where("normalized != 0").join(cells.select("cell_id", kind.alias("kind")), "cell_id")
-        .groupBy("kind", "cell_id").agg(F.collect_list(F.struct("gene", "normalized")).alias("v"))
-        .crossJoin(F.broadcast(codes)).select("kind", F.expr("transform(v, x -> array_position(genes, x.gene) - 1)").alias("at"), F.col("v.normalized").alias("x"), F.size("genes").alias("n_genes"))
-    )
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
+    values = cnt.where("normalized != 0").join(F.broadcast(panel), "gene").join(cells.select("cell_id", kind.alias("kind")), "cell_id")
+    return values.groupBy("kind", "cell_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("normalized").cast("double").alias("x")))).alias("v"))
+
+
+def _products(block: int):
+    """Rows (kind, bi, bj, a, b), sorted by the first three -> rows of the sum of outer products of a and b: kind, bi, bj, g, v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def rows() -> pa.RecordBatch:
+            g = np.flatnonzero(total.any(axis=1))
+            kind, bi, bj = key
+            n = len(g)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([bi] * n, pa.int32()), pa.array([bj] * n, pa.int32()), pa.array(g + bi * block, pa.int32()), pa.array(list(total[g]), pa.list_(pa.float64()))], names=["kind", "bi", "bj", "g", "v"])
+
         for b in batches:
-            for k, at, x, n in zip(b["kind"], b["at"], b["x"], b["n_genes"]):
-                own = total.setdefault(k, np.zeros((n + 1, n)))
-                at, x = np.asarray(at), np.asarray(x)
-                own[np.ix_(at, at)] += np.outer(x, x)
-                own[n, at] += x
-        for k, own in total.items():
-            g, h = np.nonzero(own)
-            keep = (g >= h) | (g == own.shape[1])  # the lower half, and the sums as the last row
-            yield pd.DataFrame({"kind": k, "g": g[keep], "h": h[keep], "v": own[g[keep], h[keep]], "last": own.shape[1]})
-
-    sums = rows.mapInPandas(products, "kind string, g long, h long, v double, last long").groupBy("kind", "g", "h", "last").agg(F.sum("v").alias("v"))
+            sides = []
+            for c in ("a", "b"):
+                flat = b.column(c).flatten()
+                sides.append((b.column(c).offsets.to_numpy() - b.column(c).offsets[0].as_py(), flat.field("i").to_numpy() % block, flat.field("x").to_numpy()))
+            for k, own in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "bi", "bj")))):
+                if own != key:
+                    if key is not None:
+                        yield rows()
+                    key, total = own, np.zeros((block, block))
+                (at, x), (to, y) = ((i[o[k] : o[k + 1]], v[o[k] : o[k + 1]]) for o, i, v in sides)
+                total[np.ix_(at, to)] += np.outer(x, y)
+        if key is not None:
+            yield rows()
+
+    return run
+
+
+GRAM = "kind string, bi int, bj int, g int, v array<double>"
+
+
+def gram(side: Side, by_type: bool, panel: DataFrame, n_genes: int, block: int = BLOCK_GENES, salts: int = 16) -> DataFrame:
+    """kind, bi, bj, g, v: row g of the matrix of gene-gene products, cut to block bj of its columns; bj <= bi.
+
+    Panels of one block are added up where the cells are. Larger ones go by pairs of blocks (and a salt, so that a kind
+    of most cells is shared out): a cell's row travels cut into its blocks. Either way a task holds one block squared
+    at a time, and matrix rows, not pairs of genes, are what is shuffled and added up.
+    """
+    rows = _cell_rows(side, by_type, panel)
+    if n_genes <= block:
+        zero = F.lit(0)
+        cut = rows.select("kind", zero.alias("bi"), zero.alias("bj"), F.col("v").alias("a"), F.col("v").alias("b")).sortWithinPartitions("kind")
+    else:
+        present = F.array_distinct(F.transform("v", lambda x: F.floor(x["i"] / block).cast("int")))
+        pairs = F.flatten(F.transform("present", lambda i: F.transform(F.filter("present", lambda j: j <= i), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
+        cut = rows.withColumn("present", present).select("kind", F.pmod(F.xxhash64("cell_id"), F.lit(salts)).alias("salt"), "v", F.explode(pairs).alias("p"))
+        cut = cut.select("kind", "salt", "p.bi", "p.bj", "v")
+
+        def of(column: str) -> Column:
+            return F.filter("v", lambda x: F.floor(x["i"] / block) == F.col(column))
+
+        cut = cut.select("kind", "salt", "bi", "bj", of("bi").alias("a"), of("bj").alias("b"))
+        cut = cut.repartition("kind", "bi", "bj", "salt").drop("salt").sortWithinPartitions("kind", "bi", "bj")
+    parts = cut.mapInArrow(_products(block), GRAM)
+    return sum_arrays(parts, ["kind", "bi", "bj", "g"], "v", ["kind", "bi", "bj"])
+
+
+def _moments(side: Side, by_type: bool, panel: DataFrame, n_genes: int) -> DataFrame:
+    """kind, n, s, var: cells, and by place in the panel the sums and the variances (times n squared) of the values."""
+    cnt, cells = side
+    kind = F.col("cell_type") if by_type else F.lit("all")
     n = cells.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-    one = sums.where("g = last").select("kind", F.col("h").alias("i"), F.col("v").alias("s"))
-    own = sums.where("g = h").select("kind", F.col("g").alias("i"), F.col("v").alias("q")).join(one, ["kind", "i"]).join(F.broadcast(n), "kind")
-    own = own.withColumn("var", F.col("n") * F.col("q") - F.col("s") ** 2).where("var > 1e-9")
-    sides = [own.select("kind", F.col("i").alias(c), F.col("s").alias(f"s{c}"), F.col("var").alias(f"var{c}"), *(["n"] if c == "g" else [])) for c in "gh"]
-    # all pairs of a panel's genes, also those that no cell has together
-    pairs = sides[0].join(F.broadcast(sides[1]), "kind").where("h < g")
-    joined = pairs.join(sums.select("kind", "g", "h", "v"), ["kind", "g", "h"], "left")
-    r = (F.col("n") * F.coalesce("v", F.lit(0.0)) - F.col("sg") * F.col("sh")) / F.sqrt(F.col("varg") * F.col("varh"))
-    named = joined.crossJoin(F.broadcast(codes))
-    return named.select("kind", F.expr("genes[h]").alias("g"), F.expr("genes[g]").alias("h"), r.alias("r"))
-
-
-def coexpression_similarity(sp: Side, sc: Side, by_type: bool = False) -> DataFrame:
+    values = cnt.join(cells.select("cell_id", kind.alias("kind")), "cell_id").groupBy("kind", "gene").agg(F.sum("normalized").alias("s"), F.sum(F.col("normalized") ** 2).alias("q"))
+    every = n.crossJoin(F.broadcast(panel)).join(values, ["kind", "gene"], "left")  # kinds times genes
+    s, q = (F.coalesce(c, F.lit(0.0)) for c in ("s", "q"))
+    rows = every.select("kind", "n", F.struct("i", s.alias("s"), (F.col("n") * q - s**2).alias("var")).alias("m"))
+    return rows.groupBy("kind", "n").agg(F.sort_array(F.collect_list("m")).alias("m")).select("kind", "n", F.col("m.s").alias("s"), F.col("m.var").alias("var"))
+
+
+def _row_correlations(b: pa.RecordBatch, k: int, side: str, before: int) -> np.ndarray:
+    """Of row k: Pearson of its gene with the first `before` genes of its block; not a number where a gene is constant."""
+    n, own_s, own_var = (b.column(c + side)[k].as_py() for c in ("n", "gs", "gvar"))
+    s, var = (b.column(c + side)[k].values.to_numpy()[:before] for c in ("s", "var"))
+    v = b.column("v" + side)[k]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (n * (v.values.to_numpy()[:before] if v.is_valid else 0.0) - own_s * s) / np.sqrt(own_var * var)
+    r[(var <= 1e-9) | (own_var <= 1e-9)] = np.nan
+    return r
+
+
+def _correlated(sides: list[Side], by_type: bool, panel: DataFrame, n_genes: int, block: int) -> DataFrame:
+    """One row for each matrix row of each kind that all sides have: kind, g, bj and for each side v, n, the gene's
+    moments gs, gvar, and those of the block, s, var."""
+    places = panel.select(F.col("i").alias("g"), F.explode(F.sequence(F.lit(0), F.floor(F.col("i") / block).cast("int"))).alias("bj"))
+    out = None
+    for k, side in enumerate(sides):
+        moments = _moments(side, by_type, panel, n_genes)
+        own = moments.select("kind").crossJoin(F.broadcast(places)) if out is None else out
+        products = gram(side, by_type, panel, n_genes, block).select("kind", "g", "bj", F.col("v").alias(f"v{k}"))
+        of_kind = F.broadcast(moments.select("kind", F.col("n").alias(f"n{k}"), "s", "var"))
+        met = own.join(products, ["kind", "g", "bj"], "left").join(of_kind, "kind")
+        cut = {f"{c}{k}": F.slice(c, F.col("bj") * block + 1, F.lit(block)) for c in ("s", "var")}
+        out = met.withColumns({f"gs{k}": F.get("s", F.col("g")), f"gvar{k}": F.get("var", F.col("g")), **cut}).drop("s", "var")
+    return out
+
+
+def gene_correlations(side: Side, by_type: bool, block: int = BLOCK_GENES) -> DataFrame:
+    """kind, g, h (g < h), r: Pearson of the normalized layer over cells, zeros included; constant genes are left out."""
+    panel = _panel(side[0])
+    n_genes = panel.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (kind, g, bj) in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "g", "bj")))):
+                r = _row_correlations(b, k, "0", min(block, g - bj * block))
+                at = np.flatnonzero(~np.isnan(r))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at + bj * block, pa.int32()), pa.array([g] * len(at), pa.int32()), pa.array(r[at])], names=["kind", "i", "j", "r"])
+
+    pairs = _correlated([side], by_type, panel, n_genes, block).mapInArrow(run, "kind string, i int, j int, r double")
+    named = [F.broadcast(panel.select(F.col("i").alias(c), F.col("gene").alias(n))) for c, n in (("i", "g"), ("j", "h"))]
+    return pairs.join(named[0], "i").join(named[1], "j").select("kind", "g", "h", "r")
+
+
+def coexpression_similarity(sp: Side, sc: Side, by_type: bool = False, block: int = BLOCK_GENES) -> DataFrame:
+    """Correlations of both sides meet by matrix rows; only their differences are added up."""
     sp, sc = shared(sp, sc)
-    a = gene_correlations(sp, by_type).withColumnRenamed("r", "ra")
-    b = gene_correlations(sc, by_type).withColumnRenamed("r", "rb")
-    by_kind = a.join(b, ["kind", "g", "h"]).groupBy("kind").agg((1 - F.avg(F.abs(F.col("ra") - F.col("rb"))) / 2).alias("v"))
+    panel = _panel(sp[0])
+    n_genes = panel.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, total, pairs = b.column("kind").to_pylist(), [], []
+            for k, (g, bj) in enumerate(zip(b.column("g").to_pylist(), b.column("bj").to_pylist())):
+                before = min(block, g - bj * block)
+                apart = np.abs(_row_correlations(b, k, "0", before) - _row_correlations(b, k, "1", before))
+                total.append(float(np.nansum(apart)))
+                pairs.append(int((~np.isnan(apart)).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(total), pa.array(pairs, pa.int64())], names=["kind", "apart", "pairs"])
+
+    found = _correlated([sp, sc], by_type, panel, n_genes, block).mapInArrow(run, "kind string, apart double, pairs long")
+    by_kind = found.groupBy("kind").agg(F.sum("apart").alias("apart"), F.sum("pairs").alias("pairs")).where("pairs > 0").select("kind", (1 - F.col("apart") / F.col("pairs") / 2).alias("v"))
     return _score(by_kind, "coexpression_similarity" + "_celltype" * by_type, F.avg("v"))
 
 
