@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -42,24 +41,28 @@ LOW = (1 << 32) - 1
 
 
 class Aligned(NamedTuple):
-    """Ids of both sides, and how many of A and of B lie before each common end."""
+    """Ids of both sides, how many of A and of B lie before each common end, and the tokens' ends in characters."""
 
     a: list[int]
     b: list[int]
-    ends: list[tuple[int, int]]
+    j: np.ndarray
+    n: np.ndarray
+    a_ends: np.ndarray
+    b_ends: np.ndarray
 
     def groups(self) -> list[tuple[int, int, int, int]]:
         """First A, last A + 1, first B, last B + 1 of each group."""
-        return [(i, j, k, n) for (i, k), (j, n) in zip([(0, 0), *self.ends], self.ends)]
+        j, n = self.j.tolist(), self.n.tolist()
+        return list(zip([0, *j[:-1]], j, [0, *n[:-1]], n))
 
     def written(self) -> list[str]:
         """Each group as `a1,a2|b1`."""
         a, b = list(map(str, self.a)), list(map(str, self.b))
-        return [f"{','.join(a[i:j])}|{','.join(b[k:n])}" for i, j, k, n in self.groups()]
+        return [f"{a[i]}|{b[k]}" if j - i == 1 == n - k else f"{','.join(a[i:j])}|{','.join(b[k:n])}" for i, j, k, n in self.groups()]
 
-    def links(self) -> list[int]:
+    def links(self) -> np.ndarray:
         """The linked ids of each group, B's in the high half."""
-        return [self.b[n - 1] << 32 | self.a[j - 1] for j, n in self.ends]
+        return np.array(self.b, np.int64)[self.n - 1] << 32 | np.array(self.a, np.int64)[self.j - 1]
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,6 +72,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in itself} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def _common(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of A and B lie before each end that both have, among the ends that a_of and b_of name."""
+    a_at, b_at = np.flatnonzero(a_of), np.flatnonzero(b_of)
+    _, j, n = np.intersect1d(a[a_at], b[b_at], assume_unique=True, return_indices=True)
+    return a_at[j] + 1, b_at[n] + 1
+
+
 class Pair:
     """The two tokenizers, with the bytes of each of their tokens."""
 
@@ -83,7 +93,9 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
+        self.b_sizes = np.array([len(p) for p in self.b_bytes])
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         #: No piece has a space behind another character, so no merge crosses a single space.
         added = json.loads(self.a.to_str())
         plain = added["normalizer"] is None and (added["pre_tokenizer"] or {}).get("type") == "ByteLevel" and added["pre_tokenizer"].get("use_regex")
@@ -91,56 +103,38 @@ class Pair:
 
     def align(self, text: str) -> Aligned | None:
         """The groups of one text, or None where a side does not give back space + text."""
-        return (found := self._spans(text)) and found[0]
-
-    def _spans(self, text: str) -> tuple[Aligned, dict[int, int]] | None:
-        """The groups, and how many tokens of A lie before each of its coarse ends, which are counted in characters of space + text."""
         target = f" {text}"
         found, spans = self.a.encode(target, add_special_tokens=False), self.b.encode(text, return_type="offset_mapping")
-        a, a_spans, b, b_spans = found.ids, found.offsets, spans["ids"], spans["offsets"]
-        raw = target.encode()
+        a, b, raw = found.ids, spans["ids"], target.encode()
         if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        if len(raw) == len(target):
-            a_ends = {end: k for k, (_, end) in enumerate(a_spans, 1)}
-            return Aligned(a, b, [(a_ends[end + 1], k) for k, (_, end) in enumerate(b_spans, 1) if end + 1 in a_ends]), a_ends
+        (a_from, a_to), (b_from, b_to) = (np.array(s, np.int64).T for s in (found.offsets, spans["offsets"]))
+        b_to = b_to + 1
         # A: a token's end is coarse if the next token starts there; else both share a character
-        starts = [start for start, _ in a_spans[1:]] + [len(target)]
-        a_ends = {end: k for k, ((_, end), start) in enumerate(zip(a_spans, starts), 1) if start >= end}
+        a_coarse = np.append(a_from[1:] >= a_to[:-1], True)
         # B: of the bytes of a character only the last has a span
-        coarse = [(a_ends[end + 1], k) for k, (i, (start, end)) in enumerate(zip(b, b_spans), 1) if (end > start or not self.is_byte[i]) and end + 1 in a_ends]
-        ends, i, k = [], 0, 0
-        for j, n in coarse:
-            if j - i > 1 and n - k > 1:
-                ends += [(i + x, k + y) for x, y in self._finer(a[i:j], b[k:n])]
-            ends.append((j, n))
-            i, k = j, n
-        return Aligned(a, b, ends), a_ends
+        b_coarse = (b_to > b_from + 1) | ~self.is_byte[b]
+        j, n = _common(a_to, a_coarse, b_to, b_coarse)
+        if not a_coarse.all() and not b_coarse.all():  # inside of characters by the tokens' own bytes
+            finer = _common(self.a_sizes[a].cumsum(), ~a_coarse, self.b_sizes[b].cumsum(), ~b_coarse)
+            j, n = np.append(j, finer[0]), np.append(n, finer[1])
+            order = np.argsort(j)
+            j, n = j[order], n[order]
+        return Aligned(a, b, j, n, a_to, b_to)
 
     def entries(self, parts: list[str]) -> list[tuple | None]:
         """(n_a, n_b, links as bytes, groups as written) of each part, or None; the parts are aligned as one text, which a space cuts."""
-        whole = self._spans(" ".join(parts))
+        whole = self.align(" ".join(parts))
         if whole is None:
             return [None] if len(parts) == 1 else [self.entries([part])[0] for part in parts]
-        found, a_ends = whole
-        group_of = {j: k for k, (j, _) in enumerate(found.ends, 1)}
-        links, groups = struct.pack(f"<{len(found.ends)}q", *found.links()), found.written()
-        out, at, i, k, x = [], 0, 0, 0, 0
-        for part in parts:
-            at += 1 + len(part)
-            j = a_ends[at]
-            y = group_of[j]
-            n = found.ends[y - 1][1]
-            out.append((j - i, n - k, links[8 * x : 8 * y], ";".join(groups[x:y])))
-            i, k, x = j, n, y
-        return out
-
-    def _finer(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """Common ends inside a coarse group by the bytes of its tokens: how many of A and B lie before each."""
-        a_ends = np.cumsum([len(self.a_bytes[i]) for i in a])
-        b_ends = np.cumsum([len(self.b_bytes[i]) for i in b])
-        _, j, n = np.intersect1d(a_ends[:-1], b_ends[:-1], assume_unique=True, return_indices=True)
-        return list(zip((j + 1).tolist(), (n + 1).tolist()))
+        at = np.cumsum([1 + len(part) for part in parts])
+        j, n = np.searchsorted(whole.a_ends, at, side="right"), np.searchsorted(whole.b_ends, at, side="right")
+        groups, links, last = whole.written(), whole.links().tobytes(), np.searchsorted(whole.j, j, side="right")
+        cuts = [[0, *c.tolist()] for c in (j, n, last)]
+        return [
+            (j - i, n - k, links[8 * x : 8 * y], ";".join(groups[x:y]))
+            for i, j, k, n, x, y in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], cuts[2], cuts[2][1:])
+        ]
 
     def parts(self, text: str) -> list[str]:
         return BETWEEN.split(text) if self.cut else [text]
@@ -149,7 +143,7 @@ class Pair:
 class Parts(dict):
     """The entries of parts of texts, kept up to a bound in each worker. Longer parts are not kept."""
 
-    def __init__(self, pair: Pair, most: int = 400_000, longest: int = 40, at_once: int = 200):
+    def __init__(self, pair: Pair, most: int = 300_000, longest: int = 40, at_once: int = 500):
         super().__init__()
         self.pair, self.most, self.longest, self.at_once = pair, most, longest, at_once
 
@@ -178,6 +172,9 @@ def _parts(vocabulary: str, model: str) -> Parts:
     return Parts(_pair(vocabulary, model))
 
 
+NOTHING = Aligned([], [], *[np.zeros(0, np.int64)] * 4)
+
+
 def spans(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
     """doc_id, a, b (ids of both sides) and groups (first and one past the last place in a, the same in b) for each row of `docs`."""
 
@@ -185,7 +182,7 @@ def spans(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
         pair = _pair(vocabulary, model)
         for batch in batches:
             for b in sliced(iter([batch]), 1, 1 << 18):
-                rows = [(pair.align(text) if text else None) or Aligned([], [], []) for text in b.column(1).to_pylist()]
+                rows = [(pair.align(text) if text else None) or NOTHING for text in b.column(1).to_pylist()]
                 groups = [[{"a_from": i, "a_to": j, "b_from": k, "b_to": n} for i, j, k, n in r.groups()] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([r.a for r in rows], pa.list_(pa.int32())), pa.array([r.b for r in rows], pa.list_(pa.int32())), pa.array(groups, GROUPS)],
