@@ -1,14 +1,24 @@
 """Cell types by rank correlation, optimal transport and non-negative weights: each cell is one row of its counts, the
-reference is a small matrix of types (or of a bounded sample of cells) times the shared genes."""
+reference a small matrix of types times the shared genes, or, for rank correlations, blocks of cells."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molgrid.functions.scalars import UNANNOTATED, hash_order
+from molgrid.functions.scalars import UNANNOTATED
+from molgrid.operators.arrays import sum_arrays
+from molgrid.operators.neighbours import matrix
+from molgrid.sources.writers import written
+
+
+#: Values that a task works on at once; values of a profile that the driver and every task may hold.
+AT_ONCE, LARGEST_PROFILE = 4_000_000, 20_000_000
 
 
 def _panel(cnt: DataFrame, genes: DataFrame) -> list[str]:
@@ -20,6 +30,15 @@ def _cell_rows(cnt: DataFrame, value: str = "count") -> DataFrame:
     return cnt.groupBy("cell_id").agg(F.collect_list("gene").alias("genes"), F.collect_list(F.col(value).cast("double")).alias("values"))
 
 
+def _parts(batches: Iterator[pd.DataFrame], place: dict[str, int], columns: int = 1) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Some rows at a time, so that they times the genes (and times `columns`) stay below a bound, with their values as a matrix."""
+    step = max(1, AT_ONCE // max(1, len(place) * columns))
+    for b in batches:
+        for s in range(0, len(b), step):
+            part = b.iloc[s : s + step]
+            yield part, _dense(part, place)
+
+
 def _dense(batch: pd.DataFrame, place: dict[str, int]) -> np.ndarray:
     out = np.zeros((len(batch), len(place)))
     for i, (genes, values) in enumerate(zip(batch["genes"], batch["values"])):
@@ -31,6 +50,8 @@ def _dense(batch: pd.DataFrame, place: dict[str, int]) -> np.ndarray:
 
 def _profile_matrix(profile: DataFrame, genes: list[str]) -> tuple[list[str], np.ndarray]:
     """Types and their means: types times genes of the panel."""
+    if profile.select("cell_type").distinct().count() * len(genes) > LARGEST_PROFILE:
+        raise ValueError(f"the profile has more than {LARGEST_PROFILE} values")
     rows = profile.select("cell_type", "gene", "mean").toPandas()
     table = rows[rows["gene"].isin(genes)].pivot(index="cell_type", columns="gene", values="mean").reindex(columns=genes).fillna(0.0).sort_index()
     return list(table.index), table.to_numpy()
@@ -46,32 +67,111 @@ def ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pearson(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-    low = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
-    return np.divide(x @ y.T, low, out=np.zeros((len(x), len(y))), where=low > 0)
+def _rank_units(x: np.ndarray) -> np.ndarray:
+    """Ranks of each row, centred and of length 1 (0 where all are equal): their products are rank correlations."""
+    r = ranks(x)
+    r -= r.mean(axis=1, keepdims=True)
+    low = np.linalg.norm(r, axis=1, keepdims=True)
+    return np.divide(r, low, out=np.zeros_like(r), where=low > 0)
+
+
+def summary(values: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A mergeable quantile sketch: sorted values with weights, at most `size`; up to that number they are the values themselves.
+
+    More are cut into `size` runs of equal weight, each of which keeps its middle value: ranks move by no more than half a run.
+    """
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order], weights[order]
+    if len(values) <= size:
+        return values, weights
+    end = np.cumsum(weights)
+    middle = (np.arange(size) + 0.5) * end[-1] / size
+    return values[np.searchsorted(end, middle)], np.full(size, end[-1] / size)
 
 
-def annotate_spearman(cnt: DataFrame, ref_cnt: DataFrame, ref_cells: DataFrame, quantile: float = 0.8, per_type: int = 50, seed: int = 1) -> DataFrame:
-    """cell_id, label, score. The reference is a sample of at most per_type cells of each type, by hash; a type scores
-    as the upper quantile of its cells' rank correlations."""
-    from pyspark.sql import Window
+def quantile_of(values: np.ndarray, weights: np.ndarray, q: float) -> float:
+    """Linear between the values' own ranks: that of numpy where all weights are 1."""
+    at = np.cumsum(weights) - (weights + 1) / 2
+    return float(np.interp(q * (weights.sum() - 1), at, values))
 
-    nth = F.row_number().over(Window.partitionBy("cell_type").orderBy(hash_order(seed, F.col("cell_id"))))
-    chosen = ref_cells.withColumn("__n", nth).where(F.col("__n") <= per_type).select("cell_id", "cell_type")
+
+def _units(rows: DataFrame, place: dict[str, int], extra: str | None = None) -> DataFrame:
+    """cell_id, u (and the extra column): the rank vector of each cell over the panel."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, x in _parts(batches, place):
+            yield pd.DataFrame({"cell_id": b["cell_id"], **({extra: b[extra]} if extra else {}), "u": list(_rank_units(x))})
+
+    return rows.mapInPandas(run, f"cell_id {kinds['cell_id']}, {extra + ' string, ' if extra else ''}u array<double>")
+
+
+def annotate_spearman(cnt: DataFrame, ref_cnt: DataFrame, ref_cells: DataFrame, quantile: float = 0.8, block: int = 2048, sketch: int = 256) -> DataFrame:
+    """cell_id, label, score: a type scores as the upper quantile of its cells' rank correlations, over the whole reference.
+
+    Rank vectors of both sides meet in blocks. Of a block a cell keeps, for each type, a sketch of its correlations; sketches
+    are merged where the cell's rows come together. A type of no more than `sketch` cells has its exact quantile, larger ones
+    one that is off by about one rank in `sketch` for each merge at most. Ties go to the smaller name.
+    """
     genes = _panel(cnt, ref_cnt)
     place = {g: i for i, g in enumerate(genes)}
-    ref = _cell_rows(ref_cnt.join(F.broadcast(chosen), "cell_id", "left_semi"), "normalized").join(chosen, "cell_id").orderBy("cell_type", "cell_id").toPandas()
-    matrix, types = ranks(_dense(ref, place)), ref["cell_type"].to_numpy()
-    names = sorted(set(types))
+    reference = _cell_rows(ref_cnt, "normalized").join(ref_cells.select("cell_id", "cell_type").where("cell_type IS NOT NULL"), "cell_id")
+    reference, cells = written(_units(reference, place, "cell_type"), "reference-ranks"), written(_units(_cell_rows(cnt), place), "cell-ranks")
+    n_left, n_right = (max(1, -(-df.count() // block)) for df in (cells, reference))
+
+    def dealt(n: int) -> Column:
+        return F.pmod(F.xxhash64("cell_id"), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = cells.select("cell_id", "u", dealt(n_left).alias("lb"), every(n_right).alias("rb"))
+    right = reference.select("cell_type", F.col("u").alias("w"), every(n_left).alias("lb"), dealt(n_right).alias("rb"))
+    fields = pa.schema([("cell_id", pa.int64()), ("cell_type", pa.string()), ("v", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, names, v, w = [], [], [], []
+        if a.num_rows and b.num_rows:
+            types = np.array(b.column("cell_type").to_pylist(), dtype=object)
+            x, y = matrix(a.column("u")), matrix(b.column("w"))
+            own = a.column("cell_id").to_pylist()
+            for s in range(0, len(x), 256):
+                r = np.round(x[s : s + 256] @ y.T, 9)
+                for t in sorted(set(types)):
+                    for cell, row in zip(own[s : s + 256], r[:, types == t]):
+                        values, weights = summary(row, np.ones(len(row)), sketch)
+                        ids.append(cell), names.append(t), v.append(values), w.append(weights)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((ids, names, v, w), fields)], schema=fields)
+
+    sketches = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, "cell_id long, cell_type string, v array<double>, w array<double>")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a cell and type stand beside each other; a cell is told when the next one begins."""
+        cell, kind, held, best = None, None, None, (None, None)
+
+        def closed() -> tuple:
+            score = round(quantile_of(*held, quantile), 9)
+            return (kind, score) if best[1] is None or score > best[1] else best
 
-    def run(batches):
         for b in batches:
-            r = _pearson(ranks(_dense(b, place)), matrix)
-            score = np.stack([np.quantile(r[:, types == t], quantile, axis=1) for t in names], axis=1).round(9)
-            yield pd.DataFrame({"cell_id": b["cell_id"], "label": [names[i] for i in score.argmax(axis=1)], "score": score.max(axis=1)})
+            out = []
+            for n, (c, t) in enumerate(zip(b.column("cell_id").to_pylist(), b.column("cell_type").to_pylist())):
+                own = b.column("v")[n].values.to_numpy(), b.column("w")[n].values.to_numpy()
+                if (c, t) == (cell, kind):
+                    held = summary(*(np.concatenate(p) for p in zip(held, own)), sketch)
+                    continue
+                if held is not None:
+                    best = closed()
+                    if c != cell:
+                        out.append((cell, *best))
+                        best = (None, None)
+                cell, kind, held = c, t, own
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.string(), pa.float64()))], names=["cell_id", "label", "score"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (cell, *closed())], names=["cell_id", "label", "score"])
 
-    return _cell_rows(cnt).mapInPandas(run, "cell_id long, label string, score double")
+    return sketches.repartition("cell_id").sortWithinPartitions("cell_id", "cell_type").mapInArrow(merge, "cell_id long, label string, score double")
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,8 +213,8 @@ def annotate_weights(cnt: DataFrame, profile: DataFrame, method: str = "nnls") -
     p = _shares(means)
 
     def run(batches):
-        for b in batches:
-            x = _shares(_dense(b, place))
+        for b, x in _parts(batches, place):
+            x = _shares(x)
             if method == "nnls":
                 w = np.stack([nnls(p.T, row) for row in x]) if len(x) else np.zeros((0, len(names)))
             else:
@@ -126,49 +226,82 @@ def annotate_weights(cnt: DataFrame, profile: DataFrame, method: str = "nnls") -
     return _cell_rows(cnt).mapInPandas(run, "cell_id long, label string, score double")
 
 
-def annotate_ot(cnt: DataFrame, profile: DataFrame, ref_cells: DataFrame, eps: float = 0.05, iters: int = 30) -> DataFrame:
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True, initial=-1e300)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+def transport(costs: DataFrame, frequency: np.ndarray, eps: float, passes: int, tolerance: float) -> np.ndarray:
+    """Potentials of the types for rows `cost` (array<double>) of equal weight: g with plan ~ exp((g - cost) / eps) by row.
+
+    The logarithmic form of the dual in the few potentials: a pass over the rows adds up column sums and their
+    derivatives (types squared), a Newton step follows; where the dual does not rise the step is halved, and in the end
+    it is that of Sinkhorn. eps comes down from 1 in steps, so the next problem starts near its solution. Ends when no
+    column sum is off by more than the tolerance.
+    """
+    n, types = costs.count(), len(frequency)
+
+    def passed(g: np.ndarray, e: float) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dual, column, square = 0.0, np.zeros(types), np.zeros((types, types))
+            for b in batches:
+                l = (g - matrix(b.column(0))) / e
+                f = _log_sum(l, 1)
+                p = np.exp(l - f[:, None]) / n
+                dual, column, square = dual - e * f.sum() / n, column + p.sum(axis=0), square + n * p.T @ p
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate([[dual], column, square.ravel()])], pa.list_(pa.float64()))], names=["i", "v"])
+
+        v = np.array(sum_arrays(costs.mapInArrow(run, "i int, v array<double>"), ["i"], "v").first()["v"])
+        return v[0] + g @ frequency, v[1 : types + 1], v[types + 1 :].reshape(types, types)
+
+    g, e = np.zeros(types), max(1.0, eps)
+    while True:
+        bound = tolerance if e <= eps else max(tolerance, 1e-3)
+        dual, column, square = passed(g, e)
+        for _ in range(passes):
+            if np.abs(column - frequency).max() <= bound:
+                break
+            newton = np.linalg.lstsq(np.diag(column) - square + 1e-14 * np.eye(types), e * (frequency - column), rcond=None)[0]
+            newton -= newton.mean()
+            sinkhorn = e * (np.log(frequency) - np.log(np.maximum(column, 1e-300)))
+            for step in (newton, newton / 4, newton / 16, sinkhorn):
+                new = passed(g + step, e)
+                if new[0] > dual or step is sinkhorn:
+                    break
+            g, (dual, column, square) = g + step, new
+        if e <= eps:
+            return g
+        e = max(eps, e / 4)
+
+
+def annotate_ot(cnt: DataFrame, profile: DataFrame, ref_cells: DataFrame, eps: float = 0.05, passes: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """cell_id, label, score by an entropic plan between cells (uniform) and types (reference frequency).
 
-    Each round is one pass that adds up a number for each type; only these reach the driver.
+    Costs are written once, so that a lost executor costs a re-read; the driver gets sums of the size of types squared.
+    Types that the reference has no cell of are left out.
     """
     genes = _panel(cnt, profile)
     place = {g: i for i, g in enumerate(genes)}
+    counts = {r["cell_type"]: r["count"] for r in ref_cells.groupBy("cell_type").count().collect()}
     names, means = _profile_matrix(profile, genes)
-    root = np.sqrt(_shares(means))
-    frequency = ref_cells.groupBy("cell_type").count().toPandas().set_index("cell_type")["count"].reindex(names).fillna(0).to_numpy(float)
-    frequency = frequency / frequency.sum()
-
-    def kernel(batches):
-        for b in batches:
-            cost = 1 - np.sqrt(_shares(_dense(b, place))) @ root.T
-            yield pd.DataFrame({"cell_id": b["cell_id"], "k": list(np.exp(-cost / eps))})
+    kept = [i for i, t in enumerate(names) if counts.get(t)]
+    names, root = [names[i] for i in kept], np.sqrt(_shares(means[kept]))
+    frequency = np.array([counts[t] for t in names], float) / sum(counts[t] for t in names)
 
-    rows = _cell_rows(cnt).mapInPandas(kernel, "cell_id long, k array<double>").persist()
-    n = rows.count()
-    v = np.ones(len(names))
-    for _ in range(iters):
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, x in _parts(batches, place):
+            yield pd.DataFrame({"cell_id": b["cell_id"], "cost": list(1 - np.sqrt(_shares(x)) @ root.T)})
 
-        def sums(batches, v=v):
-            total = np.zeros(len(v))
-            for b in batches:
-                k = np.stack(b["k"].to_numpy())
-                total += (k / (n * (k @ v))[:, None]).sum(axis=0)
-            yield pd.DataFrame({"s": [total]})
-
-        column = np.sum(np.stack(rows.mapInPandas(sums, "s array<double>").toPandas()["s"].to_numpy()), axis=0)
-        new = np.divide(frequency, column, out=np.zeros_like(v), where=column > 0)
-        done = np.abs(new - v).max() <= 1e-9 * np.abs(new).max()
-        v = new
-        if done:
-            break
+    rows = written(_cell_rows(cnt).mapInPandas(kernel, "cell_id long, cost array<double>"), "transport-costs")
+    g = transport(rows.select("cost"), frequency, eps, passes, tolerance)
 
-    def plan(batches):
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.stack(b["k"].to_numpy()) * v
-            p = (p / p.sum(axis=1, keepdims=True)).round(9)
-            yield pd.DataFrame({"cell_id": b["cell_id"], "label": [names[i] for i in p.argmax(axis=1)], "score": p.max(axis=1)})
+            l = (g - matrix(b.column(1))) / eps
+            p = np.exp(l - _log_sum(l, 1)[:, None]).round(9)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1))], names=["cell_id", "label", "score"])
 
-    return rows.mapInPandas(plan, "cell_id long, label string, score double")
+    return rows.mapInArrow(plan, "cell_id long, label string, score double")
 
 
 def best_pairs(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,9 +341,9 @@ def decompose(
     total = cnt.groupBy("cell_id").agg(F.sum("count").cast("double").alias("total"))
 
     def run(batches):
-        for b in batches:
+        for b, x in _parts(batches, place, 1 + len(names)):
             out = []
-            pairs = zip(*best_pairs(_shares(_dense(b, place)), p)) if names else [(0, 0, np.zeros(2))] * len(b)
+            pairs = zip(*best_pairs(_shares(x), p)) if names else [(0, 0, np.zeros(2))] * len(b)
             for cell, whole, (i, j, w) in zip(b["cell_id"], b["total"], pairs):
                 if whole < umi_min or not w.sum() > 0:
                     out.append((cell, UNANNOTATED, None, 0.0, 0.0))
