@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -89,13 +90,14 @@ class Pair:
         self.a = Tokenizer.from_file(vocabulary)
         self.a.encode_special_tokens = True
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in self.a.get_vocab().items() if all(c in letters for c in entry)}
+        known = {i: bytes(letters[c] for c in entry) for entry, i in self.a.get_vocab().items() if all(c in letters for c in entry)}
+        self.a_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_sizes = np.array([len(p) for p in self.b_bytes])
-        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.a_sizes = np.array([len(p) for p in self.a_bytes])
         #: No piece has a space behind another character, so no merge crosses a single space.
         added = json.loads(self.a.to_str())
         plain = added["normalizer"] is None and (added["pre_tokenizer"] or {}).get("type") == "ByteLevel" and added["pre_tokenizer"].get("use_regex")
@@ -106,9 +108,9 @@ class Pair:
         target = f" {text}"
         found, spans = self.a.encode(target, add_special_tokens=False), self.b.encode(text, return_type="offset_mapping")
         a, b, raw = found.ids, spans["ids"], target.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        (a_from, a_to), (b_from, b_to) = (np.array(s, np.int64).T for s in (found.offsets, spans["offsets"]))
+        (a_from, a_to), (b_from, b_to) = (np.fromiter(chain.from_iterable(s), np.int64, 2 * len(s)).reshape(-1, 2).T for s in (found.offsets, spans["offsets"]))
         b_to = b_to + 1
         # A: a token's end is coarse if the next token starts there; else both share a character
         a_coarse = np.append(a_from[1:] >= a_to[:-1], True)
@@ -152,11 +154,12 @@ class Parts(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """Align the new parts of these texts together, those that a space cuts on both sides."""
-        parts = {part for own in texts for part in own if len(part) <= self.longest and not part[:1].isspace() and not part[-1:].isspace()}
-        new = [part for part in parts if part not in self]
+        parts = set().union(*texts)
+        new = parts.difference(self)
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(parts)
+            new = parts
+        new = [part for part in new if len(part) <= self.longest and not part[:1].isspace() and not part[-1:].isspace()]
         for k in range(0, len(new), self.at_once):
             some = new[k : k + self.at_once]
             self.update(zip(some, self.pair.entries(some)))
