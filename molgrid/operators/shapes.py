@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from molgrid.operators.triangulation import delaunay
+
 RING = "ring array<struct<x:double,y:double>>"
 
 
@@ -32,49 +34,19 @@ def hull(xy: np.ndarray) -> np.ndarray:
 def area(ring: np.ndarray) -> float:
     if len(ring) < 3:
         return 0.0
-    x, y = ring[:, 0], ring[:, 1]
+    x, y = (ring - ring[0]).T  # far from the origin products would swallow the differences
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
-def delaunay(p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles by insertion of one point after the other."""
-    n = len(p)
-    span = max(np.ptp(p, axis=0).max(), 1.0) * 50
-    mid = p.mean(axis=0)
-    q = np.vstack([p, mid + [-span, -span], mid + [span, -span], mid + [0, span]])
-    triangles = {(n, n + 1, n + 2)}
-
-    def circle_holds(t, z):
-        a, b, c = q[list(t)] - z
-        d = (a @ a) * (b[0] * c[1] - c[0] * b[1]) - (b @ b) * (a[0] * c[1] - c[0] * a[1]) + (c @ c) * (a[0] * b[1] - b[0] * a[1])
-        turn = (q[t[1]][0] - q[t[0]][0]) * (q[t[2]][1] - q[t[0]][1]) - (q[t[1]][1] - q[t[0]][1]) * (q[t[2]][0] - q[t[0]][0])
-        return d > 1e-12 if turn > 0 else d < -1e-12
-
-    for i in range(n):
-        bad = [t for t in triangles if circle_holds(t, q[i])]
-        edges: dict[tuple, int] = defaultdict(int)
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                edges[tuple(sorted(e))] += 1
-        triangles -= set(bad)
-        triangles |= {(a, b, i) for (a, b), k in edges.items() if k == 1}
-    return [t for t in triangles if max(t) < n]
-
-
 def alpha_area(xy: np.ndarray, alpha: float) -> float:
     """Area of the alpha shape: the triangles of the Delaunay triangulation with a circumradius under 1 / alpha."""
     if not alpha:
         return area(hull(xy))
     p = np.unique(xy, axis=0)
-    if len(p) < 3:
-        return 0.0
-    total = 0.0
-    for t in delaunay(p):
-        a, b, c = (np.linalg.norm(p[t[i]] - p[t[j]]) for i, j in ((0, 1), (1, 2), (2, 0)))
-        size = area(p[list(t)])
-        if size > 0 and a * b * c / (4 * size) < 1 / alpha:
-            total += size
-    return total
+    a, b, c = (p[t] for t in delaunay(p).T)
+    size = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
+    sides = np.linalg.norm(b - a, axis=1) * np.linalg.norm(c - b, axis=1) * np.linalg.norm(a - c, axis=1)
+    return float(size[(size > 0) & (sides < 4 * size / alpha)].sum())
 
 
 def _by_cell(pts: DataFrame) -> DataFrame:

@@ -743,6 +743,12 @@ def d11(spark, d):
     return _rounded(shapes.cell_volumes(points(spark, d)), "volume", digits=4)
 
 
+@query("d11_cell_volumes_alpha")
+def d11_alpha(spark, d):
+    """Triangles with a circumradius of under 25 only."""
+    return _rounded(shapes.cell_volumes(points(spark, d), 0.04), "volume", digits=4)
+
+
 @query("d13_labels_to_polygons", sql("squares", "SELECT label AS cell_id, CAST(count(*) AS DOUBLE) AS area FROM (SELECT px, py, max(cell_id) AS label FROM range(1100) a(px), range(1001) b(py), squares WHERE cell_id > 0 AND px >= x0 AND px < x0 + 60 AND py >= y0 AND py < y0 + 60 GROUP BY 1, 2) GROUP BY 1"))
 def d13(spark, d):
     """Overlapping squares: where larger labels lie on top, the outline goes around what is left."""
