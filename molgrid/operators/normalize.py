@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from molgrid.functions.scalars import uniform
 from molgrid.operators.annotate import type_profiles
+from molgrid.operators.arrays import sum_arrays
+from molgrid.operators.neighbours import matrix
 
 
 def _median(df: DataFrame, col: str) -> DataFrame:
@@ -86,35 +93,71 @@ def gene_efficiency(cnt: DataFrame, cells: DataFrame, ref_cnt: DataFrame, ref_ce
     return joined.withColumn("corrected", F.when(F.col("efficiency") > 0, F.try_divide(F.col(layer), F.col("efficiency"))).otherwise(F.col(layer))).drop("efficiency")
 
 
-def normalize_spatial(cnt: DataFrame, cells: DataFrame, sample_p: float = 0.25, seed: int = 777) -> DataFrame:
-    """Spatially aware: log counts regressed on log library size and a quadratic of the position, for each gene.
+def spline_basis(z: Column, degree: int, pieces: int) -> list[Column]:
+    """B-splines of the degree over `pieces` equal parts of [0, 1], by their recursion; outside, the ends count."""
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)) * pieces
+    # knots -degree, ..., pieces + degree; only the parts within [0, 1] have points, the last one its end as well
+    part = F.least(F.floor(at), F.lit(pieces - 1))
+    level = [(part == k).cast("double") for k in range(-degree, pieces + degree)]
+    for d in range(1, degree + 1):
+        level = [((at - k) * level[i] + (k + d + 1 - at) * level[i + 1]) / d for i, k in enumerate(range(-degree, pieces + degree - d))]
+    return level
 
-    The design's products are summed once over a sample of cells (by hash), those with the genes over their non-zero
-    counts; the 12 x 12 inverse is all that is solved, on the driver. The fitted effect of library size is taken out.
-    cells: cell_id, x, y.
-    """
-    import numpy as np
 
-    from molgrid.functions.scalars import uniform
+def normalize_spatial(
+    cnt: DataFrame, cells: DataFrame, degree: int = 3, pieces: int = 2, sample_p: float = 0.25, ridge: float = 1e-3, seed: int = 777, large: int = 100_000, sample_cells: int = 25_000
+) -> DataFrame:
+    """Spatially aware: log counts regressed, for each gene, on a smooth surface of the position and on log library size
+    times another one, of which the latter is taken out.
 
+    Surfaces are tensor products of B-splines of the degree in x and in y, with a ridge. The fit is on a share sample_p of the
+    cells, or sample_cells / n of more than `large` ones, by hash. The design's products are summed once over the sample, in
+    tasks; those with a gene over its non-zero counts. All that is solved, on the driver, has twice (pieces + degree) squared
+    rows. cells: cell_id, x, y.
+    """
     lib = cnt.groupBy("cell_id").agg(F.ln(F.sum("count").cast("double")).alias("lib"))
     placed = cells.select("cell_id", "x", "y").join(lib, "cell_id")
-    s = placed.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y", "lib") for f in (F.avg, F.stddev_pop)]).first()
-    z = {c: (F.col(c) - s[f"avg_{c}"]) / (s[f"stddev_pop_{c}"] or 1.0) for c in ("x", "y")}
-    terms = [F.lit(1.0), z["x"], z["y"], z["x"] ** 2, z["x"] * z["y"], z["y"] ** 2]
-    basis = placed.select("cell_id", "lib", F.array(*terms, *[t * F.col("lib") for t in terms]).alias("b"))
-    chosen = basis.where(uniform(seed, F.col("cell_id")) < sample_p)
-    n = 12
-    products = chosen.select(*[F.sum(F.col("b")[i] * F.col("b")[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-    gram = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            gram[i, j] = gram[j, i] = products[f"p{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(gram)
-    right = cnt.join(chosen, "cell_id").groupBy("gene").agg(F.array(*[F.sum(F.log1p(F.col("count").cast("double")) * F.col("b")[i]) for i in range(n)]).alias("r"))
-    coef = F.array(*[sum((F.col("r")[j] * float(inverse[i, j]) for j in range(n)), F.lit(0.0)) for i in range(6, n)])
-    beta = right.select("gene", coef.alias("beta"))
-    rows = cnt.join(basis, "cell_id").join(beta, "gene")
-    effect = sum((F.col("beta")[i] * F.col("b")[i] for i in range(6)), F.lit(0.0))
-    fitted = F.log1p(F.col("count").cast("double")) - (F.col("lib") - s["avg_lib"]) * effect
-    return rows.select(*cnt.columns, F.greatest(F.lit(0.0), fitted).alias("normalized"))
+    s = placed.agg(F.count("*").alias("n"), F.avg("lib").alias("lib"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]).first()
+    share = sample_cells / s["n"] if s["n"] > large else sample_p
+    z = {c: (F.col(c) - F.lit(s[f"min_{c}"])) / F.lit(((s[f"max_{c}"] or 0.0) - (s[f"min_{c}"] or 0.0)) or 1.0) for c in ("x", "y")}
+    width = pieces + degree
+    axes = placed.select("cell_id", (F.col("lib") - F.lit(s["lib"])).alias("lib"), F.array(*spline_basis(z["x"], degree, pieces)).alias("bx"), F.array(*spline_basis(z["y"], degree, pieces)).alias("by"))
+    basis = axes.select("cell_id", "lib", F.flatten(F.transform("bx", lambda u: F.transform("by", lambda v: u * v))).alias("b"))
+    half = width**2
+    chosen = basis.where(uniform(seed, F.col("cell_id")) < share).select("cell_id", F.concat("b", F.transform("b", lambda v: v * F.col("lib"))).alias("b"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * half, 2 * half))
+        for b in batches:
+            x = matrix(b.column(0))
+            if len(x):
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * half), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+
+    found = sum_arrays(chosen.select("b").mapInArrow(products, "i int, v array<double>"), ["i"], "v").toPandas()
+    gram = np.zeros((2 * half, 2 * half))
+    for i, v in zip(found["i"], found["v"]):
+        gram[i] = v
+    inverse = np.linalg.pinv(gram + ridge * max(np.trace(gram) / (2 * half), 1e-12) * np.eye(2 * half))[half:]
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}  # of a panel's genes
+        for b in batches:
+            genes, place = np.unique(np.array(b.column("gene").to_pylist(), dtype=object), return_inverse=True)
+            y = np.zeros((len(genes), 2 * half))
+            np.add.at(y, place, b.column("y").to_numpy()[:, None] * matrix(b.column("b")))
+            for g, v in zip(genes, y):
+                total[g] = total[g] + v if g in total else v
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["gene", "r"])
+
+    def beta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(matrix(b.column(1)) @ inverse.T), pa.list_(pa.float64()))], names=["gene", "beta"])
+
+    logged = F.log1p(F.col("count").cast("double"))
+    sides = sum_arrays(cnt.join(chosen, "cell_id").select("gene", logged.alias("y"), "b").mapInArrow(right, "gene string, r array<double>"), ["gene"], "r")
+    rows = cnt.join(basis, "cell_id").join(sides.mapInArrow(beta, "gene string, beta array<double>"), "gene", "left")
+    effect = F.coalesce(F.aggregate(F.zip_with("b", "beta", lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v), F.lit(0.0))
+    return rows.select(*cnt.columns, F.greatest(F.lit(0.0), logged - F.col("lib") * effect).alias("normalized"))

@@ -76,40 +76,130 @@ def cell_volumes(pts: DataFrame, alpha: float = 0.0) -> DataFrame:
     return _by_cell(pts).mapInPandas(run, "cell_id long, volume double")
 
 
+def _without(a: list[list[int]], b: list[list[int]]) -> list[tuple[int, int]]:
+    """What is left of the sorted intervals a where the sorted intervals b are taken away; ends are not included."""
+    out, k = [], 0
+    for start, stop in a:
+        at = start
+        while k and b[k - 1][1] > at:
+            k -= 1
+        while k < len(b) and b[k][0] < stop:
+            if b[k][0] > at:
+                out.append((at, b[k][0]))
+            at = max(at, b[k][1])
+            k += 1
+        if at < stop:
+            out.append((at, stop))
+    return out
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Intervals (first, last included) as sorted [start, end) that neither touch nor overlap."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b + 1)
+        else:
+            out.append([a, b + 1])
+    return out
+
+
+def border(spans: list[tuple[int, int, int]], first: int, stop: int) -> list[tuple[int, int, int, int]]:
+    """Directed pieces (x, y, to x, to y) of the border of pixels given as (row, first, last), for the rows from first to stop.
+
+    The lines above these rows are included, so spans of the row before are needed too. Along a piece, pixels lie on the
+    side of a clockwise walk on the screen (rows run down). Straight pieces over several rows are one.
+    """
+    rows: dict[int, list] = defaultdict(list)
+    for y, a, b in spans:
+        if first - 1 <= y < stop:
+            rows[y].append((a, b))
+    own = {y: _joined(r) for y, r in rows.items()}
+    out: list[tuple[int, int, int, int]] = []
+    running: dict[tuple[int, bool], int] = {}  # vertical pieces that reach the current line: (x, right side) -> first row
+
+    def close(y: int, keep: set) -> None:
+        for key in [k for k in running if k not in keep]:
+            x, right = key
+            start = running.pop(key)
+            out.append((x, start, x, y) if right else (x, y, x, start))
+
+    for y in sorted({r for r in own if r >= first} | {r + 1 for r in own if first <= r + 1 < stop}):
+        above, here = own.get(y - 1, []), own.get(y, [])
+        out += [(a, y, b, y) for a, b in _without(here, above)] + [(b, y, a, y) for a, b in _without(above, here)]
+        sides = {(x, right) for a, b in here for x, right in ((a, False), (b, True))}
+        close(y, sides)
+        for key in sides:
+            running.setdefault(key, y)
+        if y + 1 not in own or y + 1 >= stop:
+            close(y + 1, set())
+    return out
+
+
+def stitched(pieces: list[tuple[int, int, int, int]]) -> list[tuple[float, float]]:
+    """The longest closed border, corners only, from its first corner in order; of equally long ones the one that starts first.
+
+    Where two borders touch in a corner, each goes around its own pixel, so pixels that only touch there are apart.
+    """
+    steps: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for x, y, u, v in pieces:
+        steps[x, y].append((u, v))
+    best: list[tuple[int, int]] = []
+    longest = 0
+    for start in sorted(steps):
+        while steps[start]:
+            path, at, to = [start], start, steps[start].pop(0)
+            length = 0
+            while True:
+                length += abs(to[0] - at[0]) + abs(to[1] - at[1])
+                came = (np.sign(to[0] - at[0]), np.sign(to[1] - at[1]))
+                at = to
+                if at == start and not (len(steps[at]) and _turns(came, at, steps[at])):
+                    break
+                path.append(at)
+                ways = steps[at]
+                to = ways.pop(next((k for k, w in enumerate(ways) if _turns(came, at, [w])), 0))
+            if length > longest:
+                best, longest = path, length
+    n = len(best)
+
+    def way(a: tuple, b: tuple) -> tuple:
+        return np.sign(b[0] - a[0]), np.sign(b[1] - a[1])
+
+    return [(float(x), float(y)) for k, (x, y) in enumerate(best) if way(best[k - 1], best[k]) != way(best[k], best[(k + 1) % n])]
+
+
+def _turns(came: tuple, at: tuple, ways: list[tuple]) -> bool:
+    """Does one of the ways turn around the same pixel?"""
+    return any((np.sign(w[0] - at[0]), np.sign(w[1] - at[1])) == (-came[1], came[0]) for w in ways)
+
+
 def outline(spans: list[tuple[int, int, int]]) -> list[tuple[float, float]]:
     """The longest closed border of pixels given as (row, first, last), corners only."""
-    pixels = {(x, y) for y, a, b in spans for x in range(a, b + 1)}
-    steps: dict[tuple, list] = defaultdict(list)
-    for x, y in pixels:  # border edges with the pixel on the left
-        for dx, dy, a, b in ((0, -1, (x, y), (x + 1, y)), (1, 0, (x + 1, y), (x + 1, y + 1)), (0, 1, (x + 1, y + 1), (x, y + 1)), (-1, 0, (x, y + 1), (x, y))):
-            if (x + dx, y + dy) not in pixels:
-                steps[a].append(b)
-    best: list = []
-    while steps:
-        start = min(steps)
-        path, at = [start], start
-        while True:
-            following = steps[at].pop()
-            if not steps[at]:
-                del steps[at]
-            at = following
-            if at == start:
-                break
-            path.append(at)
-        if len(path) > len(best):
-            best = path
-    n = len(best)
-    turn = [best[k] for k in range(n) if (best[k][0] - best[k - 1][0], best[k][1] - best[k - 1][1]) != (best[(k + 1) % n][0] - best[k][0], best[(k + 1) % n][1] - best[k][1])]
-    return [(float(x), float(y)) for x, y in turn]
+    ys = [y for y, _, _ in spans]
+    return stitched(border(spans, min(ys), max(ys) + 2))
 
 
-def labels_to_polygons(spans: DataFrame) -> DataFrame:
-    """cell_id, ring: the outer border of each label."""
-    rows = spans.where("label > 0").groupBy("label").agg(F.collect_list(F.struct("y", "x_start", "x_end")).alias("s"))
+def labels_to_polygons(spans: DataFrame, tile: int = 256) -> DataFrame:
+    """cell_id, ring: the outer border of each label.
 
-    def run(batches):
+    Borders are traced in bands of `tile` rows, so a label's pixels, or spans, need not fit a task; only the pieces of its
+    border, which become the ring, come together.
+    """
+    piece = "array<struct<x:int,y:int,u:int,v:int>>"
+    band = F.explode(F.array_distinct(F.array(*[F.floor((F.col("y") + k) / tile) for k in (0, 1)]))).alias("band")
+    rows = spans.where("label > 0").select("label", "y", "x_start", "x_end", band).groupBy("label", "band").agg(F.collect_list(F.struct("y", "x_start", "x_end")).alias("s"))
+
+    def trace(batches):
+        for b in batches:
+            found = [border([(r["y"], r["x_start"], r["x_end"]) for r in s], k * tile, (k + 1) * tile) for k, s in zip(b["band"], b["s"])]
+            yield pd.DataFrame({"label": b["label"], "p": [[dict(zip("xyuv", map(int, q))) for q in f] for f in found]})
+
+    pieces = rows.mapInPandas(trace, f"label long, p {piece}").groupBy("label").agg(F.flatten(F.collect_list("p")).alias("p"))
+
+    def stitch(batches):
         for b in batches:
-            rings = [outline([(r["y"], r["x_start"], r["x_end"]) for r in s]) for s in b["s"]]
+            rings = [stitched([(q["x"], q["y"], q["u"], q["v"]) for q in p]) for p in b["p"]]
             yield pd.DataFrame({"cell_id": b["label"], "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
 
-    return rows.mapInPandas(run, f"cell_id long, {RING}")
+    return pieces.mapInPandas(stitch, f"cell_id long, {RING}")

@@ -121,18 +121,19 @@ def fov_neighbours(fovs: DataFrame, size: float) -> DataFrame:
     return kept.select("a", "b", kind.alias("side"))
 
 
-def rasterize(poly: DataFrame, width: int, height: int) -> DataFrame:
+def rasterize(poly: DataFrame, width: int, height: int, band: int = 1024) -> DataFrame:
     """Spans (y, x_start, x_end, label) of the pixels whose centre lies in a polygon; later labels win.
 
-    Each polygon is scanned by itself; rows that several polygons share are then settled row by row.
+    Each polygon is scanned by itself, tall ones in bands of rows; rows that several polygons share are then settled row
+    by row.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for label, ring in zip(b["label"], b["ring"]):
+            for label, ring, first in zip(b["label"], b["ring"], b["first"]):
                 xs, ys = np.array([p["x"] for p in ring]), np.array([p["y"] for p in ring])
                 nx, ny = np.roll(xs, -1), np.roll(ys, -1)
-                for y in range(max(0, int(np.floor(ys.min()))), min(height - 1, int(np.ceil(ys.max()))) + 1):
+                for y in range(max(first, int(np.floor(ys.min()))), min(first + band - 1, height - 1, int(np.ceil(ys.max()))) + 1):
                     c = y + 0.5
                     up = (ys > c) != (ny > c)
                     at = np.sort((nx - xs)[up] * (c - ys[up]) / (ny - ys)[up] + xs[up])
@@ -152,7 +153,10 @@ def rasterize(poly: DataFrame, width: int, height: int) -> DataFrame:
         return out[out["label"] > 0]
 
     kinds = "y long, x_start long, x_end long, label long"
-    spans = poly.select(F.col("cell_id").alias("label"), "ring").mapInPandas(scan, kinds)
+    ys = F.transform("ring", lambda p: p["y"])
+    low, high = F.greatest(F.lit(0), F.floor(F.array_min(ys) / band)), F.least(F.lit((height - 1) // band), F.floor(F.ceil(F.array_max(ys)) / band))
+    bands = poly.where(F.size("ring") > 0).select(F.col("cell_id").alias("label"), "ring", low.alias("low"), high.alias("high")).where("low <= high")
+    spans = bands.select("label", "ring", F.explode(F.transform(F.sequence("low", "high"), lambda k: k * band)).alias("first")).mapInPandas(scan, kinds)
     return spans.groupBy("y").applyInPandas(settle, kinds)
 
 

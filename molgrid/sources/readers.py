@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,24 +156,40 @@ def read_dense_matrix(spark: SparkSession, path: str, annotation: DataFrame | No
     return counts.where("count != 0")
 
 
-def unreadable(spark: SparkSession, directory: str, pattern: str) -> list[str]:
-    """Paths of the files with the pattern whose footer cannot be read. They are a file or two for each region, and
-    tried one by one."""
-    bad = []
-    for row in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("path").collect():
-        try:
-            spark.read.option("ignoreCorruptFiles", False).parquet(row.path)
-        except (Py4JJavaError, PySparkException) as e:
-            if "FAILED_READ_FILE" not in str(e):  # another failure than that of the file
-                raise
-            bad.append(row.path)
-    return sorted(bad)
+def footers(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+    """path, length and fault of the Parquet files with the pattern; fault is null where the footer can be read.
 
-
-def read_regions(spark: SparkSession, directory: str, pattern: str, cells: DataFrame) -> DataFrame:
+    Tasks look at the end of each file: its mark, the footer's length, and the footer itself, which alone goes to Python.
+    Files without a byte are none to Spark.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    end = F.substring("content", -8, 8)
+    size = F.conv(F.hex(F.expr("concat(substring(e, 4, 1), substring(e, 3, 1), substring(e, 2, 1), substring(e, 1, 1))")), 16, 10).cast("long")
+    marked = files.select("path", "length", end.alias("e"), "content").withColumn("size", size)
+    sound = (F.col("length") >= 12) & (F.substring("e", 5, 4) == F.lit(b"PAR1")) & (F.col("size") <= F.col("length") - 12)
+    tail = marked.select("path", "length", F.when(sound, F.expr("substring(content, cast(-(size + 8) as int))")).alias("tail"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            faults = []
+            for own in b.column(2):
+                if not own.is_valid:
+                    faults.append("no Parquet footer")
+                    continue
+                try:
+                    pq.read_metadata(pa.BufferReader(b"PAR1" + own.as_py()))
+                    faults.append(None)
+                except (pa.ArrowException, OSError) as e:
+                    faults.append(str(e).split("\n")[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(faults, pa.string())], names=["path", "length", "fault"])
+
+    return tail.mapInArrow(run, "path string, length long, fault string")
+
+
+def read_regions(spark: SparkSession, directory: str, pattern: str, cells: DataFrame, named: int = 20) -> DataFrame:
     """Count files whose name has the pattern, one after the other, restricted to the given cells; files that cannot
-    be read are reported by a warning and skipped."""
-    for path in unreadable(spark, directory, pattern):
-        warnings.warn(f"{path} cannot be read and is left out", stacklevel=2)
+    be read are reported by a warning (the first `named` of them by name; `footers` has all) and skipped."""
+    for row in footers(spark, directory, pattern).where("fault IS NOT NULL").orderBy("path").limit(named).collect():
+        warnings.warn(f"{row.path} cannot be read and is left out: {row.fault}", stacklevel=2)
     t = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", pattern).parquet(directory)
     return t.join(cells.select("cell"), "cell", "left_semi")

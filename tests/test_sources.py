@@ -121,6 +121,19 @@ def test_unreadable_regions_are_reported(spark, tmp_path):
     assert got.count() == 1
 
 
+def test_footers_are_checked_in_tasks(spark, tmp_path):
+    spark.createDataFrame([("c1", "g", 1)], "cell string, gene string, count long").coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    whole = next((tmp_path / "tmp").glob("*.parquet")).read_bytes()
+    (tmp_path / "r").mkdir()
+    files = {"A-1": whole, "A-2": whole[:-9], "A-3": b"", "A-4": b"PAR1", "A-5": whole[:-20] + b"x" * 12 + whole[-8:], "A-6": whole[:40] + whole[60:], "A-7": b"PAR1" + b"\xff\xff\xff\xffPAR1" + b" " * 4, "B-1": b"other"}
+    for name, data in files.items():
+        (tmp_path / "r" / f"{name}.parquet").write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1].removesuffix(".parquet"): r for r in readers.footers(spark, str(tmp_path / "r"), "A-*").collect()}
+    assert sorted(got) == ["A-1", "A-2", "A-4", "A-5", "A-6", "A-7"] and all(got[k].length == len(files[k]) for k in got)
+    assert {k for k, r in got.items() if r.fault is None} == {"A-1", "A-6"}  # A-6: its footer is whole
+    assert readers.footers(spark, str(tmp_path / "r"), "C-*").count() == 0
+
+
 def test_sidecar(spark):
     rows = [(json.dumps({"analysis_sw_version": "xenium-3.1.0"}),), ("{}",), ("no json",)]
     df = spark.createDataFrame(rows, "j string").select(scalars.software_major(F.col("j")).alias("v"))
