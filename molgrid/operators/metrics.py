@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import UNANNOTATED
-from molgrid.operators.annotate import type_profiles
 from molgrid.operators.arrays import sum_arrays
 from molgrid.sources.writers import written
 
@@ -54,20 +54,48 @@ def shared(sp: Side, sc: Side) -> tuple[Side, Side]:
     return cut(sp), cut(sc)
 
 
-def _negative_pairs(sc: Side, max_rate: float, min_cells: int) -> DataFrame:
+class Sums(NamedTuple):
+    """A side as types and genes: sums of its layers and cells that detect the gene, and the cells of each type.
+
+    Cells without a type are one, so that all genes of the counts are there. Both tables are written; scores read them only.
+    """
+
+    table: DataFrame
+    sizes: DataFrame
+
+
+def sums_of(side: Side) -> Sums:
+    """One pass over the counts of a side, whatever scores follow."""
+    cnt, cells = side
+    layers = [F.sum(c).cast("double").alias(c) for c in ("count", "normalized") if c in cnt.columns]
+    table = cnt.join(cells.select("cell_id", "cell_type"), "cell_id", "left").groupBy("cell_type", "gene").agg(*layers, F.count_if(F.col("count") > 0).alias("detected"))
+    return Sums(written(table, "type-sums"), written(cells.groupBy("cell_type").agg(F.count("*").alias("n")), "type-sizes"))
+
+
+def _shared_profiles(sp: Sums, sc: Sums, layer: str) -> list[DataFrame]:
+    """cell_type, gene, mean, rate, n of both sides on shared types and genes: tables of types times genes."""
+    genes = sp.table.select("gene").intersect(sc.table.select("gene"))
+    types = sp.sizes.select("cell_type").intersect(sc.sizes.select("cell_type"))
+    out = []
+    for side in (sp, sc):
+        sized = side.table.join(F.broadcast(side.sizes.join(types, "cell_type", "left_semi")), "cell_type").join(genes, "gene", "left_semi")
+        out.append(sized.select("cell_type", "gene", (F.col(layer) / F.col("n")).alias("mean"), (F.col("detected") / F.col("n")).alias("rate"), "n"))
+    return out
+
+
+def _negative_pairs(profile: DataFrame, max_rate: float, min_cells: int) -> DataFrame:
     """gene, cell_type that the reference hardly ever detects, types of enough cells only."""
-    types = sc[1].groupBy("cell_type").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells).select("cell_type")
-    every = types.crossJoin(sc[0].select("gene").distinct())  # types times genes of a panel
-    rates = type_profiles(sc[0], sc[1], "count").select("cell_type", "gene", "rate")
+    types = profile.where(F.col("n") >= min_cells).select("cell_type").distinct()
+    every = types.crossJoin(profile.select("gene").distinct())  # types times genes of a panel
+    rates = profile.select("cell_type", "gene", "rate")
     return every.join(rates, ["cell_type", "gene"], "left").where(F.coalesce("rate", F.lit(0.0)) < max_rate).select("cell_type", "gene")
 
 
-def _marker_purity(sp: Side, sc: Side, name: str, kind: str, max_rate: float, min_cells: int) -> DataFrame:
-    sp, sc = shared(sp, sc)
-    pairs = _negative_pairs(sc, max_rate, min_cells)
+def _marker_purity(sp: Sums, sc: Sums, name: str, kind: str, max_rate: float, min_cells: int) -> DataFrame:
+    profiles = _shared_profiles(sp, sc, "count")
+    pairs = _negative_pairs(profiles[1], max_rate, min_cells)
     means = []
-    for side in (sp, sc):
-        profile = type_profiles(side[0], side[1], "count")
+    for profile in profiles:
         if kind == "reads":
             whole = profile.groupBy("gene").agg(F.sum("mean").alias("whole"))
             values = profile.join(whole, "gene").select("cell_type", "gene", (F.col("mean") / F.col("whole")).alias("v"))
@@ -79,11 +107,11 @@ def _marker_purity(sp: Side, sc: Side, name: str, kind: str, max_rate: float, mi
 
 
 def neg_marker_purity_reads(sp: Side, sc: Side, max_rate: float = 0.005, min_cells: int = 10) -> DataFrame:
-    return _marker_purity(sp, sc, "neg_marker_purity_reads", "reads", max_rate, min_cells)
+    return _marker_purity(sums_of(sp), sums_of(sc), "neg_marker_purity_reads", "reads", max_rate, min_cells)
 
 
 def neg_marker_purity_cells(sp: Side, sc: Side, max_rate: float = 0.005, min_cells: int = 10) -> DataFrame:
-    return _marker_purity(sp, sc, "neg_marker_purity_cells", "cells", max_rate, min_cells)
+    return _marker_purity(sums_of(sp), sums_of(sc), "neg_marker_purity_cells", "cells", max_rate, min_cells)
 
 
 #: Genes of a block: a task holds one matrix of so many squared.
@@ -239,15 +267,15 @@ def coexpression_similarity(sp: Side, sc: Side, by_type: bool = False, block: in
     return _score(by_kind, "coexpression_similarity" + "_celltype" * by_type, F.avg("v"))
 
 
-def _relative_pairs(sp: Side, sc: Side, name: str, across: str, along: str) -> DataFrame:
+def _relative_pairs(sp: Sums, sc: Sums, name: str, across: str, along: str) -> DataFrame:
     """Differences of means over pairs of `across`, for each `along`, scaled by their absolute sum on each side.
 
     A difference needs both members: a profile has few types and a panel of genes, so pairs are of bounded number."""
-    sp, sc = shared(sp, sc)
-    full = sp[1].select("cell_type").distinct().crossJoin(sp[0].select("gene").distinct())
+    profiles = _shared_profiles(sp, sc, "normalized")
+    full = profiles[0].select("cell_type").distinct().crossJoin(profiles[0].select("gene").distinct())
     sides = []
-    for side, v in ((sp, "a"), (sc, "b")):
-        p = full.join(type_profiles(side[0], side[1], "normalized"), ["cell_type", "gene"], "left").select(along, across, F.coalesce("mean", F.lit(0.0)).alias(v))
+    for profile, v in zip(profiles, "ab"):
+        p = full.join(profile, ["cell_type", "gene"], "left").select(along, across, F.coalesce("mean", F.lit(0.0)).alias(v))
         left, right = p, p.select(along, F.col(across).alias("other"), F.col(v).alias("w"))
         d = left.join(right, along).where(F.col(across) < F.col("other")).select(along, across, "other", (F.col(v) - F.col("w")).alias(v))
         total = d.groupBy(along).agg(F.sum(F.abs(v)).alias("t"))
@@ -258,35 +286,35 @@ def _relative_pairs(sp: Side, sc: Side, name: str, across: str, along: str) -> D
 
 def relative_celltype_similarity(sp: Side, sc: Side) -> DataFrame:
     """Over pairs of types, for each gene."""
-    return _relative_pairs(sp, sc, "rel_pairwise_ct_expr_sim", "cell_type", "gene")
+    return _relative_pairs(sums_of(sp), sums_of(sc), "rel_pairwise_ct_expr_sim", "cell_type", "gene")
 
 
 def relative_gene_similarity(sp: Side, sc: Side) -> DataFrame:
     """Over pairs of genes, for each type."""
-    return _relative_pairs(sp, sc, "rel_pairwise_gene_expr_sim", "gene", "cell_type")
+    return _relative_pairs(sums_of(sp), sums_of(sc), "rel_pairwise_gene_expr_sim", "gene", "cell_type")
 
 
 def all_metrics(sp: Side, sc: Side, max_rate: float = 0.005) -> DataFrame:
     """Every similarity score for all cells, and for those that passed quality control (`_qc_filtered`).
 
-    Each score reads both sides several times, so the sides are cut to their shared genes and types and written once;
-    a score is one row, written by a job of its own, so no plan holds twelve scores.
+    Sides are written once, and summed up by types and genes once for each set of cells; a score is one row, written by a
+    job of its own, so no plan holds twelve scores.
     """
-    metrics = {
-        "reads": lambda a, b: neg_marker_purity_reads(a, b, max_rate), "cells": lambda a, b: neg_marker_purity_cells(a, b, max_rate),
-        "coexpression": coexpression_similarity, "coexpression_by_type": lambda a, b: coexpression_similarity(a, b, True),
-        "types": relative_celltype_similarity, "genes": relative_gene_similarity,
-    }
     columns = ("cell_id", "gene", "count", "normalized"), ("cell_id", "cell_type")
     sp = written(sp[0].select(*columns[0]), "sp-counts"), written(sp[1].select(*columns[1], "passed_QC"), "sp-cells")
     sc = written(sc[0].select(*columns[0]), "sc-counts"), written(sc[1].select(*columns[1]), "sc-cells")
     passed = sp[1].where("passed_QC")
     kept = (sp[0].join(passed.select("cell_id"), "cell_id", "left_semi"), passed)
-    rows = []
+    reference, rows = sums_of(sc), []
     for cells, suffix in ((sp, ""), (kept, "_qc_filtered")):
-        sides = [tuple(written(df, "shared") for df in side) for side in shared(cells, sc)]
-        for name, metric in metrics.items():
-            rows.append(written(metric(*sides).withColumn("metric_id", F.concat("metric_id", F.lit(suffix))), f"score-{name}"))
+        sums = sums_of(cells), reference
+        scores = {
+            "reads": _marker_purity(*sums, "neg_marker_purity_reads", "reads", max_rate, 10), "cells": _marker_purity(*sums, "neg_marker_purity_cells", "cells", max_rate, 10),
+            "coexpression": coexpression_similarity(cells, sc), "coexpression_by_type": coexpression_similarity(cells, sc, True),
+            "types": _relative_pairs(*sums, "rel_pairwise_ct_expr_sim", "cell_type", "gene"), "genes": _relative_pairs(*sums, "rel_pairwise_gene_expr_sim", "gene", "cell_type"),
+        }
+        for name, score in scores.items():
+            rows.append(written(score.withColumn("metric_id", F.concat("metric_id", F.lit(suffix))), f"score-{name}"))
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
