@@ -143,23 +143,27 @@ class Pair:
 
 
 class Parts(dict):
-    """The entries of parts of texts, kept up to a bound in each worker. Longer parts are not kept."""
+    """The entries of parts of texts in each worker: of the latest texts, and of those before. What is used again stays,
+    older parts go, so there are no more than `most`. Longer parts are not kept."""
 
-    def __init__(self, pair: Pair, most: int = 300_000, longest: int = 40, at_once: int = 500):
+    def __init__(self, pair: Pair, most: int = 320_000, longest: int = 40, at_once: int = 500):
         super().__init__()
         self.pair, self.most, self.longest, self.at_once = pair, most, longest, at_once
+        self.before: dict[str, tuple | None] = {}
 
     def __missing__(self, part: str) -> tuple | None:
         return self.pair.entries([part])[0]
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Align the new parts of these texts together, those that a space cuts on both sides."""
+        """Have the parts of these texts: known ones, and the new ones that a space cuts on both sides, aligned together."""
         parts = set().union(*texts)
-        new = parts.difference(self)
-        if len(self) + len(new) > self.most:
+        if 2 * (len(self) + len(parts)) > self.most:
+            self.before = dict(self)
             self.clear()
-            new = parts
-        new = [part for part in new if len(part) <= self.longest and not part[:1].isspace() and not part[-1:].isspace()]
+        new = parts.difference(self)
+        again = new.intersection(self.before)
+        self.update((part, self.before[part]) for part in again)
+        new = [part for part in new.difference(again) if len(part) <= self.longest and not part[:1].isspace() and not part[-1:].isspace()]
         for k in range(0, len(new), self.at_once):
             some = new[k : k + self.at_once]
             self.update(zip(some, self.pair.entries(some)))
