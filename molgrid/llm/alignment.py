@@ -5,8 +5,9 @@ characters (of B those that this release of the library gives in place of its im
 Between two of them only tokens that share a character (a character cut into bytes, byte fallback) can end together;
 there the tokens' own bytes decide. Groups lie between neighbouring common ends; the tokens that end together are linked.
 
-A single space between two other characters always begins a token on both sides (for B that is read from its pieces),
-so texts are cut there and each distinct part is aligned once per worker. A text whose tokens do not give back its bytes
+A single space between two other characters always begins a token on both sides, and so does what follows a letter
+without being one (for B that is read from its pieces), so texts are cut there and each distinct part is aligned once
+as long as its worker keeps it. A text whose tokens do not give back its bytes
 (the normaliser changed it, or it holds U+2581) has no tokens.
 
 Counts of id pairs are summed in each task before they are shuffled. The most frequent pairs, at most `hot_pairs` of
@@ -38,6 +39,13 @@ from molgrid.llm.common import materialize, sliced
 #: U+2581 stands for a space in pieces.
 MARK = "▁"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Cuts inside of words: between a letter and an ASCII character that is none, and between a line's end and a letter. Only
+#: Latin letters are named, about which all releases of Unicode agree.
+LETTER = "[A-Za-z\u00c0-\u024f]"
+INSIDE = re.compile(rf"(?<={LETTER})(?=[!-@\[-`{{-~\n])|(?<=\S\n)(?={LETTER})")
+#: Surrogates occur in no text: one marks a part that no space leads, the other a cut.
+GLUED, CUT = "\ud800", "\ud801"
+MARKED = re.compile(rf"(?<=\S) (?=\S)|{CUT}")
 LOW = (1 << 32) - 1
 
 
@@ -98,10 +106,13 @@ class Pair:
         self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_sizes = np.array([len(p) for p in self.b_bytes])
         self.a_sizes = np.array([len(p) for p in self.a_bytes])
+        normal = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         #: No piece has a space behind another character, so no merge crosses a single space.
         added = json.loads(self.a.to_str())
         plain = added["normalizer"] is None and (added["pre_tokenizer"] or {}).get("type") == "ByteLevel" and added["pre_tokenizer"].get("use_regex")
         self.cut = bool(plain) and not any(MARK in p.lstrip(MARK) for p in pieces)
+        #: No piece has a letter before another kind of character, or a line's end, so none crosses the cuts inside of words.
+        self.cut_inside = self.cut and not any("\n" in p or any(x.isalpha() and not y.isalpha() for x, y in zip(p, p[1:])) for p in normal)
 
     def align(self, text: str) -> Aligned | None:
         """The groups of one text, or None where a side does not give back space + text."""
@@ -126,19 +137,24 @@ class Pair:
 
     def entries(self, parts: list[str]) -> list[tuple | None]:
         """(n_a, n_b, links as bytes, groups as written) of each part, or None; the parts are aligned as one text, which a space cuts."""
-        whole = self.align(" ".join(parts))
+        leads = ["" if part[0] != GLUED else "a\n" if part[1].isalpha() else "a" for part in parts]
+        whole = self.align(" ".join([lead + part[1:] if lead else part for lead, part in zip(leads, parts)]))
         if whole is None:
             return [None] if len(parts) == 1 else [self.entries([part])[0] for part in parts]
-        at = np.cumsum([1 + len(part) for part in parts])
+        at = np.cumsum([1 + len(part) + len(lead) - bool(lead) for lead, part in zip(leads, parts)])
         j, n = np.searchsorted(whole.a_ends, at, side="right"), np.searchsorted(whole.b_ends, at, side="right")
         groups, links, last = whole.written(), whole.links().tobytes(), np.searchsorted(whole.j, j, side="right")
         cuts = [[0, *c.tolist()] for c in (j, n, last)]
+        # each character of a lead is a token of both sides
         return [
-            (j - i, n - k, links[8 * x : 8 * y], ";".join(groups[x:y]))
-            for i, j, k, n, x, y in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], cuts[2], cuts[2][1:])
+            (j - i - c, n - k - c, links[8 * (x + c) : 8 * y], ";".join(groups[x + c : y]))
+            for c, i, j, k, n, x, y in zip(map(len, leads), cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], cuts[2], cuts[2][1:])
         ]
 
     def parts(self, text: str) -> list[str]:
+        """Parts that can be aligned by themselves; those that no space leads are marked."""
+        if self.cut_inside:
+            return MARKED.split(INSIDE.sub(CUT + GLUED, text))
         return BETWEEN.split(text) if self.cut else [text]
 
 
@@ -163,7 +179,7 @@ class Parts(dict):
         new = parts.difference(self)
         again = new.intersection(self.before)
         self.update((part, self.before[part]) for part in again)
-        new = [part for part in new.difference(again) if len(part) <= self.longest and not part[:1].isspace() and not part[-1:].isspace()]
+        new = [part for part in new.difference(again) if len(part) <= self.longest and not part[:1].isspace() and (not part[-1:].isspace() or part[0] == GLUED and part[-1] == "\n" and not part[-2].isspace())]
         for k in range(0, len(new), self.at_once):
             some = new[k : k + self.at_once]
             self.update(zip(some, self.pair.entries(some)))

@@ -88,7 +88,7 @@ def ordered(rows):
     return sorted(map(tuple, rows), key=lambda r: (r[0] is not None, *map(lambda v: v or 0, r[:-1]), r[-1]))
 
 
-ODD = ["漢字", "漢", "字字", "🙂", "👩‍👩‍👧", "é", "é", "ﬁ", "▁", "<s>", "<|endoftext|>", "<0x41>", "\x00", "\t", "\n\n", " ", "  ", "   ", "Ωmega", "'s", "don't", "12345", "...", " ", "​", "\x1c", "\x85", "word", "Wörd", "한국어", "ป่า", "a" * 50, "=-=-", "\r\n", "</s>", "unk"]
+ODD = ["漢字", "漢", "字字", "🙂", "👩‍👩‍👧", "é", "é", "ﬁ", "▁", "<s>", "<|endoftext|>", "<0x41>", "\x00", "\t", "\n\n", " ", "  ", "   ", "Ωmega", "'s", "don't", "12345", "...", " ", "​", "\x1c", "\x85", "word", "Wörd", "한국어", "ป่า", "a" * 50, "=-=-", "\r\n", "</s>", "unk", "\n", "Satz.", "no", ",", "'ll", "e.g.", "x1", "-"]
 
 
 def test_spans_and_bytes_agree(pair, tokens):
