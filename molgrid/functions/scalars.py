@@ -53,7 +53,7 @@ def label_or_unannotated(c: Column) -> Column:
 
 def composite_suffix(c: Column) -> Column:
     """The number behind the last dash of a composite id."""
-    return F.element_at(F.split(c, "-"), -1).cast("long")
+    return F.element_at(F.split(c, "-"), -1).try_cast("long")
 
 
 def file_label(c: Column) -> Column:

@@ -9,6 +9,7 @@ from molgrid.operators.aggregate import cell_stats, explode_counts
 from molgrid.operators.geometry import Box, crop_points, crop_shapes, crop_window, tissue_center
 from molgrid.operators.sample import balanced_subsample, permute_column
 from molgrid.operators.spatial import rasterize
+from molgrid.operators.tables import make_unique
 
 
 def control_identity(cnt: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
@@ -41,11 +42,13 @@ def stamp_meta(meta: DataFrame, params: dict[str, str]) -> DataFrame:
 def process_dataset(
     pts: DataFrame, poly: DataFrame, ref_cnt: DataFrame, ref_cells: DataFrame, n_cells: int, box: Box | None, seed: int,
     image: tuple[int, int] | None = None, max_pixels: int | None = None, meta: DataFrame | None = None, params: dict[str, str] | None = None,
+    ref_genes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """A comparable pair: reference cells in balance, genes of both sides, molecules and outlines of the crop.
 
     Without a box, the crop is a window of at most `max_pixels` of the image (width, height) around the tissue's middle.
-    With an image, the kept outlines are also drawn as label spans; with metadata, they are stamped with `params`.
+    With reference genes (gene_id, gene: a name that may repeat), counts come by gene_id, and repeated names get -1, -2, ...
+    in the order of gene_id before genes are shared. With an image, the kept outlines are also drawn as label spans; with metadata, they are stamped with `params`.
     """
     unit = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
     if box is None:
@@ -54,6 +57,8 @@ def process_dataset(
         w = crop_window(tissue_center(pts, unit, *image), *image, max_pixels).first()
         box = (w.x, w.y, w.x + w.w, w.y + w.h)
     chosen = balanced_subsample(ref_cells, "cell_type", "cell_id", n_cells, seed)
+    if ref_genes is not None:
+        ref_cnt = ref_cnt.join(make_unique(ref_genes.select("gene_id", "gene"), "gene", "gene_id"), "gene_id").drop("gene_id")
     genes = pts.select(F.col("feature_name").alias("gene")).intersect(ref_cnt.select("gene"))
     cnt = ref_cnt.join(chosen.select("cell_id"), "cell_id", "left_semi").join(genes, "gene", "left_semi")
     cropped = crop_points(pts, unit, box).join(genes.withColumnRenamed("gene", "feature_name"), "feature_name", "left_semi")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molgrid.functions.scalars import UNANNOTATED, cell_id_or_zero, clamp, file_label, label_or_unannotated
+from molgrid.functions.scalars import UNANNOTATED, cell_id_or_zero, clamp, composite_suffix, file_label, label_or_unannotated
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -108,6 +108,22 @@ def resolve_cell_id(obs: DataFrame, candidates: tuple[str, ...] = ("cell_id", "i
     return obs.withColumn("cell_id", F.coalesce(*have))
 
 
+def numbered_ids(df: DataFrame, col: str) -> DataFrame:
+    """Composite ids ("CR-a-27") as the numbers behind their last dash; nulls stay, and ids that are all numbers as well.
+
+    Fails where some ids are composite and others plain numbers, where what is behind the dash is no number, and where two
+    ids would get the same one, so the count of distinct ids stays.
+    """
+    text = F.col(col).cast("string")
+    number = F.when(text.contains("-"), composite_suffix(text)).otherwise(text.try_cast("long"))
+    ids = df.where(F.col(col).isNotNull()).select(text.alias("id"), number.alias("number")).groupBy("id").agg(F.first("number").alias("number"))
+    by_number = ids.groupBy("number").agg(F.count("*").alias("n"), F.count_if(F.col("id").contains("-")).alias("composite"))
+    found = by_number.agg(F.sum("n").alias("ids"), F.sum("composite").alias("composite"), F.max("n").alias("most"), F.coalesce(F.sum(F.when(F.col("number").isNull(), F.col("n"))), F.lit(0)).alias("odd"))
+    wrong = F.when(F.col("composite").between(1, F.col("ids") - 1), "ids are of mixed types").when(F.col("odd") > 0, "ids have no number").when(F.col("most") > 1, "ids would get the same number")
+    checked = F.broadcast(found.select(F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(f": {col}"))).cast("string")).alias("__wrong")))
+    return df.crossJoin(checked).withColumn(col, F.when(F.col("__wrong").isNull(), number)).drop("__wrong")
+
+
 def recode(df: DataFrame, col: str, mapping: dict[str, str], to: str) -> DataFrame:
     """A new column by dictionary; null where the value is not in it."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

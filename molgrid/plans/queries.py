@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -415,7 +417,10 @@ def e9(spark, d):
     return sample.permute_column(ref_cells(spark, d), "cell_type", "cell_id", 9)
 
 
-@query("e10_subsample_dataset")
+@query("e10_subsample_dataset", sql("ref_cnt ref_cells", """, ch AS (SELECT cell_id, cell_type FROM ref_cells JOIN (SELECT cell_type, count(*) AS s FROM ref_cells WHERE cell_type IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1) USING (cell_type)
+  ORDER BY ln((CAST('0x' || substr(md5('4|' || cell_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0) / (1.0 / s) DESC, cell_id LIMIT 90),
+l AS (SELECT * FROM ref_cnt WHERE cell_id IN (SELECT cell_id FROM ch)), c AS (SELECT * FROM l WHERE cell_id IN (SELECT cell_id FROM l GROUP BY 1 HAVING sum(count) >= 2))
+SELECT cell_id, gene, count, cell_type FROM c JOIN ch USING (cell_id) WHERE gene IN (SELECT gene FROM c GROUP BY 1 HAVING count(*) >= 3)"""))
 def e10(spark, d):
     cnt, cells = sample.subsample_dataset(ref_counts(spark, d), ref_cells(spark, d), "cell_type", ["BUILDING", "MACHINERY", "FURNITURE"], 90, 4, 2, 3)
     return cnt.join(cells, "cell_id")
@@ -675,7 +680,21 @@ def m9(spark, d):
     return _rounded(metrics.relative_gene_similarity(*_sides(spark, d)), "metric_value", digits=6)
 
 
-@query("m11_all_metrics")
+def _all_metrics_sql() -> str:
+    """The six scores, and the same on the cells, counts and values that pass the quality filter."""
+    names = ("m4_neg_marker_purity_reads", "m5_neg_marker_purity_cells", "m6_coexpression_similarity", "m7_coexpression_similarity_celltype", "m8_relative_celltype_similarity", "m9_relative_gene_similarity")
+    common = sql(_BOTH, "")
+    passed = """, n_counts AS (SELECT cell_id, sum(count) AS n FROM cnt GROUP BY 1),
+passed AS (SELECT cell_id FROM n_counts WHERE n >= (SELECT least(10.0, quantile_cont(n, 0.2)) FROM n_counts)), """
+    passed += ", ".join(f"{t}_q AS (SELECT * FROM {t} WHERE cell_id IN (SELECT cell_id FROM passed))" for t in ("cnt", "norm", "cells"))
+    parts = []
+    for name in names:
+        body = ORACLE[name].removeprefix(common)
+        parts += [f"SELECT metric_id, metric_value FROM ({common}{body})", f"SELECT metric_id || '_qc_filtered', metric_value FROM ({common}{passed}{re.sub(r'\b(cnt|norm|cells)\b', r'\1_q', body)})"]
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("m11_all_metrics", _all_metrics_sql())
 def m11(spark, d):
     sp, sc = _sides(spark, d)
     flags = agg.qc_filter(agg.cell_stats(sp[0])).select("cell_id", "passed_QC")
@@ -714,6 +733,34 @@ def x3(spark, d):
     return rows[0].unionByName(rows[1])
 
 
+_X3_GENES = "SELECT p_partkey % 300 AS gene_id, 'gene_' || (p_partkey % 300 - p_partkey % 2) AS gene FROM part GROUP BY 1, 2"
+
+
+@query("x3_process_dataset_reference", sql("pts ref_cells", f"""
+, names AS (SELECT gene_id, CASE WHEN n = 0 THEN gene ELSE gene || '-' || n END AS gene FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY gene_id) - 1 AS n FROM ({_X3_GENES}))),
+r AS (SELECT o_custkey AS cell_id, l_partkey % 300 AS gene_id, count(*) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT cell_id, gene, count FROM r JOIN names USING (gene_id) WHERE gene IN (SELECT feature_name FROM pts)"""))
+def x3_reference(spark, d):
+    """Counts of the reference by gene ids whose names repeat; names are made unique, then genes are shared. All cells fit."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % GENES).alias("gene_id"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cell_id"))
+    cnt = lines.join(orders, "l_orderkey").groupBy("cell_id", "gene_id").agg(F.count("*").alias("count"))
+    k = F.col("p_partkey")
+    genes = table(spark, d, "part").select((k % GENES).alias("gene_id"), F.concat(F.lit("gene_"), k % GENES - k % 2).alias("gene")).distinct()
+    cells = ref_cells(spark, d)
+    return controls.process_dataset(points(spark, d), squares(spark, d), cnt, cells, cells.count(), (100, 100, 700, 800), 1, ref_genes=genes)["ref_counts"].select("cell_id", "gene", "count")
+
+
+@query("x3_process_dataset_metadata", """SELECT 'brain' AS dataset_id, n_name AS dataset_name, 'url' AS dataset_url, CAST(n_nationkey AS VARCHAR) AS orig_dataset_id, 'kept' AS other FROM nation""")
+def x3_metadata(spark, d):
+    """Each nation's row as metadata: keys are overwritten, an `orig_` column that is there keeps the old value."""
+    meta = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("string").alias("dataset_id"), F.col("n_name").alias("dataset_name"), F.lit("old").alias("orig_dataset_id"), F.lit("kept").alias("other")
+    )
+    out = controls.process_dataset(points(spark, d), squares(spark, d), ref_counts(spark, d), ref_cells(spark, d), 200, (100, 100, 700, 800), 1, meta=meta, params={"dataset_id": "brain", "dataset_url": "url"})
+    return out["metadata"].select("dataset_id", "dataset_name", "dataset_url", "orig_dataset_id", "other")
+
+
 @query("x3_process_dataset_labels", sql("pts squares", """
 , m AS (SELECT quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM pts),
 w AS (SELECT CAST(trunc(least(greatest(mx - 300, 0), 500)) AS BIGINT) AS wx, CAST(trunc(least(greatest(my - 300, 0), 401)) AS BIGINT) AS wy FROM m),
@@ -733,9 +780,13 @@ def _profile(spark, d):
     return annotate.type_profiles(ref_counts(spark, d), ref_cells(spark, d))
 
 
-@query("d10_cell_hulls")
+@query("d10_cell_hulls", sql("pts", """, c AS (SELECT DISTINCT cell_id, y, x FROM (SELECT cell_id, y, unnest([min(x), max(x)]) AS x FROM pts WHERE cell_id != 0 GROUP BY 1, 2)),
+e AS (SELECT a.cell_id, a.x AS ax, a.y AS ay, b.x AS ux, b.y AS uy FROM c a JOIN c b ON a.cell_id = b.cell_id AND (a.x, a.y) != (b.x, b.y) JOIN c p ON p.cell_id = a.cell_id GROUP BY ALL
+  HAVING min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) >= 0
+  AND max(CASE WHEN (b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) THEN (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) ELSE 0 END) <= 0)
+SELECT cell_id, count(*) AS corners, round(sum(ax * uy - ux * ay) / 2, 4) AS area FROM e GROUP BY 1 HAVING count(*) > 2"""))
 def d10(spark, d):
-    return shapes.cell_hulls(points(spark, d)).select("cell_id", F.size("ring").alias("corners"), F.round(geometry.ring_area(F.col("ring")), 4).alias("area"))
+    return shapes.cell_hulls(points(spark, d)).select("cell_id", F.size("ring").cast("long").alias("corners"), F.round(geometry.ring_area(F.col("ring")), 4).alias("area"))
 
 
 @query("d11_cell_volumes")
@@ -788,7 +839,13 @@ def k6_nnls(spark, d):
     return _rounded(mapping.annotate_weights(agg.count_matrix(points(spark, d)), _profile(spark, d)), "score")
 
 
-@query("k6_annotate_projection")
+@query("k6_annotate_projection", sql(_BOTH, _BY_COUNT + """, g AS (SELECT gene FROM cnt INTERSECT SELECT gene FROM ref_p),
+p AS (SELECT * FROM ref_p WHERE gene IN (SELECT gene FROM g)), x AS (SELECT * FROM cnt WHERE gene IN (SELECT gene FROM g)),
+pn AS (SELECT cell_type, sqrt(sum(mean ** 2)) AS n FROM p GROUP BY 1), xn AS (SELECT cell_id, sqrt(sum(count ** 2)) AS n FROM x GROUP BY 1),
+d AS (SELECT cell_id, cell_type, sum(count * mean) AS d FROM x JOIN p USING (gene) GROUP BY 1, 2),
+r AS (SELECT c.cell_id, pn.cell_type AS label, round(coalesce(d / (xn.n * pn.n), 0), 9) AS score FROM (SELECT DISTINCT cell_id FROM cnt) c CROSS JOIN pn
+  LEFT JOIN xn ON xn.cell_id = c.cell_id LEFT JOIN d ON d.cell_id = c.cell_id AND d.cell_type = pn.cell_type)
+SELECT cell_id, label, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, label) AS k FROM r) WHERE k = 1"""))
 def k6_projection(spark, d):
     return _rounded(mapping.annotate_weights(agg.count_matrix(points(spark, d)), _profile(spark, d), "projection"), "score")
 
@@ -848,7 +905,9 @@ def h3(spark, d):
     return _rounded(_scored(spark, d).select("transcript_id", "score"), "score")
 
 
-@query("h4_trim_assignment")
+@query("h4_trim_assignment", ORACLE["h3_score_transcripts"].split("SELECT transcript_id, round(s, 5)")[0].rstrip() + """, f AS (SELECT CASE WHEN s <= -0.2 THEN 0 ELSE pts.cell_id END AS c FROM pts JOIN cells USING (cell_id) JOIN sc ON sc.cell_type = cells.cell_type AND sc.gene = feature_name),
+big AS (SELECT c FROM f WHERE c > 0 GROUP BY 1 HAVING count(*) >= 5)
+SELECT CASE WHEN c IN (SELECT c FROM big) THEN c ELSE 0 END AS cell_id, count(*) AS n FROM f GROUP BY 1""")
 def h4(spark, d):
     return assignment.trim_assignment(_scored(spark, d), 5).groupBy("cell_id").agg(F.count("*").alias("n"))
 
@@ -946,6 +1005,79 @@ def g2(spark, d):
     return spatial.assign_by_labels(points(spark, d), spans, WIDTH, HEIGHT).select("transcript_id", "cell_id")
 
 
+@query("a3_rebuild_cosmx", """WITH c AS (SELECT l_orderkey % 9 AS fov, l_orderkey % 200 AS cell FROM lineitem), s AS (SELECT DISTINCT o_orderkey % 9 AS fov, o_orderkey % 250 AS cell FROM orders),
+m AS (SELECT max(cell) + 1 AS m FROM (SELECT cell FROM c WHERE fov < 8 UNION ALL SELECT cell FROM s WHERE fov < 8)), n AS (SELECT fov, cell, count(*) AS n FROM c WHERE cell > 0 GROUP BY ALL)
+SELECT fov, CASE WHEN cell > 0 THEN fov * m + cell ELSE 0 END AS cell_id, round(fov * 150.0 + cell, 4) AS centroid_x, round(fov * 50.0 + 999 - cell / 2, 4) AS centroid_y, coalesce(n, 0) AS n_counts
+FROM s CROSS JOIN m LEFT JOIN n USING (fov, cell) WHERE fov < 8""")
+def a3(spark, d):
+    """A folder of files for each field of view; the ninth has no position. Positions stand twice in their file."""
+    k = F.col("l_orderkey")
+    calls = table(spark, d, "lineitem").select((k % 9).alias("n"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), F.lit(0.0).alias("z"), F.concat(F.lit("gene_"), F.col("l_partkey") % GENES).alias("target"), (k % 200).alias("CellId"))
+    c = F.col("o_orderkey")
+    stats = table(spark, d, "orders").select((c % 9).alias("n"), (c % 250).alias("CellId"), (c % 250).cast("double").alias("CenterX"), ((c % 250) / 2).alias("CenterY"), F.lit(9.0).alias("Area")).distinct()
+    zero = F.lit(0)
+    at = table(spark, d, "orders").select((c % 9).alias("n")).where("n < 8").groupBy("n").agg(F.lit(1)).select((F.col("n") * 1.5).alias("x"), (F.col("n") * 0.5).alias("y"), zero.alias("a"), zero.alias("b"), zero.alias("c"), "n")
+    fields = writers.shared_path(spark, "fields")
+    at.unionByName(at).write.csv(fields)
+
+    def by_field(rows: DataFrame, name: str) -> list[str]:
+        base = writers.shared_path(spark, name)
+        paths = [f"{base}/FOV_{n:03d}" for n in range(9)]
+        for n, path in enumerate(paths):
+            writers.write_table(rows.where(F.col("n") == n).drop("n"), path, "csv")
+        return paths
+
+    _, meta, _ = readers.rebuild_cosmx(spark, by_field(calls, "calls"), fields, by_field(stats, "stats"), 100.0, 1000)
+    return _rounded(meta.select("fov", "cell_id", "centroid_x", "centroid_y", "n_counts"), "centroid_x", "centroid_y", digits=4)
+
+
+@query("a9_read_dense_matrix", sql("ref_cnt", "SELECT CAST(cell_id AS VARCHAR) AS cell, gene, count FROM ref_cnt"))
+def a9(spark, d):
+    """Genes in rows, cells in columns, a header line: written as text and read back, against the cells' annotation."""
+    cnt = ref_counts(spark, d)
+    cells = cnt.agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
+    found = cnt.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "count"))).alias("m")).crossJoin(F.broadcast(cells))
+    values = F.transform("cells", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0)).cast("string"))
+    body = found.select(F.lit(1).alias("n"), F.concat_ws("\t", F.array("gene"), values).alias("value"))
+    head = cells.select(F.lit(0).alias("n"), F.concat_ws("\t", F.array(F.lit("")), F.transform("cells", lambda c: c.cast("string"))).alias("value"))
+    path = writers.shared_path(spark, "dense")
+    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)  # the format is one file
+    return readers.read_dense_matrix(spark, path, cnt.select(F.col("cell_id").cast("string").alias("cell")).distinct())
+
+
+@query("a13_stamp_meta", "SELECT 'b' || n_regionkey AS dataset_id, 'new' AS dataset_name, n_name AS orig_dataset_name FROM nation")
+def a13(spark, d):
+    rows = table(spark, d, "nation").select(F.concat(F.lit("b"), "n_regionkey").alias("dataset_id"), F.col("n_name").alias("dataset_name"), F.lit("").alias("orig_dataset_name"))
+    return controls.stamp_meta(rows, {"dataset_name": "new"})
+
+
+@query("a15_read_regions", sql("ref_cnt ref_cells", "SELECT CAST(cell_id AS VARCHAR) AS cell, gene, count FROM ref_cnt JOIN ref_cells USING (cell_id) WHERE cell_type IN ('BUILDING', 'MACHINERY') AND cell_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"))
+def a15(spark, d):
+    """One file for each segment, two of which are read; one that matches is no Parquet file."""
+    rows = ref_counts(spark, d).join(ref_cells(spark, d), "cell_id").select(F.col("cell_id").cast("string").alias("cell"), "gene", "count", "cell_type")
+    base = writers.shared_path(spark, "regions")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for segment in ("AUTOMOBILE", "BUILDING", "MACHINERY"):
+        rows.where(F.col("cell_type") == segment).drop("cell_type").coalesce(1).write.parquet(f"{base}/tmp/{segment}")
+        part = next(f.getPath() for f in files.listStatus(hadoop.Path(f"{base}/tmp/{segment}")) if f.getPath().getName().startswith("part-"))
+        files.mkdirs(hadoop.Path(f"{base}/in"))
+        files.rename(part, hadoop.Path(f"{base}/in/{segment}-1.parquet"))
+    broken = files.create(hadoop.Path(f"{base}/in/BUILDING-2.parquet"))
+    broken.write(bytearray(b"no table"))
+    broken.close()
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("cell")).distinct()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return readers.read_regions(spark, f"{base}/in", "{BUILDING,MACHINERY}-*", urgent)
+
+
+@query("f10_numbered_ids", "SELECT o_orderkey, o_custkey AS id FROM orders")
+def f10(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("CR-a"), F.col("o_custkey") % 3, F.lit("-"), "o_custkey").alias("id"))
+    return tables.numbered_ids(rows, "id")
+
+
 @query("a4_global_cell_id", "SELECT o_orderkey, CASE WHEN o_custkey % 50 > 0 THEN (o_orderkey % 9) * ((SELECT max(o_custkey % 50) FROM orders) + 1) + o_custkey % 50 ELSE 0 END AS cell_id FROM orders")
 def a4(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).alias("fov"), (F.col("o_custkey") % 50).alias("cell_ID"))

@@ -50,7 +50,7 @@ def global_cell_id(df: DataFrame, *frames: DataFrame, fov: str = "fov", id_col:
     return joined.withColumn(name, F.when(own > 0, F.col(fov) * (F.col("__m") + 1) + own).otherwise(F.lit(0)).cast("long")).drop("__m")
 
 
-def rebuild_cosmx(spark: SparkSession, calls: str, fovs: str, cell_stats: str, scale: float, height: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rebuild_cosmx(spark: SparkSession, calls: str | list[str], fovs: str, cell_stats: str | list[str], scale: float, height: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Molecules, cells and counts from files for each field of view, whose number is in the file name.
 
     Fields without a position are left out; cells without molecules have no count rows but n_counts 0.

@@ -102,6 +102,17 @@ def test_guards(spark):
         tables.out_of_bounds(out, 10, 10).collect()
 
 
+def test_numbered_ids(spark):
+    def numbered(*ids):
+        return [r.c for r in tables.numbered_ids(spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "k long, c string"), "c").orderBy("k").collect()]
+
+    assert numbered("CR4b-27", None, "CR4b-3", "CR4b-27") == [27, None, 3, 27]
+    assert numbered("5", "7") == [5, 7] and numbered() == [] and numbered(None) == [None]
+    for ids, why in ((("CR-1", "2"), "mixed types"), (("CR-1", "CT-1"), "same number"), (("CR-x",), "no number"), (("1", "one"), "no number")):
+        with pytest.raises(Exception, match=why):
+            numbered(*ids)
+
+
 def test_row_ids_are_contiguous(spark):
     df = spark.range(1000).withColumn("k", F.md5(F.col("id").cast("string"))).repartition(7)
     got = sample.with_row_id(df, "k").orderBy("k").collect()
