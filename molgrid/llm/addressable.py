@@ -45,7 +45,7 @@ MAGIC = b"TOKCODE1"
 MANIFEST = "manifest.json"
 RANK_BITS = 512
 #: Ids that are packed or unpacked at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Directory and header cost of one level, in bits for an id; it keeps levels few.
 LEVEL_COST = 1 / RANK_BITS * 64
 
