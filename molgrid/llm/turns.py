@@ -65,11 +65,12 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def sorted_turns(conversations: DataFrame) -> DataFrame:
-    """Rows with their faults, by conversation and turn: one shuffle, two sorts that spill.
+    """Rows with their faults, by conversation and turn: one shuffle, two sorts that spill. A boolean column `lost` marks rows
+    that are there for their conversation only.
 
     The window over equal rows reuses the partitioning by conversation.
     """
-    lost = F.col("lost") if "lost" in conversations.columns else F.lit(False)
+    lost = F.col("lost") if dict(conversations.dtypes).get("lost") == "boolean" else F.lit(False)
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), lost.alias("lost")
     ).repartition("conv_id")

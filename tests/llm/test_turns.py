@@ -91,6 +91,8 @@ def test_edge_rows(spark):
     names = ["lost_", "copy", "fate", "fault", "again", "conv", "no_turn"]
     wide = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], SCHEMA + ", " + ", ".join(f"{n} string" for n in names))
     assert digests(turns.report(wide)) == {c: brute(own) for c, own in fates(rows).items()}
+    clashing = spark.createDataFrame([(1, 0, "user", "a.", "x")], SCHEMA + ", lost string")
+    assert digests(turns.audits(clashing))[1] == brute([(0, "user", "a.")])
     assert turns.report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert turns.repaired(spark.createDataFrame([], SCHEMA)).count() == 0
 
