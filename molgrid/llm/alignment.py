@@ -1,14 +1,15 @@
 """Which tokens of two tokenizers cover the same bytes, and how often their ids are linked in the whole corpus.
 
-One side is a byte-level file of the `tokenizers` library (A), the other a `sentencepiece` model (B). Both give spans:
-characters (of B those that this release of the library gives in place of its immutable proto). Places where both have a token's end at a character's end are coarse cuts.
-Between two of them only tokens that share a character (a character cut into bytes, byte fallback) can end together;
-there the tokens' own bytes decide. Groups lie between neighbouring common ends; the tokens that end together are linked.
+One side is a byte-level file of the `tokenizers` library (A), the other a `sentencepiece` model (B). Both give spans in
+characters (B those that its release has in place of the immutable proto). Places where both have a token's end at a
+character's end are coarse cuts. Between two of them only tokens that share a character (a character cut into bytes, byte
+fallback) can end together; there the tokens' own bytes decide. Groups lie between neighbouring common ends; the tokens
+that end together are linked.
 
 A single space between two other characters always begins a token on both sides, and so does what follows a letter
 without being one (for B that is read from its pieces), so texts are cut there and each distinct part is aligned once
-as long as its worker keeps it. A text whose tokens do not give back its bytes
-(the normaliser changed it, or it holds U+2581) has no tokens.
+as long as its worker keeps it. A text whose tokens do not give back its bytes (the normaliser changed it, or it holds
+U+2581) has no tokens.
 
 Counts of id pairs are summed in each task before they are shuffled. The most frequent pairs, at most `hot_pairs` of
 them, are then broadcast as numpy arrays and looked up where the documents are; rarer ones meet their counts in an
@@ -40,13 +41,12 @@ from molgrid.llm.common import materialize, sliced
 MARK = "▁"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Cuts inside of words: between a letter and an ASCII character that is none, and between a line's end and a letter. Only
-#: Latin letters are named, about which all releases of Unicode agree.
-LETTER = "[A-Za-z\u00c0-\u024f]"
+#: Latin letters are named (without the two signs among them), about which all releases of Unicode agree.
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 INSIDE = re.compile(rf"(?<={LETTER})(?=[!-@\[-`{{-~\n])|(?<=\S\n)(?={LETTER})")
 #: Surrogates occur in no text: one marks a part that no space leads, the other a cut.
 GLUED, CUT = "\ud800", "\ud801"
 MARKED = re.compile(rf"(?<=\S) (?=\S)|{CUT}")
-LOW = (1 << 32) - 1
 
 
 class Aligned(NamedTuple):
@@ -107,9 +107,9 @@ class Pair:
         self.b_sizes = np.array([len(p) for p in self.b_bytes])
         self.a_sizes = np.array([len(p) for p in self.a_bytes])
         normal = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        #: No piece has a space behind another character, so no merge crosses a single space.
         added = json.loads(self.a.to_str())
         plain = added["normalizer"] is None and (added["pre_tokenizer"] or {}).get("type") == "ByteLevel" and added["pre_tokenizer"].get("use_regex")
+        #: No piece has a space behind another character, so no merge crosses a single space.
         self.cut = bool(plain) and not any(MARK in p.lstrip(MARK) for p in pieces)
         #: No piece has a letter before another kind of character, or a line's end, so none crosses the cuts inside of words.
         self.cut_inside = self.cut and not any("\n" in p or any(x.isalpha() and not y.isalpha() for x, y in zip(p, p[1:])) for p in normal)

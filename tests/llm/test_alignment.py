@@ -120,6 +120,19 @@ def test_parts_give_the_whole(pair, tokens):
                 assert b"".join(p[2] for p in own) == whole.links().tobytes()
 
 
+@pytest.mark.parametrize("high", [0x7F, 0x250, 0x3000])
+def test_parts_of_any_characters(pair, high):
+    """Every code point up to `high` beside letters, signs, digits, spaces and lines."""
+    rng, known = random.Random(high), alignment.Parts(pair)
+    for _ in range(1500 if high < 0x3000 else 3000):
+        text = "".join(chr(rng.randint(0, high)) if rng.random() < 0.4 else rng.choice("aB.,'\n 7×é—") for _ in range(rng.randint(1, 14)))
+        known.learn([pair.parts(text)])
+        own, whole = [known[p] for p in pair.parts(text)], pair.align(text)
+        assert (None in own) == (whole is None), repr(text)
+        if whole:
+            assert ";".join(p[3] for p in own) == ";".join(whole.written()), repr(text)
+
+
 @pytest.mark.parametrize("hot_pairs", [2_000_000, 40, 0])
 def test_brute_force(spark, sf_dir, tokens, hot_pairs):
     """All pairs broadcast, some, or none: the same rows."""
