@@ -162,7 +162,7 @@ class Parts(dict):
     """The entries of parts of texts in each worker: of the latest texts, and of those before. What is used again stays,
     older parts go, so there are no more than `most`. Longer parts are not kept."""
 
-    def __init__(self, pair: Pair, most: int = 420_000, longest: int = 40, at_once: int = 500):
+    def __init__(self, pair: Pair, most: int = 1_000_000, longest: int = 40, at_once: int = 500):
         super().__init__()
         self.pair, self.most, self.longest, self.at_once = pair, most, longest, at_once
         self.before: dict[str, tuple | None] = {}
