@@ -227,9 +227,10 @@ class Shard(InputPartition):
 
 
 class Tokens(DataSource):
-    """format("token_codes"): write (doc_id long, ids binary: little-endian unsigned 32-bit); read these with start, n_tokens and ids_crc32.
+    """format("token_codes"): write (doc_id long, ids binary: little-endian unsigned 32-bit), or with a vocabulary (doc_id
+    long, text string), which is encoded where it is written; read ids with start, n_tokens and ids_crc32.
 
-    Options: path, file_tokens (ids in a file), ids ("false" leaves the ids out).
+    Options: path, file_tokens (ids in a file), vocabulary, end_id (behind each encoded text), ids ("false" leaves them out).
     """
 
     @classmethod
@@ -244,12 +245,21 @@ class Tokens(DataSource):
         return TokensReader(self.options["path"], "ids" in schema.names)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return TokensWriter(self.options["path"], int(self.options.get("file_tokens", 1 << 24)))
+        return TokensWriter(self.options["path"], int(self.options.get("file_tokens", 1 << 24)), self.options.get("vocabulary"), int(self.options.get("end_id", 0)))
 
 
 class TokensWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, file_tokens: int):
-        self.folder, self.file_tokens = folder, file_tokens
+    def __init__(self, folder: str, file_tokens: int, vocabulary: str | None, end_id: int):
+        self.folder, self.file_tokens, self.vocabulary, self.end_id = folder, file_tokens, vocabulary, end_id
+
+    def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        """Documents and their ids."""
+        encode, end = encoder(self.vocabulary) if self.vocabulary else None, struct.pack("<I", self.end_id)
+        for b in batches:
+            b = b.select(["doc_id", "text" if encode else "ids"])
+            for part in sliced(iter([b]), 1, 1 << 21):
+                for doc, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    yield doc, encode(own or "") + end if encode else own
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _opened(self.folder)
@@ -268,15 +278,13 @@ class TokensWriter(DataSourceArrowWriter):
             files.append((name, len(names), n))
             names, lengths, held, n = [], [], [], 0
 
-        for batch in iterator:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                own = ids.as_py()
-                if n and n + len(own) // 4 > self.file_tokens:
-                    close()
-                names.append(doc)
-                lengths.append(len(own) // 4)
-                held.append(own)
-                n += len(own) // 4
+        for doc, own in self._rows(iterator):
+            if n and n + len(own) // 4 > self.file_tokens:
+                close()
+            names.append(doc)
+            lengths.append(len(own) // 4)
+            held.append(own)
+            n += len(own) // 4
         close()
         return Written(partition, files)
 
@@ -337,13 +345,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, file_t
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"), F.rand(7).alias("salt"))
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("doc_id").cast("long"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), struct.pack("<I", end_id)
-        for b in sliced(batches, 1, 1 << 22):
-            ids = [encode(text or "") + end for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    ordered.mapInArrow(run, "doc_id long, ids binary").write.format("token_codes").mode("append").option("file_tokens", file_tokens).save(folder)
+    out = ordered.write.format("token_codes").mode("append").option("vocabulary", vocabulary).option("end_id", end_id)
+    out.option("file_tokens", file_tokens).save(folder)
 
 
 def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
