@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import cell_id_or_zero, leading_number, numbers, ring
 from molgrid.operators.sample import with_row_id
+from molgrid.sources.writers import written
 
 
 def read_xenium_points(spark: SparkSession, path: str) -> DataFrame:
@@ -110,19 +111,30 @@ def read_abca_boundaries(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col(f"`{first}`").alias("cell_id"), ring(numbers(F.col("boundaryX_z0")), numbers(F.col("boundaryY_z0"))).alias("ring")).where("ring is not null and size(ring) > 0")
 
 
+def _placed(t: DataFrame, name: str = "__at") -> DataFrame:
+    """`t`, read from text files, with each row's place: file by name, start of the split, and row in it. Splits come to
+    tasks by size, not in order, so the row's number alone is no order of the whole."""
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("n"))
+    return t.select("*", at.alias(name))
+
+
+def _numbered(t: DataFrame) -> DataFrame:
+    """Rows of text files with their numbers from 0, as `line`."""
+    return with_row_id(_placed(t), "__at", name="line").drop("__at")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their numbers from 0."""
-    return with_row_id(spark.read.text(path).withColumn("__at", F.monotonically_increasing_id()), "__at", name="line").drop("__at")
+    return _numbered(spark.read.text(path))
 
 
 def read_mtx(spark: SparkSession, matrix: str, barcodes: str, genes: str) -> DataFrame:
     """Long counts (cell, gene, count) from a MatrixMarket file of genes x cells and its two name files."""
-    rows = spark.read.text(matrix).where(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("v"))
-    rows = rows.where(F.size("v") >= 3).select(F.col("v")[0].cast("long").alias("g"), F.col("v")[1].cast("long").alias("c"), F.col("v")[2].cast("double").cast("long").alias("count"))
-    head = rows.select(F.struct("g", "c", "count").alias("h")).limit(1)  # the first line that is no comment: the sizes
-    size = head.first()["h"]
+    rows = _placed(spark.read.text(matrix)).where(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("v"), "__at")
+    rows = rows.where(F.size("v") >= 3).select(F.col("v")[0].cast("long").alias("g"), F.col("v")[1].cast("long").alias("c"), F.col("v")[2].cast("double").cast("long").alias("count"), "__at")
+    head = F.broadcast(rows.agg(F.min("__at").alias("__head")))  # the first line that is no comment: the sizes
     names = [_lines(spark, p).select((F.col("line") + 1).alias(k), F.split("value", "\t")[0].alias(n)) for p, k, n in ((barcodes, "c", "cell"), (genes, "g", "gene"))]
-    body = rows.withColumn("__at", F.monotonically_increasing_id()).where(~((F.col("g") == size.g) & (F.col("c") == size.c) & (F.col("count") == size["count"]) & (F.col("__at") == 0)))
+    body = rows.crossJoin(head).where("__at != __head")
     return body.join(names[0], "c").join(names[1], "g").select("cell", "gene", "count")
 
 
@@ -130,8 +142,7 @@ def read_mtx_obs(spark: SparkSession, obs: str, barcodes: str) -> DataFrame:
     """The metadata of a MatrixMarket set's cells: row n of the CSV belongs to barcode n. Another number of rows is an
     error."""
     names = _lines(spark, barcodes).select("line", F.split("value", "\t")[0].alias("cell"))
-    t = spark.read.option("header", True).csv(obs).withColumn("__at", F.monotonically_increasing_id())
-    rows = with_row_id(t, "__at", name="line").drop("__at")
+    rows = _numbered(spark.read.option("header", True).csv(obs))
     if rows.count() != names.count():
         raise ValueError("the metadata and the barcodes have different numbers of cells")
     return names.join(rows, "line").drop("line")
@@ -140,20 +151,23 @@ def read_mtx_obs(spark: SparkSession, obs: str, barcodes: str) -> DataFrame:
 def read_dense_matrix(spark: SparkSession, path: str, annotation: DataFrame | None = None) -> DataFrame:
     """Long counts from a tab-separated matrix of genes x cells: split line by line, zeros dropped.
 
-    The header's cell names are one row that every line meets. With an annotation (cell), its cells must be the same.
+    The header is the first line of the first file. With an annotation (cell), its cells must be the same. The names
+    of cells stay a table by column number, which the counts that are not 0 are joined with.
     """
-    lines = spark.read.text(path)
-    head = lines.limit(1).select(F.split("value", "\t").alias("names"))
-    first = head.first()["names"]
+    lines = _placed(spark.read.text(path))
+    placed = lines.crossJoin(F.broadcast(lines.agg(F.min("__at").alias("__head"))))
+    # columns are numbered from the right: the header may lack a name for the gene column
+    column = (F.col("pos") - F.col("size")).alias("column")
+    head = placed.where("__at = __head").select(F.split("value", "\t").alias("v")).select(F.size("v").alias("size"), F.posexplode("v").alias("pos", "cell"))
+    names = written(head.select(column, "cell"), "dense-names")
     if annotation is not None:
-        have = spark.createDataFrame([(c,) for c in first if c], "cell string")
-        if not (have.exceptAll(annotation.select("cell")).isEmpty() and annotation.select("cell").exceptAll(have).isEmpty()):
+        have, want = names.where("cell != ''").groupBy("cell").agg(F.count("*").alias("a")), annotation.groupBy("cell").agg(F.count("*").alias("b"))
+        if not have.join(want, "cell", "full").where("NOT (a <=> b)").isEmpty():
             raise ValueError("the matrix and its annotation have different cells")
-    body = lines.where(F.col("value") != "\t".join(first)).select(F.split("value", "\t").alias("v")).crossJoin(F.broadcast(head))
-    shift = F.size("names") - F.size("v")  # the header may lack a name for the gene column
-    cells = body.select(F.col("v")[0].alias("gene"), "names", shift.alias("s"), F.posexplode(F.slice(F.col("v"), F.lit(2), F.greatest(F.size("v") - 1, F.lit(0)))))
-    counts = cells.select(F.get("names", F.col("pos") + 1 + F.col("s")).alias("cell"), "gene", F.col("col").try_cast("double").cast("long").alias("count"))
-    return counts.where("count != 0")
+    body = placed.where("__at != __head").select(F.split("value", "\t").alias("v"))
+    cells = body.select(F.col("v")[0].alias("gene"), F.size("v").alias("size"), F.posexplode("v").alias("pos", "count")).where("pos > 0")
+    counts = cells.select(column, "gene", F.col("count").try_cast("double").cast("long").alias("count")).where("count != 0")
+    return counts.join(names, "column").select("cell", "gene", "count")
 
 
 def footers(spark: SparkSession, directory: str, pattern: str) -> DataFrame:

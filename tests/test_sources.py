@@ -111,6 +111,24 @@ def test_experiments_and_cells_of_a_matrix(spark, tmp_path):
         readers.read_mtx_obs(spark, o, put(tmp_path / "b2.tsv", "c9\nc1\n"))
 
 
+def test_text_parts_are_read_in_their_order(spark, tmp_path):
+    """Parts whose sizes fall the other way: Spark hands out the largest first."""
+    kinds = [["k" * (n + 1), "T" * 50 * (n + 1)] for n in range(6)]
+    for n, own in enumerate(kinds):
+        put(tmp_path / f"obs/part-{n:05d}.csv", "kind\n" + "\n".join(own) + "\n")
+        put(tmp_path / f"names/part-{n:05d}.txt", f"c{2 * n}\nc{2 * n + 1}\n")
+    got = {r.cell: r.kind for r in readers.read_mtx_obs(spark, str(tmp_path / "obs"), str(tmp_path / "names")).collect()}
+    assert got == {f"c{2 * n + k}": own[k] for n, own in enumerate(kinds) for k in (0, 1)}
+    put(tmp_path / "mtx/part-00000", "%%MatrixMarket\n2 12 2\n")
+    put(tmp_path / "mtx/part-00001", "1 3 5\n2 12 2\n" + "% a longer part\n" * 20)
+    g = put(tmp_path / "g.tsv", "gA\ngB\n")
+    assert sorted((r.cell, r.gene, r["count"]) for r in readers.read_mtx(spark, str(tmp_path / "mtx"), str(tmp_path / "names"), g).collect()) == [("c11", "gB", 2), ("c2", "gA", 5)]
+    put(tmp_path / "dense/part-00000", "c1\tc2\tc2\n")
+    put(tmp_path / "dense/part-00001", "gA\t5\t0\t1\n" + "gB\t0\t7\t0\n" * 9)
+    want = [("c1", "gA", 5), ("c2", "gA", 1), *[("c2", "gB", 7)] * 9]
+    assert sorted((r.cell, r.gene, r["count"]) for r in readers.read_dense_matrix(spark, str(tmp_path / "dense")).collect()) == want
+
+
 def test_unreadable_regions_are_reported(spark, tmp_path):
     spark.createDataFrame([("c1", "g", 1)], "cell string, gene string, count long").coalesce(1).write.parquet(str(tmp_path / "tmp"))
     (tmp_path / "regions").mkdir()
