@@ -1034,14 +1034,21 @@ def a3(spark, d):
 @query("a9_read_dense_matrix", sql("ref_cnt", "SELECT CAST(cell_id AS VARCHAR) AS cell, gene, count FROM ref_cnt"))
 def a9(spark, d):
     """Genes in rows, cells in columns, a header line: written as text and read back, against the cells' annotation."""
-    cnt = ref_counts(spark, d)
-    cells = cnt.agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
-    found = cnt.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "count"))).alias("m")).crossJoin(F.broadcast(cells))
-    values = F.transform("cells", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0)).cast("string"))
-    body = found.select(F.lit(1).alias("n"), F.concat_ws("\t", F.array("gene"), values).alias("value"))
-    head = cells.select(F.lit(0).alias("n"), F.concat_ws("\t", F.array(F.lit("")), F.transform("cells", lambda c: c.cast("string"))).alias("value"))
+    cnt = writers.written(ref_counts(spark, d), "dense-counts")
+    cells = sample.with_row_id(cnt.select("cell_id").distinct(), "cell_id", name="at")
+    wide = F.broadcast(cells.agg(F.count("*").cast("int").alias("wide")))
+    found = cnt.join(cells, "cell_id").groupBy("gene").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "count"))).alias("m")).crossJoin(wide)
+
+    def after_zeros(x: F.Column, k: F.Column) -> F.Column:
+        before = F.coalesce(F.get("m", k - 1)["at"], F.lit(-1))
+        return F.concat(F.repeat(F.lit("0\t"), x["at"] - before - 1), x["count"].cast("string"))
+
+    rest = F.repeat(F.lit("\t0"), F.col("wide") - 1 - F.element_at("m", -1)["at"])
+    body = found.select(F.lit(1).alias("n"), "gene", F.concat(F.concat_ws("\t", "gene", F.transform("m", after_zeros)), rest).alias("value"))
+    head = cells.agg(F.array_sort(F.collect_list("cell_id")).alias("cells"))
+    head = head.select(F.lit(0).alias("n"), F.lit("").alias("gene"), F.concat_ws("\t", F.array(F.lit("")), F.transform("cells", lambda c: c.cast("string"))).alias("value"))
     path = writers.shared_path(spark, "dense")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)  # the format is one file
+    head.unionByName(body).orderBy("n", "gene").select("value").write.text(path)  # parts in order, the header in the first
     return readers.read_dense_matrix(spark, path, cnt.select(F.col("cell_id").cast("string").alias("cell")).distinct())
 
 
