@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import Matrix, affine
@@ -97,13 +97,39 @@ def tissue_center(pts: DataFrame, matrix: Matrix, width: float, height: float, a
     accuracy: approximate percentiles with this accuracy, for tables whose exact median is too costly.
     """
     g = to_global(pts, matrix)
+    if accuracy is not None:
+        found = g.agg(*[F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in ("gx", "gy")])
+    else:
+        found = medians(g, "gx", "gy")
+    return found.select(F.coalesce("gx", F.lit(width / 2)).alias("center_x"), F.coalesce("gy", F.lit(height / 2)).alias("center_y"))
 
-    def middle(c: str) -> Column:
-        return F.percentile(c, F.lit(0.5)) if accuracy is None else F.percentile_approx(c, 0.5, accuracy).cast("double")
 
-    return g.agg(
-        F.coalesce(middle("gx"), F.lit(width / 2)).alias("center_x"), F.coalesce(middle("gy"), F.lit(height / 2)).alias("center_y")
-    )
+def medians(df: DataFrame, *cols: str, accuracy: int = 10_000) -> DataFrame:
+    """One row with the exact median of each column, null where it has no value.
+
+    A sketch brackets the median by two values whose ranks lie within a few of `accuracy` parts of it; a second pass
+    counts the rows below, and those between by value. So no task holds more than about 8 / accuracy of the rows,
+    and equal values are one. A bracket that missed the median is an error.
+    """
+    span = 4 / accuracy
+    ends = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(F.lit(0.5 - span), F.lit(0.5 + span)), F.lit(accuracy)).alias(c) for c in cols])
+    ends = ends.select(F.posexplode(F.array(*cols)).alias("k", "e"))
+    ends = ends.select("k", F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high"))
+    values = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("k", "v")).where("v IS NOT NULL")
+    side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
+    met = values.join(F.broadcast(ends), "k").withColumn("side", side)
+    counts = met.groupBy("k", "side", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("k")
+    upto = F.sum("n").over(whole.orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select("k", "side", "v", "n", upto.alias("upto"), F.sum("n").over(whole).alias("all"))
+
+    def at(rank: Column) -> Column:
+        holds = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+        return F.max(F.when(holds, F.when(F.col("side") != 0, F.raise_error(F.lit("medians: the bracket missed the median"))).otherwise(F.col("v"))))
+
+    last = F.col("all") - 1
+    middle = ranked.groupBy("k").agg(at(F.floor(last / 2)).alias("a"), at(F.ceil(last / 2)).alias("b")).select("k", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("a") + F.col("b")) / 2).alias("v"))
+    return middle.agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(c) for k, c in enumerate(cols)])
 
 
 def crop_window(centers: DataFrame, width: int, height: int, max_pixels: int) -> DataFrame:
