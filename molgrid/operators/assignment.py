@@ -10,11 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import UNANNOTATED
-from molgrid.operators.spatial import spatial_knn
+from molgrid.operators.spatial import near_lists, nearest
 from molgrid.sources.writers import discard, written
 
 
@@ -133,24 +133,53 @@ STATE = ["cell_id", "area", "p", "genes", "n", "moved", "sums"]
 
 
 def _candidates(pts: DataFrame, cells: DataFrame, panel: DataFrame, neighbours: int, radius: float, inside_bonus: float, shrink: float = 10.0) -> DataFrame:
-    """id, g, cell_id, w: a molecule's nearest cells, with the log density of its place under the cell's own Gaussian.
+    """transcript_id, g, and for each of its nearest cells c0, w0, c1, w1 ...: a row for every molecule, with the log density
+    of its place under the cell's own Gaussian. Molecules without a near cell, or of no gene of the panel, have nulls.
 
     A cell's scale is the mean square distance of the molecules labelled with it, drawn to that of all near molecules
     with the weight of `shrink` molecules.
     """
-    near = spatial_knn(pts.select(F.col("transcript_id").alias("id"), "x", "y"), cells.select(F.col("cell_id").alias("id"), "x", "y"), neighbours, radius)
-    prior = pts.select(F.col("transcript_id").alias("id"), F.col("feature_name").alias("gene"), F.col("cell_id").alias("prior")).join(F.broadcast(panel), "gene")
-    base = written(near.join(prior, "id").select("id", "g", F.col("neighbour").alias("cell_id"), "distance", (F.col("prior") == F.col("neighbour")).alias("inside")), "near")
-    spread = base.agg(F.greatest(F.avg(F.col("distance") ** 2), F.lit(1e-9)).alias("all"))
-    own = base.where("inside").groupBy("cell_id").agg(F.sum(F.col("distance") ** 2).alias("d2"), F.count("*").alias("n"))
-    every = base.join(own, "cell_id", "left").crossJoin(F.broadcast(spread))
-    s2 = (F.coalesce("d2", F.lit(0.0)) + shrink * F.col("all")) / (2 * (F.coalesce("n", F.lit(0)) + shrink))
-    gauss = -F.col("distance") ** 2 / (2 * s2) - F.ln(2 * math.pi * s2)
-    out = written(every.select("id", "g", "cell_id", (gauss + F.when(F.col("inside"), inside_bonus).otherwise(0.0)).alias("w")), "candidates")
-    discard(base)
+    slots = range(neighbours)
+    rows = pts.select("transcript_id", "x", "y", F.col("feature_name").alias("gene"), F.col("cell_id").alias("prior")).join(F.broadcast(panel), "gene", "left")
+    lists = near_lists(cells.select(F.col("cell_id").cast("long").alias("id"), "x", "y"), radius)
+    near = nearest(rows, lists, neighbours, radius)
+    places = [(F.get("near", F.lit(k))["neighbour"], F.get("near", F.lit(k))["distance"]) for k in slots]
+    cut = [F.when(F.col("g").isNotNull(), v).alias(f"{n}{k}") for k, place in enumerate(places) for n, v in zip("cd", place)]
+    base = written(near.select("transcript_id", "g", "prior", *cut), "near")
+    d2 = [F.col(f"d{k}") ** 2 for k in slots]
+    known = sum(F.col(f"c{k}").isNotNull().cast("long") for k in slots)
+    spread = base.agg(F.sum(sum(F.coalesce(v, F.lit(0.0)) for v in d2)).alias("d2"), F.sum(known).alias("n")).select(F.greatest(F.try_divide("d2", "n"), F.lit(1e-9)).alias("all"))
+    own = base.select("prior", F.coalesce(*[F.when(F.col(f"c{k}") == F.col("prior"), v) for k, v in zip(slots, d2)]).alias("d2")).where("d2 IS NOT NULL")
+    own = written(own.groupBy("prior").agg(F.sum("d2").alias("d2"), F.count("*").alias("n")), "spread")
+    every = base.crossJoin(F.broadcast(spread))
+    for k in slots:
+        every = every.join(own.select(F.col("prior").alias(f"c{k}"), F.col("d2").alias(f"s{k}"), F.col("n").alias(f"n{k}")), f"c{k}", "left")
+    weights = []
+    for k in slots:
+        s2 = (F.coalesce(f"s{k}", F.lit(0.0)) + shrink * F.col("all")) / (2 * (F.coalesce(f"n{k}", F.lit(0)) + shrink))
+        gauss = -F.col(f"d{k}") ** 2 / (2 * s2) - F.ln(2 * math.pi * s2)
+        weights += [F.col(f"c{k}"), (gauss + F.when(F.col("prior") == F.col(f"c{k}"), inside_bonus).otherwise(0.0)).alias(f"w{k}")]
+    out = written(every.select("transcript_id", "g", *weights), "candidates")
+    discard(base, own, lists)
     return out
 
 
+def _shared_out(candidates: DataFrame, expected: DataFrame, neighbours: int, misread_density: float) -> DataFrame:
+    """`candidates` with p0, p1 ...: the share of the molecule that each near cell has, by softmax with the background.
+
+    Cells' expected logarithms are joined once for each place in a row, so Spark sends them to the molecules where they are
+    few; the molecules are shuffled only where they are not."""
+    met = candidates
+    for k in range(neighbours):
+        met = met.join(expected.select(F.col("cell_id").alias(f"c{k}"), "g", F.col("e").alias(f"e{k}")), [f"c{k}", "g"], "left")
+    l = [F.col(f"w{k}") + F.col(f"e{k}") for k in range(neighbours)]
+    least = F.lit(math.log(misread_density))
+    top = F.greatest(*l, least)
+    low = sum(F.coalesce(F.exp(v - F.col("top")), F.lit(0.0)) for v in l) + F.exp(least - F.col("top"))
+    weighed = met.withColumn("top", top).withColumn("low", low)
+    return weighed.select(*candidates.columns, *[(F.exp(v - F.col("top")) / F.col("low")).alias(f"p{k}") for k, v in enumerate(l)])
+
+
 def probabilistic_assign(
     pts: DataFrame, cells: DataFrame, profile: DataFrame, *, neighbours: int = 3, radius: float = 60.0, max_iter: int = 1000, tolerance: float = 0.02,
     inside_bonus: float = 2.0, misread_density: float = 1e-5, r_gene: float = 20.0, inefficiency: float = 0.2, r_spot: float = 2.0, spot_reg: float = 0.1, empty_prior: float = 0.5,
@@ -188,20 +217,20 @@ def probabilistic_assign(
         kinds = {"genes": "array<int>", "n": "array<double>"}
         return before.join(by_cell, "cell_id", "left").select("cell_id", "area", "p", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in kinds.items()))
 
+    pairs = F.explode(F.array(*[F.struct(F.col(f"c{k}").alias("cell_id"), F.lit(0.0).alias("n")) for k in range(neighbours)])).alias("s")
+    held = candidates.where("g IS NOT NULL").select("g", pairs).where("s.cell_id IS NOT NULL").select("s.cell_id", "g", "s.n").distinct()
     start = at.withColumn("p", F.array(*[F.lit(float(v)) for v in rates.prior]))
-    state = written(with_counts(start, candidates.select("cell_id", "g", F.lit(0.0).alias("n")).distinct()), "cells")
-    shared, moved, softmax = None, None, Window.partitionBy("id")
+    state = written(with_counts(start, held), "cells")
+    expected, moved = None, None
     for _ in range(max_iter):
         real = state.where("cell_id IS NOT NULL")
-        expected = real.select("cell_id", "area", "p", "genes", "n").mapInArrow(_expected(rates), "cell_id long, g int, e double")
-        weighed = candidates.join(expected, ["cell_id", "g"]).withColumn("l", F.col("w") + F.col("e"))
-        top = F.greatest(F.max("l").over(softmax), F.lit(math.log(misread_density)))
-        low = F.sum(F.exp(F.col("l") - top)).over(softmax) + F.exp(F.lit(math.log(misread_density)) - top)
-        new_shared = written(weighed.select("id", "g", "cell_id", (F.exp(F.col("l") - top) / low).alias("share")), "shares")
-        counts = new_shared.groupBy("cell_id", "g").agg(F.sum("share").alias("n"))
+        new_expected = written(real.select("cell_id", "area", "p", "genes", "n").mapInArrow(_expected(rates), "cell_id long, g int, e double"), "expected")
+        shares = F.explode(F.array(*[F.struct(F.col(f"c{k}").alias("cell_id"), F.col(f"p{k}").alias("share")) for k in range(neighbours)])).alias("s")
+        counts = _shared_out(candidates, new_expected, neighbours, misread_density).select("g", shares).where("s.share IS NOT NULL")
+        counts = counts.groupBy("s.cell_id", "g").agg(F.sum("s.share").alias("n"))
         new = written(with_counts(real.select("cell_id", "area", "p"), counts).mapInArrow(_types(rates), schema), "cells")
-        discard(state, *([shared] if shared is not None else []))
-        state, shared = new, new_shared
+        discard(state, *([expected] if expected is not None else []))
+        state, expected = new, new_expected
         # twice as many numbers as the panel has genes
         sums = state.where("cell_id IS NULL").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()["v"].to_numpy()
         due, molecules = np.split(sums, 2)
@@ -214,7 +243,10 @@ def probabilistic_assign(
     names = F.array(*[F.lit(t) for t in [*types, UNANNOTATED]])
     likely = F.array_max("p")
     of_cell = state.where("cell_id IS NOT NULL").select("cell_id", F.element_at(names, F.array_position("p", likely).cast("int")).alias("cell_type"), likely.alias("cell_type_prob"))
-    best = shared.groupBy("id").agg(F.max_by("cell_id", F.struct("share", -F.col("cell_id"))).alias("c"), F.max("share").alias("s"), F.sum("share").alias("all"))
-    kept = best.select(F.col("id").alias("transcript_id"), F.when(F.col("s") >= 1 - F.col("all"), F.col("c")).otherwise(F.lit(0)).cast("long").alias("cell_id"), F.greatest(F.col("s"), 1 - F.col("all")).alias("prob"))
-    kept = kept.join(of_cell, "cell_id", "left")
-    return pts.select("transcript_id").join(kept, "transcript_id", "left").select("transcript_id", F.coalesce("cell_id", F.lit(0).cast("long")).alias("cell_id"), F.coalesce("prob", F.lit(1.0)).alias("prob"), "cell_type", "cell_type_prob")
+    shared = _shared_out(candidates, expected, neighbours, misread_density)
+    slots = [F.when(F.col(f"p{k}").isNotNull(), F.struct(F.col(f"p{k}").alias("share"), (-F.col(f"c{k}")).alias("c"))) for k in range(neighbours)]
+    best = shared.select("transcript_id", F.greatest(*slots).alias("b") if neighbours > 1 else slots[0].alias("b"), sum(F.coalesce(f"p{k}", F.lit(0.0)) for k in range(neighbours)).alias("all"))
+    s = F.col("b.share")
+    kept = written(best.select("transcript_id", F.when(s >= 1 - F.col("all"), -F.col("b.c")).otherwise(F.lit(0)).cast("long").alias("cell_id"), F.coalesce(F.greatest(s, 1 - F.col("all")), F.lit(1.0)).alias("prob")), "shares")
+    discard(expected)
+    return kept.join(of_cell, "cell_id", "left").select("transcript_id", "cell_id", "prob", "cell_type", "cell_type_prob")

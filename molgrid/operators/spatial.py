@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molgrid.functions.scalars import bin_label, bin_pixels, clamp
 from molgrid.operators.geometry import edges, inside_edges
+from molgrid.sources.writers import written
 
 
 def _in_grid(pts: DataFrame, side: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
@@ -160,16 +161,36 @@ def rasterize(poly: DataFrame, width: int, height: int, band: int = 1024) -> Dat
     return spans.groupBy("y").applyInPandas(settle, kinds)
 
 
+GRID = {"__gx": "x", "__gy": "y"}
+
+
+def near_lists(b: DataFrame, radius: float) -> DataFrame:
+    """__gx, __gy, __near: for each grid cell of that size the rows of b (id, x, y) that a point in it may reach.
+
+    Written once, so that Spark knows whether the table is small. Such a list must fit a task.
+    """
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+    right = b.select(F.struct(F.col("id").alias("neighbour"), "x", "y").alias("p"), *[F.floor(F.col(c) / radius).alias(n) for n, c in GRID.items()]).where("__gx IS NOT NULL AND __gy IS NOT NULL")
+    right = right.withColumn("d", around).withColumns({n: F.col(n) + F.col(f"d.{c}") for n, c in (("__gx", "i"), ("__gy", "j"))})
+    return written(right.groupBy("__gx", "__gy").agg(F.collect_list("p").alias("__near")), "near")
+
+
+def nearest(a: DataFrame, lists: DataFrame, k: int, radius: float) -> DataFrame:
+    """Adds `near` to the rows of a: the k nearest of the lists' rows within `radius`, nearest first, as (distance,
+    neighbour). A row meets one list and sorts its own few: rows are shuffled for that join at most, and not at all where
+    the lists are small.
+    """
+
+    def apart(p: F.Column) -> F.Column:
+        distance = F.sqrt((F.col("x") - p["x"]) ** 2 + (F.col("y") - p["y"]) ** 2)
+        return F.struct(distance.alias("distance"), p["neighbour"].alias("neighbour"))
+
+    within = F.filter(F.transform("__near", apart), lambda p: p["distance"] <= radius)
+    grid = {n: F.floor(F.col(c) / radius) for n, c in GRID.items()}
+    return a.withColumns(grid).join(lists, ["__gx", "__gy"], "left").withColumn("near", F.slice(F.sort_array(within), 1, k)).drop("__gx", "__gy", "__near")
+
+
 def spatial_knn(a: DataFrame, b: DataFrame, k: int, radius: float) -> DataFrame:
     """The k nearest rows of b (id, x, y) within `radius` of each row of a, by grid cells of that size."""
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
-    grid = {"__gx": F.floor(F.col("x") / radius), "__gy": F.floor(F.col("y") / radius)}
-    right = b.select(F.col("id").alias("neighbour"), F.col("x").alias("bx"), F.col("y").alias("by"), *[v.alias(n) for n, v in grid.items()])
-    right = right.withColumn("d", near).withColumns({n: F.col(n) + F.col(f"d.{c}") for n, c in (("__gx", "i"), ("__gy", "j"))}).drop("d")
-    pairs = a.select("id", "x", "y", *[v.alias(n) for n, v in grid.items()]).join(right, ["__gx", "__gy"])
-    distance = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return (
-        pairs.withColumn("distance", distance).where((F.col("distance") <= radius))
-        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "neighbour", "distance", "rank")
-    )
+    met = nearest(a.select("id", "x", "y"), near_lists(b, radius), k, radius).select("id", F.posexplode("near").alias("rank", "p"))
+    return met.select("id", "p.neighbour", "p.distance", (F.col("rank") + 1).alias("rank"))

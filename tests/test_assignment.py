@@ -145,3 +145,19 @@ def test_a_profile_beyond_the_bound_is_refused(spark, scene, monkeypatch):
     monkeypatch.setattr(assignment, "LARGEST_PROFILE", 5)
     with pytest.raises(ValueError, match="profile"):
         assignment.probabilistic_assign(*frames(spark, scene))
+
+
+def test_rounds_do_not_shuffle_molecules(spark):
+    """Where cells are few, molecules stand in one row with their candidates and meet their rates by a broadcast."""
+    from molgrid.operators import assignment, spatial
+
+    pts = spark.range(3000).selectExpr("id as transcript_id", "cast(id % 60 as double) as x", "cast(id % 50 as double) as y")
+    cells = spark.range(20).selectExpr("id", "id * 3.0 as x", "id * 2.0 as y")
+    plan = spatial.spatial_knn(pts.withColumnRenamed("transcript_id", "id"), cells, 2, 10.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    candidates = pts.selectExpr("transcript_id", "1 as g", "transcript_id % 20 as c0", "-1.0 as w0", "cast(null as bigint) as c1", "cast(null as double) as w1")
+    expected = spark.range(20).selectExpr("id as cell_id", "1 as g", "0.5 as e")
+    shared = assignment._shared_out(candidates, expected, 2, 1e-5)
+    assert "Exchange hashpartitioning" not in shared._jdf.queryExecution().executedPlan().toString()
+    row = shared.first()
+    assert row.p1 is None and 0.99 < row.p0 < 1
