@@ -1060,17 +1060,19 @@ def a13(spark, d):
 
 @query("a15_read_regions", sql("ref_cnt ref_cells", "SELECT CAST(cell_id AS VARCHAR) AS cell, gene, count FROM ref_cnt JOIN ref_cells USING (cell_id) WHERE cell_type IN ('BUILDING', 'MACHINERY') AND cell_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"))
 def a15(spark, d):
-    """One file for each segment, two of which are read; one that matches is no Parquet file."""
-    rows = ref_counts(spark, d).join(ref_cells(spark, d), "cell_id").select(F.col("cell_id").cast("string").alias("cell"), "gene", "count", "cell_type")
+    """Files for each segment, two of which are read; one that matches is no Parquet file. Tasks write their own parts,
+    which are then named by segment and number."""
+    chosen = ref_cells(spark, d).where(F.col("cell_type").isin("AUTOMOBILE", "BUILDING", "MACHINERY"))
+    rows = ref_counts(spark, d).join(chosen, "cell_id").select(F.col("cell_id").cast("string").alias("cell"), "gene", "count", "cell_type")
     base = writers.shared_path(spark, "regions")
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    for segment in ("AUTOMOBILE", "BUILDING", "MACHINERY"):
-        rows.where(F.col("cell_type") == segment).drop("cell_type").coalesce(1).write.parquet(f"{base}/tmp/{segment}")
-        part = next(f.getPath() for f in files.listStatus(hadoop.Path(f"{base}/tmp/{segment}")) if f.getPath().getName().startswith("part-"))
-        files.mkdirs(hadoop.Path(f"{base}/in"))
-        files.rename(part, hadoop.Path(f"{base}/in/{segment}-1.parquet"))
-    broken = files.create(hadoop.Path(f"{base}/in/BUILDING-2.parquet"))
+    rows.write.partitionBy("cell_type").parquet(f"{base}/tmp")
+    files.mkdirs(hadoop.Path(f"{base}/in"))
+    for found in files.globStatus(hadoop.Path(f"{base}/tmp/cell_type=*/part-*")):
+        segment, part = found.getPath().getParent().getName().removeprefix("cell_type="), found.getPath().getName()
+        files.rename(found.getPath(), hadoop.Path(f"{base}/in/{segment}-{part}"))
+    broken = files.create(hadoop.Path(f"{base}/in/BUILDING-broken.parquet"))
     broken.write(bytearray(b"no table"))
     broken.close()
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("cell")).distinct()

@@ -203,7 +203,11 @@ def footers(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
 def read_regions(spark: SparkSession, directory: str, pattern: str, cells: DataFrame, named: int = 20) -> DataFrame:
     """Count files whose name has the pattern, one after the other, restricted to the given cells; files that cannot
     be read are reported by a warning (the first `named` of them by name; `footers` has all) and skipped."""
-    for row in footers(spark, directory, pattern).where("fault IS NOT NULL").orderBy("path").limit(named).collect():
+    ends = written(footers(spark, directory, pattern), "footers")
+    for row in ends.where("fault IS NOT NULL").orderBy("path").limit(named).collect():
         warnings.warn(f"{row.path} cannot be read and is left out: {row.fault}", stacklevel=2)
-    t = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", pattern).parquet(directory)
-    return t.join(cells.select("cell"), "cell", "left_semi")
+    reader = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", pattern)
+    # Spark takes the schema from one file, which may be a broken one
+    if sound := ends.where("fault IS NULL").agg(F.min("path")).first()[0]:
+        reader = reader.schema(spark.read.parquet(sound).schema)
+    return reader.parquet(directory).join(cells.select("cell"), "cell", "left_semi")

@@ -169,3 +169,15 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     q.awaitTermination(120)
     assert spark.table("running_counts").exceptAll(count_matrix(batch)).isEmpty()
     assert spark.table("running_counts").count() == count_matrix(batch).count()
+
+
+def test_regions_are_written_by_all_tasks(spark, sf_dir, monkeypatch):
+    """The query's files come from tasks of their own, not from one task for each segment."""
+    from molgrid.plans.queries import QUERIES
+
+    def refused(self, n):
+        raise AssertionError("all rows in one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
+    got = QUERIES["a15_read_regions"](spark, sf_dir)
+    assert got.count() > 0 and len(got.inputFiles()) >= 2
