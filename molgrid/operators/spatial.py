@@ -182,10 +182,9 @@ def nearest(a: DataFrame, lists: DataFrame, k: int, radius: float) -> DataFrame:
     """
 
     def apart(p: F.Column) -> F.Column:
-        distance = F.sqrt((F.col("x") - p["x"]) ** 2 + (F.col("y") - p["y"]) ** 2)
-        return F.struct(distance.alias("distance"), p["neighbour"].alias("neighbour"))
+        return F.sqrt((F.col("x") - p["x"]) * (F.col("x") - p["x"]) + (F.col("y") - p["y"]) * (F.col("y") - p["y"]))
 
-    within = F.filter(F.transform("__near", apart), lambda p: p["distance"] <= radius)
+    within = F.transform(F.filter("__near", lambda p: apart(p) <= radius), lambda p: F.struct(apart(p).alias("distance"), p["neighbour"].alias("neighbour")))
     grid = {n: F.floor(F.col(c) / radius) for n, c in GRID.items()}
     return a.withColumns(grid).join(lists, ["__gx", "__gy"], "left").withColumn("near", F.slice(F.sort_array(within), 1, k)).drop("__gx", "__gy", "__near")
 
