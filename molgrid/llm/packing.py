@@ -248,7 +248,7 @@ def plan(hist: dict[int, int], capacity: int, gap: float = 0.001, rounds: int =
         rest = _Prices(left, capacity, rate)
         least = int(np.ceil(sum(k * v for k, v in left.items()) / capacity - 1e-9))
         found: list[tuple[dict[int, int], float]] = []
-        for _ in range(whole_rounds if len(left) * least < 50_000 else 1):
+        for _ in range(whole_rounds):
             cover = covered(rest, rest.need, whole=True)
             if not found or sum(v for _, v in cover) < sum(v for _, v in found):
                 found = cover

@@ -142,3 +142,21 @@ def test_special_tokens_are_those_of_the_library(tokenizer):
 
 def test_empty(no_docs):
     assert packing.pack(no_docs, VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("n", [300, 60_000])
+def test_rounds_do_not_depend_on_the_size(monkeypatch, n):
+    """What is left over after whole bins is covered for as many rounds in large tables as in small ones."""
+    real, calls = packing.covered, []
+
+    def one_more(prices, need, whole, lean=0.05):
+        out = real(prices, need, whole, lean)
+        if whole:
+            calls.append(n)
+            out[0] = (out[0][0], out[0][1] + 1)
+        return out
+
+    monkeypatch.setattr(packing, "covered", one_more)
+    lengths = np.clip(np.random.default_rng(3).lognormal(5.3, 1.0, n), 1, 1023).astype(int)
+    packing.plan(dict(zip(*(v.tolist() for v in np.unique(lengths, return_counts=True)))), 1024, rounds=1, whole_rounds=3)
+    assert len(calls) == 3
