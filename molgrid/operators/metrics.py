@@ -246,8 +246,18 @@ def gene_correlations(side: Side, by_type: bool, block: int = BLOCK_GENES) -> Da
     return pairs.join(named[0], "i").join(named[1], "j").select("kind", "g", "h", "r")
 
 
+def _kept(side: Side, name: str) -> Side:
+    """A side written once: what reads it several times does not count the molecules again."""
+    return written(side[0].select("cell_id", "gene", "normalized"), f"{name}-counts"), written(side[1].select("cell_id", "cell_type"), f"{name}-cells")
+
+
 def coexpression_similarity(sp: Side, sc: Side, by_type: bool = False, block: int = BLOCK_GENES) -> DataFrame:
     """Correlations of both sides meet by matrix rows; only their differences are added up."""
+    return _coexpression(_kept(sp, "sp"), _kept(sc, "sc"), by_type, block)
+
+
+def _coexpression(sp: Side, sc: Side, by_type: bool = False, block: int = BLOCK_GENES) -> DataFrame:
+    """The same for sides that are written."""
     sp, sc = shared(sp, sc)
     panel = _panel(sp[0])
     n_genes = panel.count()
@@ -310,7 +320,7 @@ def all_metrics(sp: Side, sc: Side, max_rate: float = 0.005) -> DataFrame:
         sums = sums_of(cells), reference
         scores = {
             "reads": _marker_purity(*sums, "neg_marker_purity_reads", "reads", max_rate, 10), "cells": _marker_purity(*sums, "neg_marker_purity_cells", "cells", max_rate, 10),
-            "coexpression": coexpression_similarity(cells, sc), "coexpression_by_type": coexpression_similarity(cells, sc, True),
+            "coexpression": _coexpression(cells, sc), "coexpression_by_type": _coexpression(cells, sc, True),
             "types": _relative_pairs(*sums, "rel_pairwise_ct_expr_sim", "cell_type", "gene"), "genes": _relative_pairs(*sums, "rel_pairwise_gene_expr_sim", "gene", "cell_type"),
         }
         for name, score in scores.items():

@@ -63,3 +63,23 @@ def test_kinds_of_one_side_only(spark):
     assert metrics.coexpression_similarity(s, other, True).first().metric_value is not None
     none = (s[0].limit(0), s[1])
     assert metrics.coexpression_similarity(s, none).first().metric_value is None
+
+
+def test_sides_are_counted_once(spark):
+    """However often both sides are read, what they are made of is worked out once."""
+    from pyspark.sql import functions as F
+
+    from molgrid.operators import metrics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = [(c, f"g{g}", 1, float((c * g) % 5 + 1)) for c in range(6) for g in range(4)]
+    raw = spark.createDataFrame(rows, "cell_id long, gene string, count long, normalized double").coalesce(1)
+    cells = spark.createDataFrame([(c, "T") for c in range(6)], "cell_id long, cell_type string")
+    metrics.coexpression_similarity((raw.withColumn("normalized", counted("normalized")), cells), (raw, cells)).collect()
+    assert seen.value == len(rows)
