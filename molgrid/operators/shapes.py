@@ -50,8 +50,14 @@ def alpha_area(xy: np.ndarray, alpha: float) -> float:
 
 
 def _by_cell(pts: DataFrame) -> DataFrame:
-    """A row for each cell with its molecules: bounded by the molecules of one cell."""
-    return pts.where("cell_id != 0").groupBy("cell_id").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    """A row for each cell with its molecules: bounded by the molecules of one cell.
+
+    Cells are dealt to a fixed number of tasks: by the bytes alone, which are few, adaptive execution would put the work of
+    all cells into one or two.
+    """
+    spark = pts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pts.where("cell_id != 0").select("cell_id", "x", "y").repartition(tasks, "cell_id").groupBy("cell_id").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
 
 
 def cell_hulls(pts: DataFrame) -> DataFrame:
