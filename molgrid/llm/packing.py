@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molgrid.llm.common import materialize, n_partitions
+from molgrid.llm.common import materialize, n_partitions, sliced
 
 Groups = list[tuple[list[tuple[int, int]], int]]
 
@@ -111,25 +111,25 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         end = struct.pack("<I", end_id)
-        for b in batches:
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
+        for b in sliced(batches, 1, 2 << 20):
+            doc, piece, start, length, crc, held = [], [], [], [], [], []
             for at, text in enumerate(b.column(1).to_pylist()):
                 own = encode(text or "") + end
                 n = len(own) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                    part = own[4 * s : 4 * e]
                     doc.append(at)
                     piece.append(k)
                     start.append(s)
                     length.append(e - s)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
+                    crc.append(zlib.crc32(own[4 * s : 4 * e]))
+                if with_ids:
+                    held.append(own)
             cols = [b.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
+            if with_ids:  # the pieces follow each other, so their ids are one array with its cuts
+                ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

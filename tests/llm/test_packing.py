@@ -160,3 +160,24 @@ def test_rounds_do_not_depend_on_the_size(monkeypatch, n):
     lengths = np.clip(np.random.default_rng(3).lognormal(5.3, 1.0, n), 1, 1023).astype(int)
     packing.plan(dict(zip(*(v.tolist() for v in np.unique(lengths, return_counts=True)))), 1024, rounds=1, whole_rounds=3)
     assert len(calls) == 3
+
+
+def test_pieces_come_in_parts_of_a_few_megabytes(spark):
+    """A task holds the ids of some texts, not of a whole batch of ten thousand."""
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = packing.pieces(Docs(), VOCABULARY, with_ids=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["some words " * 70_000, None, "", "more words " * 150_000])], names=["doc_id", "text"])
+    parts = list(run(iter([batch])))
+    assert len(parts) > 1
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in rows if not r["piece"]] == [1, 2, 3, 4]
+    for r in rows:
+        assert len(r["ids"]) == r["length"] <= 1024 and zlib.crc32(np.array(r["ids"], "<i4").tobytes()) == r["ids_crc32"]
