@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +42,96 @@ def area(ring: np.ndarray) -> float:
 
 def alpha_area(xy: np.ndarray, alpha: float) -> float:
     """Area of the alpha shape: the triangles of the Delaunay triangulation with a circumradius under 1 / alpha."""
-    if not alpha:
-        return area(hull(xy))
-    p = np.unique(xy, axis=0)
+    return _area(thinned(xy, 1 / alpha), alpha) if alpha else area(hull(xy))
+
+
+def _area(p: np.ndarray, alpha: float) -> float:
+    """Of distinct points."""
     a, b, c = (p[t] for t in delaunay(p).T)
     size = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
     sides = np.linalg.norm(b - a, axis=1) * np.linalg.norm(c - b, axis=1) * np.linalg.norm(a - c, axis=1)
     return float(size[(size > 0) & (sides < 4 * size / alpha)].sum())
 
 
-def _by_cell(pts: DataFrame) -> DataFrame:
-    """A row for each cell with its molecules: bounded by the molecules of one cell.
+def _distinct(xy: np.ndarray) -> np.ndarray:
+    """Distinct points in order of x and y."""
+    p = xy[np.lexsort((xy[:, 1], xy[:, 0]))]
+    return p[np.r_[True, (p[1:] != p[:-1]).any(axis=1)][: len(p)]]
+
+
+def _dilated(mask: np.ndarray, wide: list[int]) -> np.ndarray:
+    """Squares with a set one around them: k rows above or below, within wide[k] columns."""
+    upto = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int32)
+    np.cumsum(mask, axis=1, out=upto[:, 1:])
+    out = np.zeros_like(mask)
+    columns = np.arange(mask.shape[1])
+    for k, w in enumerate(wide[: len(mask)]):
+        near = upto[:, np.minimum(columns + w + 1, len(columns))] > upto[:, np.maximum(columns - w, 0)]
+        out[k:] |= near[: len(mask) - k]
+        out[: len(mask) - k] |= near[k:]
+    return out
+
+
+#: Squares to the radius, coarse to fine; the most squares of one grid; points that are not worth a grid.
+_STEPS, _SQUARES, _FEW = (4, 8, 16), 1 << 22, 1000
+
+
+def thinned(xy: np.ndarray, radius: float) -> np.ndarray:
+    """Distinct points without those that no empty circle of this radius or more reaches: same alpha shape.
 
-    Cells are dealt to a fixed number of tasks: by the bytes alone, which are few, adaptive execution would put the work of
-    all cells into one or two.
+    A point may go if each disk of (a little less than) this radius around it holds one that stays. Then the same disks are
+    empty with and without it, and every corner of a Delaunay triangle with such a circle, or of the hull, stays: what those
+    triangles and the outside leave over, the shape, is the same. This holds for parts as well, so the parts of a cell may
+    be thinned first. Disks are told by the grid squares of their centers, from coarse to fine: near squares that may hold the
+    center of an empty disk all points stay for the next grid, elsewhere one of each square does.
     """
+    p = _distinct(xy)
+    if len(p) <= _FEW or not np.isfinite(radius):
+        return p
+    wide = np.ptp(p, axis=0)
+    if np.prod(wide / radius + 4) * _STEPS[0] ** 2 > _SQUARES:
+        side = int(wide[1] > wide[0])
+        low = p[:, side] < p[:, side].min() + wide[side] / 2
+        return _distinct(np.concatenate([thinned(p[low], radius), thinned(p[~low], radius)]))
+    stay, open_ = p[:0], p
+    for step in _STEPS:
+        # in squares; what lies further out than this has no disk in reach
+        r, shape = 0.999 * step, np.ceil(wide / radius * step).astype(int) + 2 * step + 3
+        if np.prod(shape) > _SQUARES or len(open_) * 500 < np.prod(shape):
+            break
+
+        def square(q: np.ndarray) -> np.ndarray:
+            return np.floor((q - p.min(axis=0)) / radius * step).astype(int) + step + 1  # noqa: B023
+
+        # of each square the first open point stands for all
+        own = square(open_)
+        number = own[:, 0] * shape[1] + own[:, 1]
+        first = np.unique(number, return_index=True)[1]
+        held = np.zeros(shape, dtype=bool)
+        for q in (own[first], square(stay)):
+            held[q[:, 0], q[:, 1]] = True
+        # squares of which each point is that near to each point of the center's, and to any point of it
+        rows = np.arange(step)
+        inside = [int(np.sqrt(r * r - (k + 1) ** 2)) - 1 for k in rows if r * r >= (k + 1) ** 2 + 1]
+        beside = [int(np.sqrt(r * r - max(k - 1, 0) ** 2)) + 1 for k in np.arange(step + 1)]
+        near = _dilated(~_dilated(held, inside), beside)
+        keep = near[own[:, 0], own[:, 1]]
+        stay = np.concatenate([stay, open_[first[~keep[first]]]])
+        open_ = open_[keep]
+    return _distinct(np.concatenate([stay, open_]))
+
+
+def _tasks(pts: DataFrame) -> DataFrame:
+    """Cells are dealt to a fixed number of tasks: by the bytes alone, which are few, adaptive execution would put the work of
+    all cells into one or two."""
     spark = pts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return pts.where("cell_id != 0").select("cell_id", "x", "y").repartition(tasks, "cell_id").groupBy("cell_id").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    return pts.where("cell_id != 0").select(F.col("cell_id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).repartition(tasks, "cell_id")
+
+
+def _by_cell(pts: DataFrame) -> DataFrame:
+    """A row for each cell with its molecules: bounded by the molecules of one cell."""
+    return _tasks(pts).groupBy("cell_id").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
 
 
 def cell_hulls(pts: DataFrame) -> DataFrame:
@@ -72,14 +146,44 @@ def cell_hulls(pts: DataFrame) -> DataFrame:
     return _by_cell(pts).mapInPandas(run, f"cell_id long, {RING}")
 
 
-def cell_volumes(pts: DataFrame, alpha: float = 0.0) -> DataFrame:
-    """cell_id, volume: area of the alpha shape of the molecules in the plane; alpha 0 is the hull."""
+def cell_volumes(pts: DataFrame, alpha: float = 0.0, at_once: int = 1 << 18) -> DataFrame:
+    """cell_id, volume: area of the alpha shape of the molecules in the plane; alpha 0 is the hull.
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"cell_id": b["cell_id"], "volume": [alpha_area(np.column_stack([x, y]), alpha) for x, y in zip(b["x"], b["y"])]})
+    Molecules come in order of their cell. A task holds about `at_once` of them, or twice those that its cell's outline needs.
+    """
+
+    def needed(parts: list[np.ndarray]) -> np.ndarray:
+        xy = np.concatenate(parts)
+        xy = xy[np.isfinite(xy).all(axis=1)]
+        return thinned(xy, 1 / alpha) if alpha else hull(xy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, n, most = None, [], 0, at_once
 
-    return _by_cell(pts).mapInPandas(run, "cell_id long, volume double")
+        def volume() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_area(needed(parts), alpha) if alpha else area(needed(parts))], pa.float64())], names=["cell_id", "volume"])
+
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            xy = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2)])
+            cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if i == j:
+                    continue
+                if cell[i] != now:
+                    if parts:
+                        yield volume()
+                    now, parts, n, most = int(cell[i]), [], 0, at_once
+                parts.append(xy[i:j])
+                n += j - i
+                if n > most:
+                    parts = [needed(parts)]
+                    n = len(parts[0])
+                    most = max(at_once, 2 * n)
+        if parts:
+            yield volume()
+
+    return _tasks(pts).sortWithinPartitions("cell_id", "x", "y").mapInArrow(run, "cell_id long, volume double")
 
 
 def _without(a: list[list[int]], b: list[list[int]]) -> list[tuple[int, int]]:
